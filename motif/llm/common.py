@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,11 +124,23 @@ def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Ca
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, types = make(), to_arrow_schema(schema)
         for batch in batches:
-            got = run(batch.column("_motif_text").to_pylist())
-            if (take := got.get("_take")) is not None:
-                batch = batch.take(pa.array(take, pa.int64()))
-            kept = [batch.column(f"_motif_k{i}") for i in range(len(keep))]
-            made = [pa.array(got[f.name], types.field(f.name).type) for f in new.fields]
-            yield pa.RecordBatch.from_arrays([*kept, *made], schema=pa.schema([pa.field(n, a.type) for n, a in zip(schema.names, [*kept, *made])]))
+            for part in _slices(batch):
+                got = run(part.column("_motif_text").to_pylist())
+                if (take := got.get("_take")) is not None:
+                    part = part.take(pa.array(take, pa.int64()))
+                kept = [part.column(f"_motif_k{i}") for i in range(len(keep))]
+                made = [pa.array(got[f.name], types.field(f.name).type) for f in new.fields]
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=pa.schema([pa.field(n, a.type) for n, a in zip(schema.names, [*kept, *made])]))
 
     return df.mapInArrow(of, schema)
+
+
+def _slices(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about that many bytes of text, so that little of it is held as Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("_motif_text")), 0).to_numpy()
+    part = (np.cumsum(sizes) - sizes) // size
+    at = 0
+    while at < len(part):
+        end = int(np.searchsorted(part, part[at], side="right"))
+        yield batch.slice(at, end - at)
+        at = end
