@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import audio, packing, simhash, tokens
 from .common import table
 
 
@@ -13,5 +13,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digests(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_features(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op7_bpe": op7_bpe,
+    "op9_packing": op9_packing,
+    "op10_audio": op10_audio,
+}
 ORACLES: dict[str, str] = {}
