@@ -112,7 +112,8 @@ def component_ids(classes: DataFrame, edges: DataFrame, node: str, rep: str) ->
 
 
 def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Callable[[list], dict]], fields: str) -> DataFrame:
-    """The columns keep of df, as they are, and new fields that a function derives from the texts of a column.
+    """The columns keep of df, as they are, and new fields that a function derives from the texts of a column, which may
+    be structs with a field text.
 
     make() is called once in each task; what it returns gets the texts of an Arrow batch and returns a list or array of
     each field's values. With "_take" among them, row i of the result belongs to row _take[i] of the batch.
@@ -137,7 +138,10 @@ def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Ca
 
 def _slices(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about that many bytes of text, so that little of it is held as Python objects at a time."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("_motif_text")), 0).to_numpy()
+    texts = batch.column("_motif_text")
+    if pa.types.is_struct(texts.type):
+        texts = pc.struct_field(texts, "text")
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
     part = (np.cumsum(sizes) - sizes) // size
     at = 0
     while at < len(part):
