@@ -3,20 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import audio, packing, simhash, tokens
+from . import audio, hnsw, html, langid, packing, pii, secrets, simhash, substrings, tokens
 from .common import table
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_sentences, n_removed, removed (code-point spans, comma-joined) and the text that is left."""
+    cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs), ["doc_id"])
+    return found.withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_column(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -27,8 +56,14 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hnsw": op1_hnsw,
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
+    "op4_substrings": op4_substrings,
+    "op5_langid": op5_langid,
+    "op6_html": op6_html,
     "op7_bpe": op7_bpe,
+    "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_audio": op10_audio,
 }
