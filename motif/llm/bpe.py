@@ -23,11 +23,12 @@ LONG = 1000
 #: So many distinct words are remembered by a task; then it starts again with none.
 KNOWN = 400_000
 
-# The word pattern of the tokenizer file, for lower-case ASCII and for Latin.
-ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+"
+# The word pattern of the tokenizer file, for lower-case ASCII and for Latin, most frequent kinds first.
+ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+ASCII_WORDS = rf"[a-z]+|{ENDINGS}|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+"
 LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \t\n\r\x0b\x0c\x85\xa0{LETTERS}{NUMBERS}]+"
+LATIN_WORDS = rf"[{LETTERS}]+|{ENDINGS}|[{NUMBERS}]|[^ \t\n\r\x0b\x0c\x85\xa0{LETTERS}{NUMBERS}]+"
 #: Texts with characters besides Latin, punctuation and currency go through the library's own normalizer and pattern.
 OTHER = re.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 
@@ -49,6 +50,15 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Store(dict):
+    """Numbers words as they are first looked up; new ones wait in a list."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer file: BPE over bytes with a suffix at word ends, lower case, no white space."""
 
@@ -86,7 +96,8 @@ class WordBpe:
 
     def forget(self) -> None:
         """Starts with an empty store of words."""
-        self.known = {s: i for i, s in enumerate(self.special)}
+        self.known = Store((s, i) for i, s in enumerate(self.special))
+        self.known.new = []
         self.ids = np.array([*self.special.values()], dtype=np.int64)
         self.sizes = np.ones(len(self.special), dtype=np.int64)
 
@@ -173,7 +184,7 @@ class WordBpe:
         return [x for x in ids if x >= 0]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words that are not known yet and appends them to the store."""
+        """Encodes the words that wait in the store."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(r) for r in raw])
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -190,8 +201,6 @@ class WordBpe:
             ids, got = np.concatenate(parts), np.array([len(p) for p in parts])
         else:
             ids, got = self.merge(symbols, sizes)
-        n = len(self.sizes)
-        self.known.update(zip(words, range(n, n + len(words))))
         self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, got])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -199,11 +208,11 @@ class WordBpe:
         lists = [self.words(t) for t in texts]
         if len(self.known) > KNOWN:
             self.forget()
-        known = self.known
-        if new := [*dict.fromkeys(w for words in lists for w in words if w not in known)]:
-            self.learn(new)
         counts = np.array([len(x) for x in lists], dtype=np.int64)
-        codes = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(counts.sum()))
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(counts.sum()))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         sizes = self.sizes[codes]
         ids = self.ids[_spread((np.cumsum(self.sizes) - self.sizes)[codes], sizes)].astype("<u4")
         return np.split(ids, np.r_[0, np.cumsum(sizes)][np.cumsum(counts)[:-1]])
