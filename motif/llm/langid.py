@@ -160,10 +160,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     A null text, or one without a letter, gets `und`, score 0, and is rejected; so does every text if the model knows no
     language. Equal texts give equal results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few rows of FEATURES floats for each language
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # a few rows of FEATURES floats for each language
 
     def make() -> Callable[[list], dict]:
-        table, m = letter_table(), shared.value
+        table, m = letter_table(), Model(**shared.value)
         turned = np.ascontiguousarray(m.centroids.T)
 
         def run(texts: list) -> dict:
