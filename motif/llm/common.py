@@ -18,9 +18,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Stands for a missing integer id where ids must be ordered: after every other id.
 NO_ID = 2**63 - 1
 
+BATCH_BYTES = 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB in this session, unless it asks for less: a task holds one in the JVM, one in its Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -58,6 +67,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files stay until the Python process ends, since any later query may read them.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/motif-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -118,6 +128,7 @@ def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Ca
     make() is called once in each task; what it returns gets the texts of an Arrow batch and returns a list or array of
     each field's values. With "_take" among them, row i of the result belongs to row _take[i] of the batch.
     """
+    small_batches(df.sparkSession)
     new = T._parse_datatype_string(fields)
     schema = T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keep] + list(new.fields))
     df = df.select(*[F.col(k).alias(f"_motif_k{i}") for i, k in enumerate(keep)], F.col(column).alias("_motif_text"))

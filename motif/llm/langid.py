@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, small_batches
 
 FEATURES = 4096
 #: Characters whose n-grams are held at once.
@@ -120,6 +120,7 @@ def train(docs: DataFrame, sample: int = 2000, clusters: int = 4, margin: float
     each language, those with the least hashes of text and id. margin: a text is rejected if its cosine is below this
     share of the least cosine that the sample's texts of its language have.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(is_training()).select("doc_id", "lang", "text")
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(sample + 1).collect())
     if len(languages) > sample:
