@@ -138,9 +138,9 @@ def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Ca
         for batch in batches:
             for part in _slices(batch):
                 got = run(part.column("_motif_text").to_pylist())
-                if (take := got.get("_take")) is not None:
-                    part = part.take(pa.array(take, pa.int64()))
                 kept = [part.column(f"_motif_k{i}") for i in range(len(keep))]
+                if (take := got.get("_take")) is not None:
+                    kept = [k.take(pa.array(take, pa.int64())) for k in kept]
                 made = [pa.array(got[f.name], types.field(f.name).type) for f in new.fields]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=pa.schema([pa.field(n, a.type) for n, a in zip(schema.names, [*kept, *made])]))
 
