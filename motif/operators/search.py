@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motif.functions import exprs
 
 FEATURES = 512
+MOST_QUERIES = 1000
 
 
-def stop_words() -> list[str]:
-    return sorted({w for w in StopWordsRemover.loadDefaultStopWords("english")})
+# English words that carry no meaning of their own.
+STOP_WORDS = (
+    "a about above after again against all also am an and any are as at be because been before being below between both but by can "
+    "cannot could did do does doing down during each few for from further had has have having he her here hers herself him himself "
+    "his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves "
+    "out over own same she should so some such than that the their theirs them themselves then there these they this those through "
+    "to too under until up us very was we were what when where which while who whom why will with would you your yours yourself yourselves"
+).split()
 
 
 def keyword_search(rows: DataFrame, query: str, name: str, description: str, tags: str, code: str, k: int = 5) -> DataFrame:
@@ -47,7 +53,7 @@ class TfIdf:
     """
 
     def __init__(self, rows: DataFrame, key: str, text: str, features: int = FEATURES, words: list[str] | None = None):
-        self.key, self.words = key, stop_words() if words is None else words
+        self.key, self.words = key, STOP_WORDS if words is None else words
         counted = _terms(rows, key, text, self.words).groupBy(key, "term").agg(F.count("*").alias("tf"))
         stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
         n = rows.agg(F.count("*").alias("docs"))
@@ -94,8 +100,10 @@ def hash_buckets(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, score): of each query vector the k rows with the greatest cosine. queries are few and broadcast."""
-    few = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")).limit(1000)
+    """(query, key, score): of each query vector the k rows with the greatest cosine. The queries are broadcast and must be few."""
+    few = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+    if (n := few.count()) > MOST_QUERIES:
+        raise ValueError(f"{n} query vectors, at most {MOST_QUERIES} are broadcast")
     scored = rows.join(F.broadcast(few)).select("query", key, F.round(exprs.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
