@@ -126,10 +126,12 @@ def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Ca
     be structs with a field text.
 
     make() is called once in each task; what it returns gets the texts of an Arrow batch and returns a list or array of
-    each field's values. With "_take" among them, row i of the result belongs to row _take[i] of the batch.
+    each field's values. With "_take" among them, row i of the result belongs to row _take[i] of the batch. A new field
+    replaces a kept column of its name.
     """
     small_batches(df.sparkSession)
     new = T._parse_datatype_string(fields)
+    keep = [k for k in keep if k not in new.names]
     schema = T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keep] + list(new.fields))
     df = df.select(*[F.col(k).alias(f"_motif_k{i}") for i, k in enumerate(keep)], F.col(column).alias("_motif_text"))
 
@@ -159,3 +161,9 @@ def _slices(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBat
         end = int(np.searchsorted(part, part[at], side="right"))
         yield batch.slice(at, end - at)
         at = end
+
+
+def hide(docs: DataFrame, known: tuple = ("doc_id", "text", "lang", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with private names for all columns but the known ones, so that none clashes with a new field; and the way back."""
+    private = {c: c if c in known else f"_motif_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(private), lambda df: df.select(*[F.col(p).alias(c) for c, p in private.items()])
