@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=.-]{20,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 SAMPLE = 4000
-THRESHOLD = 0.6
+THRESHOLD = 0.75
 
 WORDS = (
     "user name data file path index count total value key list map set get put add remove update delete create read write "
@@ -49,7 +49,7 @@ def labelled_sample(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
     rows = spark.range(n)
     i = F.col("id")
     raw = F.sha2(i.cast("string"), 512)
-    base64 = F.regexp_replace(F.base64(F.unhex(raw)), "\n", "")
+    base64 = F.regexp_replace(F.base64(F.unhex(raw)), r"\s", "")
     random = F.element_at(
         F.array(base64, F.lower(raw), F.regexp_replace(base64, "[+/=]", ""), F.upper(F.regexp_replace(base64, "[+/=]", "")), F.translate(base64, "+/=", "-_")),
         (F.pmod(i, F.lit(5)) + 1).cast("int"),
