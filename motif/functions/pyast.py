@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BRANCHING = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.comprehension, ast.BoolOp)
 
@@ -62,7 +63,7 @@ def describe(source: str | None) -> tuple[str, float, bool]:
     return key, 1.0 + sum(isinstance(n, BRANCHING) for n in ast.walk(tree)), True
 
 
-@F.pandas_udf("hash string, complexity double, valid boolean")
+@F.pandas_udf(T.StructType([T.StructField("hash", T.StringType()), T.StructField("complexity", T.DoubleType()), T.StructField("valid", T.BooleanType())]))
 def python_facts(sources: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in sources:
         yield pd.DataFrame([describe(s) for s in batch], columns=["hash", "complexity", "valid"])

@@ -13,11 +13,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motif.functions import exprs
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(left: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Similarity of two token arrays in a struct (a, b); 0 if one is empty. Not symmetric."""
     for batch in left:
