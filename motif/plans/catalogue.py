@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motif.functions import exprs, llmjson, parse
+from motif.functions import exprs, llmjson, parse, tokens
 from motif.operators import compositions, fuzzy, patterns, registry, search
 from motif.plans import fixtures
 from motif.plans.oracles import K, SEARCHED
@@ -33,13 +33,13 @@ def _joined(c: str):
 
 @query
 def token_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", exprs.token_hash(F.coalesce("text", F.lit(""))).alias("token_hash"))
+    return table(spark, d, "documents").select("doc_id", tokens.token_hashes("text").alias("token_hash"))
 
 
 @query
 def promote_kth(spark: SparkSession, d: str) -> DataFrame:
     """Documents as events: the second occurrence of a token structure promotes it."""
-    docs = table(spark, d, "documents").withColumn("key", exprs.token_hash(F.coalesce("text", F.lit(""))))
+    docs = table(spark, d, "documents").withColumn("key", tokens.token_hashes("text"))
     found = patterns.promote(docs, "key", ["doc_id"], 2, {"first_doc": F.col("doc_id"), "first_source": F.col("source")}, {"kth_doc": F.col("doc_id"), "lang": F.col("lang")}, {"contexts": F.col("source")})
     return found.select("key", "frequency", "first_doc", "first_source", "kth_doc", "lang", _joined("contexts").alias("contexts"))
 
