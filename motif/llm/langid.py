@@ -117,20 +117,25 @@ def train(docs: DataFrame, sample: int = 2000, clusters: int = 4, margin: float
     """A model from docs (text, lang, doc_id): rows with a language whose crc32(doc_id) mod 5 is not 0.
 
     Document frequencies count all of them. Centroids come from `sample` rows at most, that is sample / languages rows of
-    each language, those with the least hashes of text and id. margin: a text is rejected if its cosine is below this
+    each language, chosen by hashes of their ids. margin: a text is rejected if its cosine is below this
     share of the least cosine that the sample's texts of its language have.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(is_training()).select("doc_id", "lang", "text")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(sample + 1).collect())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").limit(sample + 1).collect())
     if len(languages) > sample:
         raise ValueError(f"more than {sample} languages")
     df, n = _document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not languages:
         return Model([], idf, np.zeros((0, FEATURES), np.float32), np.zeros(0, int), np.zeros(0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(1, sample // len(languages))).drop("k")
+    # A share of each language's ids that should hold four times what is wanted goes to the ranking, however many there are.
+    each, scale = max(1, sample // len(languages)), 1 << 30
+    place = F.xxhash64("doc_id", F.lit(17))
+    few = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(place, F.lit(scale)) * F.col("rows") < 4.0 * each * scale)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    picked = few.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         table = letter_table()

@@ -7,7 +7,7 @@ bit). Variants are shuffled by value, the groups of equal variants are read in o
 A group of more than `cap` distinct fingerprints is not compared as it is. Its members get finer keys: the bits that are
 still free are cut into four blocks; of two fingerprints with three or fewer differences, one block must be equal, so
 each member goes to four smaller groups. A group with b free bits has 2^b members at most, so this ends, is exact, and
-no task ever holds more than `cap` members or 2^12.
+no task ever holds more than `cap` members or 2^12. Very crowded groups are known from a sample and never even meet.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ SEED = 42
 ROWS = 1 << 16  # shingles whose bits are held at once
 PLAIN = 32  # groups up to this size are compared pair by pair
 FREE = 12  # with so few free bits a group is never split further
+SKEW_SAMPLE = 20_000  # fingerprints that are looked at to find crowded groups early
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -138,11 +139,33 @@ def _links(cap: int):
 
 
 def _grouped(keyed: DataFrame, cap: int) -> DataFrame:
-    rows = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
-    rows = rows.repartition("mask", "val").sortWithinPartitions("mask", "val")
+    rows = keyed.select("mask", "val", "fp").repartition("mask", "val").sortWithinPartitions("mask", "val")
     return rows.mapInPandas(_links(cap), "mask long, a long, b long")
 
 
+def _crowded(keyed: DataFrame, members: int, cap: int) -> DataFrame:
+    """(mask, val) of groups that a sample of SKEW_SAMPLE fingerprints shows to be above the cap.
+
+    Their members go on to finer keys without meeting in a task. What the sample misses is found when groups are read, so
+    it decides about the way only, not about the links. Groups with few free bits stay.
+    """
+    step = max(1, members // SKEW_SAMPLE)
+    sampled = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).groupBy("mask", "val").agg(F.count("*").alias("n"))
+    return sampled.where((F.col("n") > cap / step) & (F.bit_count("mask") < 64 - FREE) & ((F.col("n") >= 20) | F.lit(step == 1))).drop("n")
+
+
+def _pass(keyed: DataFrame, members: int, cap: int) -> DataFrame:
+    """One pass over keyed fingerprints: links (mask null) and members of groups that need finer keys."""
+    keyed = keyed.withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
+    crowded = materialize(_crowded(keyed, members, cap), "crowded")
+    if crowded.isEmpty():
+        return materialize(_grouped(keyed, cap), "links")
+    crowded = F.broadcast(crowded)  # 64 * SKEW_SAMPLE / 20 rows at most
+    on = ["mask", "val"]
+    finer = keyed.join(crowded, on, "left_semi").select("mask", F.col("fp").alias("a"), F.col("fp").alias("b"))
+    return materialize(_grouped(keyed.join(crowded, on, "left_anti"), cap).unionByName(finer), "links")
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -174,10 +197,10 @@ def fingerprint_links(classes: DataFrame, cap: int = 4096) -> DataFrame:
 
     Within a crowded group only a spanning forest is kept, so the links grow with the members, not with their pairs.
     """
-    found = materialize(_grouped(_variants(classes.select("fp")), cap), "links")
+    found = _pass(_variants(classes.select("fp")), classes.count(), cap)
     out = found.where("mask is null").select("a", "b")
-    while not (rest := found.where("mask is not null")).isEmpty():
-        found = materialize(_grouped(_finer(rest.distinct()).distinct(), cap), "links")
+    while rest := (left := found.where("mask is not null").select("mask", "a").distinct()).select("a").distinct().count():
+        found = _pass(_finer(left).distinct(), rest, cap)
         out = out.unionByName(found.where("mask is null").select("a", "b"))
     return out
 

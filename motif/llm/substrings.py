@@ -4,9 +4,9 @@ A text is cut into sentences without loss. From every sentence on, the shortest
 at least `words` words is hashed (128 bits). All runs are joined by their hash over all documents; the first place of a
 run, by document id and position, is the original, and every sentence that another place of it covers is removed.
 
-The join is one shuffle: places of equal runs are sorted, the first is left, the others are emitted. A batch sends one
-place of each of its runs there, the first; its other places can't be first and are known without the shuffle. So a run
-in a third of all documents comes as one row a batch, not one a document.
+The join is one shuffle: places of equal runs are sorted, the first is left, the others are emitted. A place that comes
+after one which the same task has seen can't be the first and is known without the shuffle. So a run in a third of all
+documents comes as a few rows from each task, not one from each document.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import NO_ID, map_texts, materialize
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
 #: Longer sentences are cut after commas, semicolons and bars too.
 CLAUSE_WORDS = 30
+#: A task starts anew with its first places when it knows those of so many runs; that only sends more rows.
+SEEN = 300_000
 CLAUSE = re.compile(r"[^,;|]*(?:[,;|]+\s*|$)")
 
 
@@ -63,23 +65,32 @@ def runs(text: str, sentences: int, words: int) -> tuple[list[bytes], list[int],
 
 
 def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """Rows (doc, tid, key, start, end, late) of runs; late: another place of the run comes first in the same batch."""
-
-    def of(rows: list) -> dict:
-        seen: dict[bytes, tuple] = {}
-        take, keys, starts, ends, late = [], [], [], [], []
-        for i in sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["tid"])):
-            for key, start, end in zip(*runs(rows[i]["text"] or "", sentences, words)):
-                place = rows[i]["doc"], rows[i]["tid"], start
-                late.append(seen.setdefault(key, place) != place)
-                take.append(i)
-                keys.append(key)
-                starts.append(start)
-                ends.append(end)
-        return {"_take": take, "key": keys, "start": starts, "end": ends, "late": late}
+    """Rows (doc, tid, key, start, end, late) of runs; late: the same task has seen a place of the run that comes before."""
+
+    def make() -> Callable[[list], dict]:
+        seen: dict[bytes, tuple] = {}  # the least place so far of runs of this task
+
+        def of(rows: list) -> dict:
+            take, keys, starts, ends, late = [], [], [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
+            for i in sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["tid"])):
+                for key, start, end in zip(*runs(rows[i]["text"] or "", sentences, words)):
+                    place = rows[i]["doc"], rows[i]["tid"], start
+                    least = seen.setdefault(key, place)
+                    if place < least:
+                        seen[key] = place
+                    late.append(place > least)
+                    take.append(i)
+                    keys.append(key)
+                    starts.append(start)
+                    ends.append(end)
+            return {"_take": take, "key": keys, "start": starts, "end": ends, "late": late}
+
+        return of
 
     docs = docs.withColumn("_motif_row", F.struct("text", "doc", "tid"))
-    return map_texts(docs, "_motif_row", ["doc", "tid"], lambda: of, "key binary, start int, end int, late boolean")
+    return map_texts(docs, "_motif_row", ["doc", "tid"], make, "key binary, start int, end int, late boolean")
 
 
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
