@@ -1,0 +1,48 @@
+"""The library as a whole: learn from files, submit snippets, ask."""
+
+import time
+
+from motif.api import Library
+from motif.plans import fixtures
+from motif.schema import Settings
+from motif.streaming.health import Health
+
+
+def test_learn_search_and_statistics(spark, tmp_path):
+    lib = Library(spark, str(tmp_path))
+    assert lib.skills().count() == 0 and lib.search("load").count() == 0
+    lib.learn(fixtures.files(spark, fixtures.PYTHON_FILES))
+    assert [r["skill_name"] for r in lib.list().collect()] == ["load_config"]
+    assert lib.get("load_config").first()["page"].startswith("---\nname: load-config")
+    assert lib.get("none").count() == 0 and lib.list("auth").count() == 0
+    assert lib.search("config").first()["skill_name"] == "load_config"
+    lib.learn(fixtures.files(spark, fixtures.PIPELINE_FILES))
+    assert {r["category"] for r in lib.list().collect()} == {"io", "composed"}
+    stats = lib.stats()
+    assert stats["totals"].first()["n"] == lib.skills().count() == 3  # load_config, and one for each composition, named by its first function
+    assert stats["languages"].first()["language"] == "python" and stats["top"].count() == 3
+    assert lib.index().count() >= 4
+
+
+def test_submitted_snippets(spark, tmp_path):
+    lib = Library(spark, str(tmp_path), Settings(min_frequency=2))
+    assert lib.submit([(fixtures.LOADER, "python", "")]).count() == 0
+    seen = fixtures.files(spark, fixtures.PYTHON_FILES[:1])
+    made = lib.submit([(fixtures.TWIN, "python", "mine")], seen)
+    assert [(r["skill_name"], r["contexts"]) for r in made.collect()] == [("load_config", ["a.py", "mine.py"])]
+
+
+def test_health_counts_batches(spark, tmp_path):
+    health = Health()
+    spark.streams.addListener(health)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.queryName("beat").format("noop").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(50):
+            if health.rows.get("beat"):
+                break
+            time.sleep(0.1)
+        assert health.rows["beat"] == 5 and health.batches["beat"] >= 1 and not health.failed
+    finally:
+        spark.streams.removeListener(health)
