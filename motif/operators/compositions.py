@@ -1,60 +1,71 @@
-"""Compositions: sets of functions that recur across files, and chains of calls, each promoted once."""
+"""Compositions: sets of functions that recur across files, and chains of calls, each promoted once.
 
-from __future__ import annotations
+Units are gathered by file once; sets and chains are expressions over a file's units, so a chain of five hops costs no join.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motif.functions.exprs import let
 from motif.operators.patterns import promote
 
 DEPTH = 5
 CALLABLE = ("function", "arrow_fn", "hook")
 
 
-def name_sets(units: DataFrame) -> DataFrame:
-    """(event_seq, path, names): the sorted distinct names of functions of each event with at least two units and two names."""
-    grouped = units.groupBy("event_seq", "path").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("node_type").isin(*CALLABLE), F.col("name")))).alias("names"), F.min_by("language", "unit_pos").alias("language")
-    )
-    return grouped.where((F.col("n") >= 2) & (F.size("names") >= 2)).drop("n")
+def by_file(units: DataFrame) -> DataFrame:
+    """(event_seq, path, units): the units of each event in order; simple: their calls without what stands before the last dot."""
+    simple = F.transform(F.coalesce("calls", F.array().cast("array<string>")), lambda c: F.element_at(F.split(c, r"\."), -1))
+    unit = F.struct("unit_pos", "name", "node_type", "language", "source_code", simple.alias("simple"))
+    return units.groupBy("event_seq", "path").agg(F.array_sort(F.collect_list(unit), lambda a, b: a["unit_pos"] - b["unit_pos"]).alias("units"))
 
 
-def local_edges(units: DataFrame) -> DataFrame:
-    """(event_seq, path, caller, callee, pos): calls of units to names in the same file; of units with one name, the last counts."""
-    last = Window.partitionBy("event_seq", "path", "name").orderBy(F.desc("unit_pos"))
-    unique = units.withColumn("_r", F.row_number().over(last)).where("_r = 1")
-    calls = unique.select("event_seq", "path", F.col("name").alias("caller"), F.posexplode("calls").alias("pos", "call"))
-    calls = calls.withColumn("callee", F.element_at(F.split("call", r"\."), -1))
-    names = unique.select("event_seq", "path", F.col("name").alias("callee"))
-    return calls.join(names, ["event_seq", "path", "callee"], "left_semi").select("event_seq", "path", "caller", "callee", "pos")
+def _names(units: str = "units") -> Column:
+    """Sorted distinct names of functions."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(units, lambda u: u["node_type"].isin(*CALLABLE)), lambda u: u["name"])))
 
 
-def call_chains(units: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(event_seq, path, unit_pos, chain): from every unit, the first local call not yet visited, depth times at most.
+def _last(units: Column, name: Column) -> Column:
+    """Of the units with a name, the last one counts."""
+    return F.element_at(F.filter(units, lambda u: u["name"] == name), -1)
+
 
-    A hop joins the chains' ends with all their edges, and keeps the first one that leads somewhere new.
+def _chains(units: str = "units", depth: int = DEPTH) -> Column:
+    """Array of (unit_pos, chain): from every unit, the first local call not yet visited, depth times at most.
+
+    The first hop follows the unit's own calls, even if a later unit has the same name.
     """
-    edges = local_edges(units).groupBy("event_seq", "path", "caller").agg(F.array_sort(F.collect_list(F.struct("pos", "callee"))).alias("out"))
-    edges = edges.withColumnRenamed("caller", "tip")
-    chains = units.select("event_seq", "path", "unit_pos", F.array("name").alias("chain"), F.col("name").alias("tip"))
-    # The hop from a unit itself follows that unit's own calls, even if a later unit has the same name.
-    own = units.select("event_seq", "path", "unit_pos", "calls")
-    names = units.groupBy("event_seq", "path").agg(F.collect_set("name").alias("names"))
-    start = chains.join(own, ["event_seq", "path", "unit_pos"]).join(names, ["event_seq", "path"])
-    simple = F.transform("calls", lambda c: F.element_at(F.split(c, r"\."), -1))
-    step = F.get(F.filter(simple, lambda c: F.array_contains("names", c) & (c != F.col("tip"))), F.lit(0))
-    chains = start.withColumn("next", step).select("event_seq", "path", "unit_pos", _grown("chain", "next").alias("chain"), F.col("next").alias("tip"))
-    for _ in range(depth - 1):
-        new = F.get(F.filter("out", lambda e: ~F.array_contains("chain", e["callee"])), F.lit(0))["callee"]
-        joined = chains.join(edges, ["event_seq", "path", "tip"], "left").withColumn("next", F.when(F.col("tip").isNotNull(), new))
-        chains = joined.select("event_seq", "path", "unit_pos", _grown("chain", "next").alias("chain"), F.col("next").alias("tip"))
-    return chains.drop("tip")
-
-
-def _grown(chain: str, name: str) -> Column:
-    return F.when(F.col(name).isNotNull(), F.concat(chain, F.array(name))).otherwise(F.col(chain))
+    every = F.col(units)
+    local = F.transform(every, lambda u: u["name"])
+    none = F.array().cast("array<string>")
+
+    def hop(state: Column, names: Column) -> Column:
+        following = F.get(F.filter(state["calls"], lambda c: F.array_contains(names, c) & ~F.array_contains(state["chain"], c)), F.lit(0))
+        return let(
+            following,
+            lambda n: F.when(n.isNull(), F.struct(state["chain"].alias("chain"), none.alias("calls"))).otherwise(
+                F.struct(F.concat(state["chain"], F.array(n)).alias("chain"), _last(every, n)["simple"].alias("calls"))
+            ),
+        )
+
+    def walk(unit: Column, names: Column) -> Column:
+        first = F.struct(F.array(unit["name"]).alias("chain"), unit["simple"].alias("calls"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), first, lambda state, _: hop(state, names), lambda state: state["chain"])
+
+    return let(F.array_distinct(local), lambda names: F.transform(every, lambda u: F.struct(u["unit_pos"].alias("unit_pos"), walk(u, names).alias("chain"))))
+
+
+def name_sets(units: DataFrame) -> DataFrame:
+    """(event_seq, path, names) of each event with at least two units and two function names."""
+    found = by_file(units).where(F.size("units") >= 2).select("event_seq", "path", _names().alias("names"))
+    return found.where(F.size("names") >= 2)
+
+
+def call_chains(units: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(event_seq, path, unit_pos, chain) of every unit."""
+    return by_file(units).select("event_seq", "path", F.explode(_chains(depth=depth)).alias("c")).select("event_seq", "path", "c.unit_pos", "c.chain")
 
 
 def compositions(units: DataFrame, k: int = 2) -> DataFrame:
@@ -62,45 +73,25 @@ def compositions(units: DataFrame, k: int = 2) -> DataFrame:
 
     In one event the set comes before the chains, and chains in the order of their units.
     """
-    enough = units.groupBy("event_seq", "path").count().where("count >= 2").select("event_seq", "path")
-    units = units.join(enough, ["event_seq", "path"], "left_semi")
-    language = units.groupBy("event_seq", "path").agg(F.min_by("language", "unit_pos").alias("language"))
-    sets = name_sets(units).select("event_seq", "path", F.lit(0).alias("kind"), F.lit(-1).alias("unit_pos"), F.col("names").alias("key"), "language")
-    chains = call_chains(units).where(F.size("chain") >= 2).join(language, ["event_seq", "path"])
-    chains = chains.select("event_seq", "path", F.lit(1).alias("kind"), "unit_pos", F.col("chain").alias("key"), "language")
+    files = by_file(units).where(F.size("units") >= 2)
+    event = lambda kind, pos, key: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("unit_pos"), key.alias("key"))
+    found = F.concat(F.array(event(0, F.lit(-1), _names())), F.transform(_chains(), lambda c: event(1, c["unit_pos"], c["chain"])))
+    events = files.select("event_seq", "path", F.explode(found).alias("e")).select("event_seq", "path", "e.*").where(F.size("key") >= 2)
     when = F.struct("event_seq", "path", "kind", "unit_pos")
-    found = promote(
-        sets.unionByName(chains), ["kind", "key"], ["event_seq", "path", "unit_pos"], k, {}, {"at": when, "event_seq": F.col("event_seq"), "path": F.col("path"), "language": F.col("language")}, {"contexts": F.col("path")}
-    )
+    kth = promote(events, ["kind", "key"], ["event_seq", "path", "unit_pos"], k, {}, {"at": when}, {"contexts": F.col("path")})
     once = Window.partitionBy(F.array_sort(F.array_distinct("key"))).orderBy("at")
-    found = found.withColumn("_r", F.row_number().over(once)).where("_r = 1")
-    pipeline = F.col("kind") == 1
-    name = F.when(pipeline, F.array_join(F.slice("key", 1, 3), "_to_")).otherwise(F.array_join(F.slice("key", 1, 3), "_and_"))
-    out = found.select(
-        name.alias("name"), F.col("key").alias("component_names"), F.when(pipeline, "pipeline").otherwise("co_occurrence").alias("pattern_type"), "language", "frequency",
-        F.slice("contexts", 1, 5).alias("contexts"), F.when(pipeline, F.col("key")).otherwise(F.array().cast("array<string>")).alias("call_chain"), "event_seq", "path",
-    )
-    return _with_sources(out, units)
-
-
-def _with_sources(found: DataFrame, units: DataFrame) -> DataFrame:
-    """component_sources: of a set, the units of the event whose names are in it; of a chain, one unit for each name."""
-    parts = found.select("name", "pattern_type", "component_names", "event_seq", "path", F.posexplode("component_names").alias("pos", "part"))
-    each = units.select("event_seq", "path", F.col("name").alias("part"), "unit_pos", "source_code")
-    joined = parts.join(each, ["event_seq", "path", "part"])
-    last = F.max_by("source_code", "unit_pos")
-    chain = joined.where("pattern_type = 'pipeline'").groupBy("pattern_type", "component_names", "pos").agg(last.alias("source_code")).withColumn("unit_pos", F.col("pos"))
-    sets = joined.where("pattern_type != 'pipeline'").select("pattern_type", "component_names", "pos", "source_code", "unit_pos")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("unit_pos", "source_code"))), lambda s: s["source_code"])
-    sources = sets.unionByName(chain.select(*sets.columns)).groupBy("pattern_type", "component_names").agg(listed.alias("component_sources"))
-    return found.join(sources, ["pattern_type", "component_names"]).select(
-        "name", "component_names", "component_sources", "pattern_type", "language", "frequency", "contexts", "call_chain"
+    kth = kth.withColumn("_r", F.row_number().over(once)).where("_r = 1").select("*", "at.event_seq", "at.path").drop("_r", "at")
+    joined = kth.join(files, ["event_seq", "path"])
+    chain, key, every = F.col("kind") == 1, F.col("key"), F.col("units")
+    sources = F.when(chain, F.transform(key, lambda n: _last(every, n)["source_code"])).otherwise(
+        F.transform(F.filter(every, lambda u: F.array_contains(key, u["name"])), lambda u: u["source_code"])
     )
+    return joined.select(
+        F.when(chain, F.array_join(F.slice(key, 1, 3), "_to_")).otherwise(F.array_join(F.slice(key, 1, 3), "_and_")).alias("name"), key.alias("component_names"),
+        sources.alias("component_sources"), F.when(chain, "pipeline").otherwise("co_occurrence").alias("pattern_type"), F.get(every, F.lit(0))["language"].alias("language"),
+        "frequency", F.slice("contexts", 1, 5).alias("contexts"), F.when(chain, key).otherwise(F.array().cast("array<string>")).alias("call_chain"),
+    )
 
 
 def combined_source() -> Column:
     return F.array_join("component_sources", "\n\n")
-
-
-def union_all(*found: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, found)
