@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -107,13 +108,11 @@ def _is_boilerplate(tag: str, attributes: str, parent: Node) -> bool:
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root, and all elements in order."""
     root = Node("#root", None)
-    nodes, at, open_p = [root], 0, 0
-    stack = [root]
+    nodes, at = [root], 0
+    stack, opened = [root], Counter()  # how many of each element are open: most searches of the stack can be spared
 
     def pop_to(depth: int) -> None:
-        nonlocal open_p
-        for n in stack[depth:]:
-            open_p -= n.tag == "p"
+        opened.subtract(n.tag for n in stack[depth:])
         del stack[depth:]
 
     size = len(page)
@@ -129,7 +128,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not open_p:
+            if not opened[tag]:
                 continue
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d].tag == tag:
@@ -138,14 +137,14 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 if stack[d].tag in ("table", "article", "body", "html") and tag not in BLOCKS:
                     break  # an inline end tag closes nothing outside
             continue
-        if open_p and tag in CLOSES_P:
+        if opened["p"] and tag in CLOSES_P:
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d].tag == "p":
                     pop_to(d)
                     break
                 if stack[d].tag in ("td", "th", "table", "button", "object"):
                     break
-        if tag in IMPLIED:
+        if tag in IMPLIED and any(opened[e] for e in IMPLIED[tag][0]):
             ends, fences = IMPLIED[tag]
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d].tag in ends:
@@ -165,7 +164,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             at = end.end() if end else size
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             stack.append(node)
-            open_p += tag == "p"
+            opened[tag] += 1
     return root, nodes
 
 
