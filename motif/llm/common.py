@@ -1,10 +1,9 @@
-"""What the operators of this subpackage share: shared storage, reading of tables, connected components."""
+"""What the operators of this subpackage share: written intermediate tables, functions over texts, connected components."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from motif.storage import fresh_path
+from motif.storage import table as table
+
 #: Stands for a missing integer id where ids must be ordered: after every other id.
 NO_ID = 2**63 - 1
 
@@ -26,25 +28,12 @@ _written: list[tuple[SparkSession, str]] = []
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 4 MB in this session, unless it asks for less: a task holds one in the JVM, one in its Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+    size = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", spark.conf.get(key).lower())
+    now = int(size[1]) << 10 * " kmgtp".index(size[2] or " ") if size else 0
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a folder of its own (tests), and a cluster gets one in the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = "file://" + tempfile.mkdtemp(prefix="motif-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_motif"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None:
@@ -61,23 +50,32 @@ def _remove_written() -> None:
             return
 
 
+def written() -> int:
+    """How many tables have been written so far; release() takes it."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Removes the tables written after the first `since`, but for the last `keep`. Results that read them must be saved by then."""
+    end = len(_written) - keep
+    for spark, path in _written[since:end]:
+        _remove(spark, path)
+    del _written[since:end]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files stay until the Python process ends, since any later query may read them.
+    The files stay until release() or the end of the Python process, since a result may read them.
     """
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/motif-{uuid.uuid4().hex}-{name}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _signature(edges: DataFrame) -> tuple:
     """Of a set of edges: its size and an order-free digest."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -63,3 +63,21 @@ def test_run_reads_documents_and_empty_tables_give_nothing(spark, make, tmp_path
         make(rows).write.parquet(str(tmp_path / name / "documents.parquet"))
         found = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert bool(found) == bool(rows)
+
+
+def test_intermediate_tables_go_and_batches_stay_small(spark, make):
+    import os
+
+    from motif.llm import common
+
+    begun = common.written()
+    first, last = (common.materialize(make([(i, "x")]), "t") for i in (1, 2))
+    paths = [p.removeprefix("file:") for _, p in common._written[begun:]]
+    common.release(begun, keep=1)
+    assert [os.path.exists(p.replace("//", "/")) for p in paths] == [False, True] and last.count() == 1
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, want in (("64m", str(4 << 20)), ("1m", "1m")):
+        spark.conf.set(key, given)
+        common.small_batches(spark)
+        assert spark.conf.get(key) == want
+    spark.conf.set(key, "64m")
