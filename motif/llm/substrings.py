@@ -20,26 +20,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_texts, materialize
+from .common import NO_ID, map_texts, small_batches
 
 #: A sentence ends with its marks and the white space after them, or at the end of a line.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
-#: Longer sentences are cut after commas, semicolons and bars too.
-CLAUSE_WORDS = 30
+#: Longer sentences are cut after commas, semicolons and bars, and what is still longer after words chosen by their hash.
+UNIT_WORDS = 20
 #: A task starts anew with its first places when it knows those of so many runs; that only sends more rows.
 SEEN = 300_000
 CLAUSE = re.compile(r"[^,;|]*(?:[,;|]+\s*|$)")
+WORD = re.compile(r"\s*\S+\s*")
+
+
+def _words_cut(text: str) -> list[str]:
+    """Parts of about eight words, which end at the same words wherever they stand; none has over 4 * UNIT_WORDS words."""
+    out, part, n = [], [], 0
+    for w in WORD.findall(text):
+        part.append(w)
+        n += 1
+        if xxhash.xxh32_intdigest(w.strip().lower().encode("utf-8", "surrogatepass")) % 8 == 0 or n == 4 * UNIT_WORDS:
+            out.append("".join(part))
+            part, n = [], 0
+    return [*out, "".join(part)] if part else out
 
 
 def split_sentences(text: str) -> list[str]:
-    """The sentences of a text; joined, they are the text."""
+    """The sentences of a text, long ones in parts; joined, they are the text."""
     out = []
     for s in SENTENCE.findall(text):
-        if not s:
-            continue
-        if len(s) > 2 * CLAUSE_WORDS and len(s.split()) > CLAUSE_WORDS:
-            out += [c for c in CLAUSE.findall(s) if c]
-        else:
+        if len(s) > 2 * UNIT_WORDS and len(s.split()) > UNIT_WORDS:
+            for c in CLAUSE.findall(s):
+                if len(c) > 2 * UNIT_WORDS and len(c.split()) > UNIT_WORDS:
+                    out += _words_cut(c)
+                elif c:
+                    out.append(c)
+        elif s:
             out.append(s)
     return out
 
@@ -94,16 +109,18 @@ def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
 
 
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by key and place, those that are not the first place of their key."""
+    """Of rows sorted by key and place, those that are late or not the first place of their key."""
     last, origin = None, None
     for b in batches:
-        keys, places = b["key"].tolist(), list(zip(b["doc"].tolist(), b["tid"].tolist(), b["start"].tolist()))
-        keep = np.zeros(len(b), dtype=bool)
-        for i, (k, p) in enumerate(zip(keys, places)):
-            if k != last:
-                last, origin = k, p
+        keep = b["late"].to_numpy(copy=True)
+        rows = zip(b["key"].tolist(), b["doc"].tolist(), b["tid"].tolist(), b["start"].tolist())
+        for i, (key, *place) in enumerate(rows):
+            if keep[i]:
+                continue
+            if key != last:
+                last, origin = key, place
             else:
-                keep[i] = p != origin
+                keep[i] = place != origin
         if keep.any():
             yield b.loc[keep, ["doc", "tid", "start", "end"]]
 
@@ -111,11 +128,11 @@ def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataFrame:
     """(doc, tid, start, end): the places, in sentences, of every run that another place precedes."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tid"), "text")
-    places = materialize(_places(rows, sentences, words), "runs")
-    known = places.where("late").select("doc", "tid", "start", "end")
-    first = places.where("not late").repartition("key").sortWithinPartitions("key", "doc", "tid", "start")
-    found = first.select("key", "doc", "tid", "start", "end").mapInPandas(_repeats, "doc long, tid long, start int, end int")
-    return known.unionByName(found)
+    places = _places(rows, sentences, words)
+    # Late places need no company: they are spread by place, the others meet by key.
+    route = F.when(F.col("late"), F.xxhash64("doc", "tid", "start")).otherwise(F.xxhash64("key"))
+    met = places.repartition(route).sortWithinPartitions("key", "doc", "tid", "start")
+    return met.mapInPandas(_repeats, "doc long, tid long, start int, end int")
 
 
 def _cover(spans: list) -> list[tuple[int, int]]:
@@ -166,6 +183,7 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 12) -> Data
     repeat both id and text are one document: none of them counts as a repetition of the other. Null texts stay null and
     have no sentences; texts shorter than a run stay as they are; other columns stay. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     spans = repeated_runs(docs, sentences, words)
     spans = spans.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "end")).alias("_motif_spans"))
     keyed = docs.withColumn("_motif_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_motif_tid", F.xxhash64("text"))

@@ -121,3 +121,15 @@ def test_components_of_chains_stars_and_nothing(spark):
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_passages_without_marks_are_found_at_any_place(make):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(60))
+    docs = [(i, " ".join(word() for _ in range(5 + 7 * i)) + " " + passage + " " + " ".join(word() for _ in range(9))) for i in range(6)]
+    for r in substrings.remove_repeats(make(docs)).collect():
+        text = dict(docs)[r["doc_id"]]
+        gone = len(text.split()) - len(r["text"].split())
+        assert gone == 0 if r["doc_id"] == 0 else 30 <= gone <= 60
+        assert "".join(substrings.split_sentences(text)) == text
