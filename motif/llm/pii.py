@@ -32,7 +32,7 @@ DIGIT = re.compile(r"[0-9]")
 HINT = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\s<>()\[\]{},;\"']+")
 LEAST_DIGITS = 4
-LONGEST = 64  # characters of a token that can be an instance
+LONGEST = 64  # longer words and instances are compared by digest
 
 
 def luhn(digits: str) -> bool:
@@ -53,8 +53,6 @@ def _emails(text: str) -> list[tuple[int, int]]:
         if start < at and (m := DOMAIN.match(text, at + 1)):
             out.append((start, m.end()))
             free = m.end()
-        elif start < at:
-            pass
         at = text.find("@", max(at + 1, free))
     return out
 
@@ -78,12 +76,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _pattern(text: str, start: int) -> str:
     """The two words before a place, in lower case, digits as 0; fewer words give no pattern."""
-    words = text[max(0, start - 80) : start].split()
-    return " ".join(re.sub("[0-9]", "0", w.lower()) for w in words[-2:]) if len(words) >= 2 else ""
+    width = 80
+    while True:
+        at = max(0, start - width)
+        words = text[at:start].split()
+        if len(words) > 2 or at == 0:  # the last two are whole
+            break
+        width *= 4
+    return " ".join(re.sub("[0-9]", "0", _short(w.lower())) for w in words[-2:]) if len(words) >= 2 else ""
+
+
+def _short(text: str) -> str:
+    """A text of up to LONGEST characters, or a digest in its place."""
+    return text if len(text) <= LONGEST else "#" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _value(token: str) -> str:
-    return re.sub(r"[\s().-]", "", token.lower())
+    return _short(re.sub(r"[\s().-]", "", token.lower()))
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, str, int, int]]:
@@ -97,11 +106,12 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str
             token = m.group()
             if not HINT.search(token):
                 continue
-            while token and not token[-1].isalnum():
-                token, b = token[:-1], b - 1
+            while b > a and not text[b - 1].isalnum():
+                b -= 1
+            token = text[a:b]
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
-            if any(x < b and y > a for x, y in taken[i : i + 4]) or not 0 < b - a <= LONGEST:
+            if b == a or any(x < b and y > a for x, y in taken[i : i + 4]):
                 continue
             if ("@" in token or len(DIGIT.findall(token)) >= LEAST_DIGITS) and (p := _pattern(text, a)):
                 out.append((-1, p, _value(token), a, b))
