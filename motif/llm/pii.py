@@ -32,6 +32,7 @@ DIGIT = re.compile(r"[0-9]")
 HINT = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\s<>()\[\]{},;\"']+")
 LEAST_DIGITS = 4
+CONTEXT = 400
 LONGEST = 64  # longer words and instances are compared by digest
 
 
@@ -75,15 +76,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _pattern(text: str, start: int) -> str:
-    """The two words before a place, in lower case, digits as 0; fewer words give no pattern."""
-    width = 80
-    while True:
-        at = max(0, start - width)
-        words = text[at:start].split()
-        if len(words) > 2 or at == 0:  # the last two are whole
-            break
-        width *= 4
-    return " ".join(re.sub("[0-9]", "0", _short(w.lower())) for w in words[-2:]) if len(words) >= 2 else ""
+    """The two words before a place, in lower case, digits as 0. Fewer words, or words that begin further than CONTEXT
+    characters before the place, give no pattern."""
+    at = max(0, start - CONTEXT)
+    words = text[at:start].split()
+    if len(words) < 2 or at > 0 and len(words) < 3:  # the first word in reach may be cut
+        return ""
+    return " ".join(re.sub("[0-9]", "0", _short(w.lower())) for w in words[-2:])
 
 
 def _short(text: str) -> str:
