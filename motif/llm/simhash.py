@@ -12,6 +12,7 @@ no task ever holds more than `cap` members or 2^12. Very crowded groups are know
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import component_ids, map_texts, materialize
 DISTANCE = 3
 SEED = 42
 ROWS = 1 << 16  # shingles whose bits are held at once
+PART = 1 << 20  # bytes of a text whose words are held at once
+SPACE = re.compile(rb"[ \t-\r]")
 PLAIN = 32  # groups up to this size are compared pair by pair
 FREE = 12  # with so few free bits a group is never split further
 SKEW_SAMPLE = 20_000  # fingerprints that are looked at to find crowded groups early
@@ -32,22 +35,38 @@ SKEW_SAMPLE = 20_000  # fingerprints that are looked at to find crowded groups e
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The unsigned fingerprint of a text; a null or wordless text has 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D part
-    if not words:
-        return 0
-    whole = b" ".join(words)
-    hash64 = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        hashes = [hash64(whole, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-1].tolist()]
-        hashes = [hash64(whole[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist())]
-    n, votes = len(hashes), np.zeros(64, dtype=np.int64)
-    for at in range(0, n, ROWS):
-        part = np.array(hashes[at : at + ROWS], dtype="<u8")
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: only A-Z change, only \x20 and \x09-\x0D part words
+    votes, n, words = np.zeros(64, dtype=np.int64), 0, []
+    for at, end in _parts(raw):
+        words += raw[at:end].split()
+        if len(words) >= width:
+            n += _vote(words, width, votes)
+            words = words[len(words) - width + 1 :]
+    if not n and words:
+        n = _vote(words, len(words), votes)
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def _parts(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Slices of about PART bytes that end at white space."""
+    at = 0
+    while at < len(raw):
+        cut = SPACE.search(raw, at + PART)
+        end = cut.start() if cut else len(raw)
+        yield at, end
+        at = end
+
+
+def _vote(words: list[bytes], width: int, votes: np.ndarray) -> int:
+    """Adds the bits of all shingles to the votes; returns how many shingles there are."""
+    whole, hash64 = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-1].tolist()]
+    hashes = np.array([hash64(whole[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
+    for at in range(0, len(hashes), ROWS):
+        part = hashes[at : at + ROWS]
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    return len(hashes)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from motif.llm import simhash
@@ -15,7 +16,9 @@ def brute(text):
     return sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
 
 
-def test_fingerprints_equal_a_plain_count_of_votes():
+@pytest.mark.parametrize("part", [1, 7, 1 << 20])
+def test_fingerprints_equal_a_plain_count_of_votes(monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
     for text in (None, "", " \t\n", "One", "two words", "Éa B c D e", "a b c a b c", "x\x0by\x1cz w", "w " * 500):
         assert simhash.fingerprint(text) == brute(text)
 
