@@ -56,8 +56,8 @@ class TfIdf:
         self.key, self.words = key, STOP_WORDS if words is None else words
         counted = _terms(rows, key, text, self.words).groupBy(key, "term").agg(F.count("*").alias("tf"))
         stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
-        n = rows.agg(F.count("*").alias("docs"))
-        self.idf = stats.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+        n = rows.count()
+        self.idf = stats.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))  # features rows at most
         weighted = counted.join(F.broadcast(self.idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
         norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         self.weights = weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
@@ -69,7 +69,8 @@ class TfIdf:
         one = spark.createDataFrame([(0, text)], "q int, text string")
         counted = _terms(one, "q", "text", self.words).groupBy("term").agg(F.count("*").alias("tf"))
         weighted = counted.join(self.idf, "term").select("term", (F.col("tf") * F.col("idf")).alias("w"))
-        return weighted.join(F.broadcast(weighted.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))).select("term", (F.col("w") / F.col("norm")).alias("weight"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy()))  # over a query's terms
+        return weighted.select("term", (F.col("w") / norm).alias("weight"))
 
     def search(self, text: str, k: int = 5) -> DataFrame:
         """(key, score): the k rows with the greatest cosine, those without any common term at zero, ties in order of key."""
