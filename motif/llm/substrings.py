@@ -59,7 +59,7 @@ def split_sentences(text: str) -> list[str]:
     return out
 
 
-def runs(text: str, sentences: int, words: int) -> tuple[list[bytes], list[int], list[int]]:
+def runs(text: str, sentences: int, words: int) -> tuple[list[int], list[int], list[int]]:
     """Hash, first sentence and end (exclusive) of every run. Case and white space don't matter."""
     parts = [s.lower().split() for s in split_sentences(text)]
     digests = [xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts]
@@ -72,7 +72,7 @@ def runs(text: str, sentences: int, words: int) -> tuple[list[bytes], list[int],
             j += 1
         if held < words or j - k < sentences:
             break
-        keys.append(xxhash.xxh3_128_digest(b"".join(digests[i] for i in real[k:j])))
+        keys.append(xxhash.xxh3_128_intdigest(b"".join(digests[i] for i in real[k:j])))
         starts.append(real[k])
         ends.append(real[j - 1] + 1)
         held -= sizes[k]
@@ -80,13 +80,16 @@ def runs(text: str, sentences: int, words: int) -> tuple[list[bytes], list[int],
 
 
 def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """Rows (doc, tid, key, start, end, late) of runs; late: the same task has seen a place of the run that comes before."""
+    """Rows (doc, tid, high, low, span, late) of runs: the hash in two longs, the first sentence and the end in one.
+
+    late: the same task has seen a place of the run that comes before.
+    """
 
     def make() -> Callable[[list], dict]:
-        seen: dict[bytes, tuple] = {}  # the least place so far of runs of this task
+        seen: dict[int, tuple] = {}  # the least place so far of runs of this task
 
         def of(rows: list) -> dict:
-            take, keys, starts, ends, late = [], [], [], [], []
+            take, high, low, spans, late = [], [], [], [], []
             if len(seen) > SEEN:
                 seen.clear()
             for i in sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["tid"])):
@@ -97,15 +100,16 @@ def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
                         seen[key] = place
                     late.append(place > least)
                     take.append(i)
-                    keys.append(key)
-                    starts.append(start)
-                    ends.append(end)
-            return {"_take": take, "key": keys, "start": starts, "end": ends, "late": late}
+                    high.append(key >> 64)
+                    low.append(key & (1 << 64) - 1)
+                    spans.append(start << 32 | end)
+            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+            return {"_take": take, "high": signed(high), "low": signed(low), "span": spans, "late": late}
 
         return of
 
     docs = docs.withColumn("_motif_row", F.struct("text", "doc", "tid"))
-    return map_texts(docs, "_motif_row", ["doc", "tid"], make, "key binary, start int, end int, late boolean")
+    return map_texts(docs, "_motif_row", ["doc", "tid"], make, "high long, low long, span long, late boolean")
 
 
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,16 +117,16 @@ def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, origin = None, None
     for b in batches:
         keep = b["late"].to_numpy(copy=True)
-        rows = zip(b["key"].tolist(), b["doc"].tolist(), b["tid"].tolist(), b["start"].tolist())
-        for i, (key, *place) in enumerate(rows):
+        rows = zip(b["high"].tolist(), b["low"].tolist(), b["doc"].tolist(), b["tid"].tolist(), b["span"].tolist())
+        for i, (high, low, *place) in enumerate(rows):
             if keep[i]:
                 continue
-            if key != last:
-                last, origin = key, place
+            if (high, low) != last:
+                last, origin = (high, low), place
             else:
                 keep[i] = place != origin
         if keep.any():
-            yield b.loc[keep, ["doc", "tid", "start", "end"]]
+            yield b.loc[keep, ["doc", "tid", "span"]]
 
 
 def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataFrame:
@@ -130,9 +134,10 @@ def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataF
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tid"), "text")
     places = _places(rows, sentences, words)
     # Late places need no company: they are spread by place, the others meet by key.
-    route = F.when(F.col("late"), F.xxhash64("doc", "tid", "start")).otherwise(F.xxhash64("key"))
-    met = places.repartition(route).sortWithinPartitions("key", "doc", "tid", "start")
-    return met.mapInPandas(_repeats, "doc long, tid long, start int, end int")
+    route = F.when(F.col("late"), F.xxhash64("doc", "tid", "span")).otherwise(F.xxhash64("high", "low"))
+    met = places.repartition(route).sortWithinPartitions("high", "low", "doc", "tid", "span")
+    found = met.mapInPandas(_repeats, "doc long, tid long, span long")
+    return found.select("doc", "tid", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"))
 
 
 def _cover(spans: list) -> list[tuple[int, int]]:
