@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motif.functions import exprs, llmjson, parse, tokens
+from motif.functions import exprs, llmjson, parse, pyast, tokens
 from motif.operators import compositions, fuzzy, patterns, registry, search
 from motif.plans import fixtures
 from motif.plans.oracles import K, SEARCHED
@@ -340,6 +340,44 @@ def py_candidates(spark: SparkSession, d: str) -> DataFrame:
     return found.select("first_seen_file", "frequency", "complexity_score", "abstract_signature", _joined("contexts").alias("contexts"))
 
 
+@query
+def py_complexity(spark: SparkSession, d: str) -> DataFrame:
+    facts = fixtures.snippets(spark).select("id", pyast.python_facts("code").alias("f"))
+    return facts.select("id", F.col("f.complexity").alias("complexity"), F.col("f.valid").alias("valid"))
+
+
+@query
+def py_hash_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The first snippet of the same structure; snippets that can't be parsed have none."""
+    keyed = fixtures.snippets(spark).select("id", pyast.python_facts("code")["hash"].alias("key")).where("key != ''")
+    return keyed.select("id", F.min("id").over(Window.partitionBy("key")).alias("first_id"))
+
+
+@query
+def submit_code(spark: SparkSession, d: str) -> DataFrame:
+    """Two submitted snippets of the same structure make a candidate."""
+    events = sources.submissions(spark, [(fixtures.LOADER, "python", ""), (fixtures.TWIN, "python", "editor"), ("let a = 1;", "typescript", "")])
+    found = patterns.candidates(parse.parse_files(events))
+    return found.select("first_seen_file", "frequency", _joined("contexts").alias("contexts"))
+
+
+@query
+def editor_rules(spark: SparkSession, d: str) -> DataFrame:
+    return registry.editor_rules(fixtures.skills(spark))
+
+
+@query
+def skill_search(spark: SparkSession, d: str) -> DataFrame:
+    """Fixture skills by keyword: name .8, description .5, each tag .3, code .2."""
+    return search.search(fixtures.skills(spark), "JSON", 5, "keyword").select("skill_name", "score")
+
+
+@query
+def skill_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The files that a skill is written to."""
+    return registry.skill_files(fixtures.skills(spark)).select("path")
+
+
 @query
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
     return llmjson.parse_answers(fixtures.answers(spark)).select("id", "skill_name", "category", "code", _joined("tags").alias("tags"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from motif.schema import SKILL
+
 LOADER = '''def load_config(path: str) -> dict:
     try:
         with open(path) as f:
@@ -33,6 +35,25 @@ PIPELINE_FILES = [
     (2, "y.py", "def a():\n    return b()\n\ndef b():\n    return c()\n\ndef c():\n    return 2\n"),
     (3, "z.py", "def again():\n    return again()\n\ndef other():\n    return 1\n"),
 ]
+SNIPPETS = [
+    (1, "def f(a):\n    return a + 1"),
+    (2, "def g(b):\n    return b + 2"),
+    (3, "def f(a: int):\n    return a + 1"),
+    (4, "async def f(a):\n    return a + 1"),
+    (5, "def f(a):\n    return a + 'x'"),
+    (6, "def f(a) -> int:\n    return a.x"),
+    (7, "def f(a) -> str:\n    return a.x"),
+    (8, "def f(a) -> str:\n    return a.y"),
+    (9, "def broken(:"),
+    (10, "[x for x in y if x and z]"),
+    (11, LOADER),
+    (12, TWIN),
+]
+SKILLS = [
+    ("load_json", "io", "Reads json", ["json", "file"], 12, "python"),
+    ("save_json", "io", "Writes json", ["json", "file", "disk"], 5, "tsx"),
+    ("fetch_page", "api_client", "Fetches a page", ["http"], 1, "rust"),
+]
 ANSWERS = [
     (1, '```json\n{"skill_name": "load_json", "category": "io", "code": "x = 1", "tags": ["a", "b"],}\n```'),
     (2, '{"skill": {"name": "fetch", "category": "http", "code": "line1\nline2", "tags": []}}'),
@@ -49,3 +70,12 @@ def files(spark: SparkSession, rows: list) -> DataFrame:
 
 def answers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ANSWERS, "id long, raw string")
+
+
+def snippets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SNIPPETS, "id long, code string")
+
+
+def skills(spark: SparkSession) -> DataFrame:
+    full = [(n, c, d, t, f"def {n}(): pass", f"{n}()", "simple", [], [], "h", f, ["a.py"], lang, "function", 1.0) for n, c, d, t, f, lang in SKILLS]
+    return spark.createDataFrame(full, SKILL)

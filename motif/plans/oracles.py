@@ -169,6 +169,15 @@ ORACLES = {
         ('a.ts', 0, 'useThing', 'hook', true, 'fetchIt', 1, 2), ('b.jsx', 0, 'Card', 'component', false, 'format', 1, 2), ('c.js', 0, 'add', 'arrow_fn', false, '', 1, 0),
         ('c.js', 1, 'plain', 'function', false, 'add,Math.max', 2, 2), ('c.js', 2, 'Box', 'class', false, 'plain', 5, 2)) t(path, unit_pos, name, node_type, exports, calls, line_start, n_lines)""",
     "py_candidates": """SELECT * FROM (VALUES ('a.py', CAST(2 AS BIGINT), CAST(4 AS DOUBLE), 'open → json.load → RuntimeError', 'a.py,b.py')) t(first_seen_file, frequency, complexity_score, abstract_signature, contexts)""",
+    "py_complexity": """SELECT CAST(id AS BIGINT) AS id, CAST(complexity AS DOUBLE) AS complexity, valid FROM (VALUES (1, 1, true), (2, 1, true), (3, 1, true), (4, 1, true), (5, 1, true),
+        (6, 1, true), (7, 1, true), (8, 1, true), (9, 1, false), (10, 3, true), (11, 4, true), (12, 4, true)) t(id, complexity, valid)""",
+    "py_hash_classes": """SELECT CAST(id AS BIGINT) AS id, CAST(first_id AS BIGINT) AS first_id FROM (VALUES (1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6), (8, 8), (10, 10), (11, 11), (12, 11)) t(id, first_id)""",
+    "submit_code": "SELECT 'manual_submission.py' AS first_seen_file, CAST(2 AS BIGINT) AS frequency, 'manual_submission.py,editor.py' AS contexts",
+    "editor_rules": """SELECT * FROM (VALUES ('fetch_page', '- `fetch-page` — Fetches a page [api_client] '), ('load_json', '- `load-json` — Reads json [io] 🐍'),
+        ('save_json', '- `save-json` — Writes json [io] ⚛️')) t(skill_name, line)""",
+    "skill_search": "SELECT skill_name, CAST(score AS DOUBLE) AS score FROM (VALUES ('load_json', 1.8), ('save_json', 1.8)) t(skill_name, score)",
+    "skill_tree": """SELECT s || f AS path FROM (VALUES ('load-json/', 'load_json.py'), ('save-json/', 'save_json.tsx'), ('fetch-page/', 'fetch_page.py')) t(s, c),
+        LATERAL (SELECT unnest(['SKILL.md', 'scripts/' || c, 'references/examples.md', 'meta.json']) AS f)""",
     "json_repair": """SELECT CAST(id AS BIGINT) AS id, skill_name, category, code, tags FROM (VALUES (1, 'load_json', 'io', 'x = 1', 'a,b'), (2, 'fetch', 'api_client', 'line1' || chr(10) || 'line2', ''),
         (3, 'tick', 'io', 'a = "q"', ''), (6, 'cut', 'io', 'y = 2', 'z')) t(id, skill_name, category, code, tags)""",
     "stream_promote": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
