@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -119,6 +119,11 @@ def component_ids(classes: DataFrame, edges: DataFrame, node: str, rep: str) ->
     return labelled.join(least, "root")
 
 
+def exact(name: str) -> Column:
+    """The column of that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Callable[[list], dict]], fields: str) -> DataFrame:
     """The columns keep of df, as they are, and new fields that a function derives from the texts of a column, which may
     be structs with a field text.
@@ -131,7 +136,7 @@ def map_texts(df: DataFrame, column: str, keep: list[str], make: Callable[[], Ca
     new = T._parse_datatype_string(fields)
     keep = [k for k in keep if k not in new.names]
     schema = T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keep] + list(new.fields))
-    df = df.select(*[F.col(k).alias(f"_motif_k{i}") for i, k in enumerate(keep)], F.col(column).alias("_motif_text"))
+    df = df.select(*[exact(k).alias(f"_motif_k{i}") for i, k in enumerate(keep)], exact(column).alias("_motif_text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, types = make(), to_arrow_schema(schema)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_texts, materialize
+from .common import NO_ID, exact, map_texts, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -211,4 +211,4 @@ def redact(docs: DataFrame) -> DataFrame:
     done = map_texts(joined, "_motif_pair", [c for c in docs.columns if c != "text"], make, "text string")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done.select(*map(exact, docs.columns))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import component_ids, map_texts, materialize
+from .common import component_ids, exact, map_texts, materialize
 
 DISTANCE = 3
 SEED = 42
@@ -251,6 +251,6 @@ def deduplicate(docs: DataFrame, width: int = 3, cap: int = 4096) -> DataFrame:
     groups = simhash_groups(docs, width, cap)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    named = named.select(*docs.columns, F.row_number().over(first).alias("_motif_n")).where("_motif_n = 1").drop("_motif_n")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = named.select(*map(exact, docs.columns), F.row_number().over(first).alias("_motif_n")).where("_motif_n = 1").drop("_motif_n")
     return named.unionByName(docs.where("doc_id is null"))
