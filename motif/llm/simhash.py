@@ -8,6 +8,9 @@ A group of more than `cap` distinct fingerprints is not compared as it is. Its m
 still free are cut into four blocks; of two fingerprints with three or fewer differences, one block must be equal, so
 each member goes to four smaller groups. A group with b free bits has 2^b members at most, so this ends, is exact, and
 no task ever holds more than `cap` members or 2^12. Very crowded groups are known from a sample and never even meet.
+
+Three bits of 64 mean almost equal texts. Where a similarity of word shingles is asked for (similar_groups), a text has many
+fingerprints, each of a few shingles that min-hashing draws from its set; texts that share one are compared exactly.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ SPACE = re.compile(rb"[ \t-\r]")
 PLAIN = 32  # groups up to this size are compared pair by pair
 FREE = 12  # with so few free bits a group is never split further
 SKEW_SAMPLE = 20_000  # fingerprints that are looked at to find crowded groups early
+DRAWS, DRAWN = 24, 6  # fingerprints of drawn shingles and the shingles in each: of pairs with Jaccard 0.8, 1 - (1 - 0.8^6)^24 = 0.999 share one
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -57,12 +61,17 @@ def _parts(raw: bytes) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _vote(words: list[bytes], width: int, votes: np.ndarray) -> int:
-    """Adds the bits of all shingles to the votes; returns how many shingles there are."""
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The hashes of all shingles of the words."""
     whole, hash64 = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
-    hashes = np.array([hash64(whole[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
+    return np.array([hash64(whole[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
+
+
+def _vote(words: list[bytes], width: int, votes: np.ndarray) -> int:
+    """Adds the bits of all shingles to the votes; returns how many shingles there are."""
+    hashes = _hashes(words, width)
     for at in range(0, len(hashes), ROWS):
         part = hashes[at : at + ROWS]
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -242,13 +251,102 @@ def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; fewer words than width are one shingle, no words none."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    out, words = [], []
+    for at, end in _parts(raw):
+        words += raw[at:end].split()
+        if len(words) >= width:
+            out.append(_hashes(words, width))
+            words = words[len(words) - width + 1 :]
+    if not out and words:
+        out.append(_hashes(words, len(words)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype="<u8")
+
+
+def _drawn(found: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """The DRAWS fingerprints of a set of shingles, each over the DRAWN least under as many orders."""
+    least = np.full(DRAWS * DRAWN, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, ((found[None, at : at + 1024] ^ mix[0][:, None]) * mix[1][:, None]).min(axis=1))
+    bits = np.unpackbits(least.astype("<u8").view(np.uint8).reshape(DRAWS, DRAWN, 8), axis=2, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=1) > DRAWN, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, t (a hash of the text), id (a digest of the set of shingles), n (its size) and keys of every row."""
+
+    def make():
+        mix = np.random.default_rng(SEED).integers(0, 2**64, (2, DRAWS * DRAWN), dtype=np.uint64)
+        mix[1] |= np.uint64(1)
+
+        def run(texts: list) -> dict:
+            sets = [shingles(t, width) for t in texts]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            return {"id": ids, "n": [len(s) for s in sets], "keys": [_drawn(s, mix).view(np.int64) for s in sets]}
+
+        return run
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    return map_texts(keyed, "text", ["doc_id", "t"], make, "id long, n long, keys array<long>")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets of shingles have at least that Jaccard similarity, computed exactly."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "t")
+    texts = docs.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t").groupBy("id").agg(F.min("text").alias("text"))
+    made = lambda texts: {"s": [shingles(t, width).view(np.int64) for t in texts]}
+    sets = materialize(map_texts(texts, "text", ["id"], lambda: made, "s array<long>"), "sets")
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    met = met.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return materialize(met.where(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("a", "b"), "similar")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """doc_id, root, component_id of every row of docs: groups linked by a Jaccard similarity of word shingles.
+
+    Rows with equal sets of shingles are one class. Classes that share a fingerprint of drawn shingles meet: first each
+    with one class of the group, then, in groups that this left in several components, all pairs across components. So
+    every pair that meets is compared or already linked, and near copies of one text cost one comparison each. All
+    comparisons are exact; null and wordless texts are one class.
+    """
+    rows = materialize(_sketches(docs, width), "sketches")
+    classes = rows.groupBy("id").agg(F.min("t").alias("t"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = materialize(classes, "classes")
+    keyed = classes.where("n > 0").select("id", "n", F.posexplode("keys").alias("k", "key"))
+    keyed = keyed.select("id", "n", F.xxhash64("k", "key").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", "key")).alias("centre")).where("c > 1").drop("c")
+    met = materialize(keyed.join(groups, "key"), "met")
+    near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    stars = met.where("id != centre").join(classes.select(F.col("id").alias("centre"), F.col("n").alias("m")), "centre").where(near)
+    links = _verified(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")), classes, docs, similarity, width)
+    roots = materialize(component_ids(classes.select("id", "rep"), links, "id", "rep").select("id", "root"), "roots")
+    met = materialize(met.join(roots, "id").join(roots.toDF("centre", "main"), "centre"), "met")
+    apart = met.where("root != main")
+    others = met.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    across = apart.join(others, "key").where(F.col("root") != F.col("other")).where(near)
+    links = links.unionByName(_verified(across.select(F.col("id").alias("a"), "b"), classes, docs, similarity, width))
+    labels = component_ids(classes.select("id", "rep"), links, "id", "rep")
+    return rows.select("doc_id", "id").join(labels.select("id", "root", "component_id"), "id").drop("id")
+
+
 def deduplicate(docs: DataFrame, width: int = 3, cap: int = 4096) -> DataFrame:
-    """The rows of docs that stay: one document of each group, the one with the least doc_id.
+    """The rows of docs that stay: one document of each group of simhash_groups, the one with the least doc_id.
 
     Rows that repeat a kept doc_id are the same document; one of them stays. A row without doc_id can't be named by a
     decision and stays.
     """
-    groups = simhash_groups(docs, width, cap)
+    return _first_of(docs, simhash_groups(docs, width, cap))
+
+
+def deduplicate_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """As deduplicate, with the groups of similar_groups."""
+    return _first_of(docs, similar_groups(docs, similarity, width))
+
+
+def _first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

@@ -98,3 +98,37 @@ def test_nulls_repeats_and_empty_tables(spark, make):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, None, 8, 7], key=str)
+
+
+def test_the_stage_links_all_that_share_four_fifths_of_five_word_shingles(spark, make):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    docs = []
+    for base in range(12):
+        words = [word() for _ in range(120)]
+        for edits in (0, 1, 2, 2, 3, 4):
+            copy = list(words)
+            for i in rng.sample(range(120), edits):
+                copy[i] = word()
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(1000 + i, " ".join(docs[0][1].split()[:100] + [f"tail{i}"])) for i in range(40)] + [(2000, None), (2001, " "), (2002, "one two"), (2003, "One two")]
+    sets = {i: {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in docs}
+    root = {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    kept = corpus_pipeline.near_duplicates(spark, make(docs), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in root})
+    assert corpus_pipeline.near_duplicates(spark, make([]), "").collect() == []
