@@ -43,7 +43,8 @@ IMPLIED = {
     "option": (("option",), ("select",)),
 }
 CONTAINERS = ("article", "main")
-PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure section".split())
+HOLDERS = BLOCKS | {"td", "th"}  # what can be taken by itself; the body is taken as the core only
+HOLDERS -= {"html", "body"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent "
@@ -225,13 +226,27 @@ def choose(nodes: list[Node]) -> list[Node]:
         return [lifted]
     if core is body:
         return [body]
-    around = core.parent if core.parent is not None else core
+    parts: dict[int, Node] = {}  # of each element, the one with the largest sum in it, itself included
+    for n in reversed(inner):
+        best = n
+        for x in n.items:
+            if not isinstance(x, str) and not x.boilerplate and x.chars and parts[id(x)].sum > best.sum:
+                best = parts[id(x)]
+        parts[id(n)] = best
     marked = {id(core)}
-    for n in around.items:
-        if not isinstance(n, str) and not n.boilerplate and n.chars and n.density >= threshold:
-            if n.tag in PARAGRAPHS and 2 * n.link_chars < n.chars:
-                marked.add(id(n))
-    return [n for n in around.items if not isinstance(n, str) and id(n) in marked]
+    for n in inner:
+        if n.density >= threshold and n.tag in HOLDERS and 2 * n.link_chars < n.chars:
+            part = parts[id(n)]
+            if part.tag in HOLDERS and 2 * part.link_chars < part.chars:
+                marked.add(id(part))
+    out, todo = [], [body]
+    while todo:
+        n = todo.pop()
+        if id(n) in marked:
+            out.append(n)
+        else:
+            todo += [x for x in reversed(n.items) if not isinstance(x, str) and not x.boilerplate]
+    return out
 
 
 def blocks(node: Node) -> Iterator[str]:

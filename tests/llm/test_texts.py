@@ -108,6 +108,17 @@ def test_main_text(body, want):
     assert html.extract(PAGE % body) == want
 
 
+def test_text_in_several_parts_is_whole():
+    three = lambda k: "".join(f"<p>{f'part {k} paragraph {i} '.ljust(300, 'x')}</p>" for i in range(3))
+    lead = f"<p>{'lead '.ljust(300, 'y')}</p>"
+    link = "<ul><li><a href=a>One place to go</a><li><a href=b>Another place to go</a></ul>"
+    for parts in (2, 3):
+        body = f"<div id=page><div>{link}</div><div>{lead}<div id=story>" + "".join(f"<div>{three(k)}</div>" for k in range(parts)) + f"</div></div><div>{link}</div></div>"
+        found = html.extract(PAGE % body).split("\n")
+        assert len(found) == 1 + 3 * parts and found[0].startswith("lead")
+        assert [t[:18] for t in found[1:]] == [f"part {k} paragraph {i}" for k in range(parts) for i in range(3)]
+
+
 def test_pages_of_nulls_and_broken_markup(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text"), (4, "u", "<p>open <b>never closed"), (5, "u", "</div></p><<>>&bogus;<a href='x"), (None, "u", "<p>x</p>"), (None, "u", "<p>x</p>"), (6, "u", "<div>" * 3000 + "deep")]
     found = html.extract_column(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
