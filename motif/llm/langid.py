@@ -3,8 +3,9 @@
 A text becomes lower-case letters with one space between words; its n-grams of one to three characters are counted in
 hashed features, damped, weighted by inverse document frequency over all training documents, and normalised. Each
 language's vectors, of a bounded sample of labelled rows, are clustered into several centroids (spherical k-means). A text
-gets the language of its nearest centroid by cosine. It is rejected if even that is further away than any text of that
-language in the sample was, by a margin, or if it has no letter.
+gets the language of its nearest centroid by cosine. It is rejected if even that is further away, by a margin, than nearly
+all texts of that language in the sample were, or if it has no letter. There are so many features that few n-grams of a long
+foreign text share one with a language's own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, small_batches
 
-FEATURES = 4096
+FEATURES = 1 << 16
+#: The share of a language's sample that may be odd without a say in what is rejected.
+ODD = 0.05
+#: Texts with fewer features reach less: the cosine of a few n-grams with a broad centroid grows as the root of their number.
+ENOUGH = 64
 #: Characters whose n-grams are held at once.
 PART = 1 << 18
 
@@ -51,15 +56,17 @@ def counts(text: str, table: np.ndarray) -> np.ndarray | None:
         two = b * np.uint32(0x9E3779B1) ^ c * np.uint32(0x85EBCA6B)
         three = two ^ a * np.uint32(0xC2B2AE35)
         for h in (two, (three ^ three >> np.uint32(15)) * np.uint32(0x27D4EB2F), b * np.uint32(0x165667B1)):
-            out += np.bincount(h >> np.uint32(20), minlength=FEATURES)
+            out += np.bincount(h >> np.uint32(16), minlength=FEATURES)
     if found:
         return out
     return None if not any(c.isalpha() for c in text) else out + np.bincount([1], minlength=FEATURES)
 
 
-def vector(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(tf) * idf
-    return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
+def vector(tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that a text has, and their weights: a unit vector."""
+    k = np.flatnonzero(tf)
+    v = np.log1p(tf[k]) * idf[k]
+    return k, (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
 
 
 @dataclass
@@ -108,7 +115,7 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     c = vectors[starts]
     for _ in range(rounds):
         mine = np.argmax(vectors @ c.T, axis=1)
-        c = np.stack([vectors[mine == i].sum(axis=0) for i in np.unique(mine)])
+        c = np.stack([(mine == i).astype(vectors.dtype) @ vectors for i in np.unique(mine)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
@@ -118,7 +125,8 @@ def train(docs: DataFrame, sample: int = 2000, clusters: int = 4, margin: float
 
     Document frequencies count all of them. Centroids come from `sample` rows at most, that is sample / languages rows of
     each language, chosen by hashes of their ids. margin: a text is rejected if its cosine is below this
-    share of the least cosine that the sample's texts of its language have.
+    share of the cosine that all but ODD of the sample's texts of its language reach; texts of fewer than
+    ENOUGH features need less.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(is_training()).select("doc_id", "lang", "text")
@@ -139,12 +147,18 @@ def train(docs: DataFrame, sample: int = 2000, clusters: int = 4, margin: float
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         table = letter_table()
-        tfs = [tf for t in pdf["text"] if t and (tf := counts(t, table)) is not None]
-        if not tfs:
+        found = [vector(tf, idf) for t in pdf["text"] if t and (tf := counts(t, table)) is not None]
+        if not found:
             return pd.DataFrame({"lang": [], "centroid": [], "least": []})
-        v = np.stack([vector(tf, idf) for tf in tfs])
-        c = _clusters(v, clusters)
-        least = float((v @ c.T).max(axis=1).min())
+        used = np.unique(np.concatenate([k for k, _ in found]))
+        v = np.zeros((len(found), len(used)), dtype=np.float32)
+        for row, (k, x) in zip(v, found):
+            row[np.searchsorted(used, k)] = x
+        few = _clusters(v, clusters)
+        few = few[np.bincount(np.argmax(v @ few.T, axis=1), minlength=len(few)) >= ODD * len(v) / clusters]  # odd texts are no centre
+        least = float(np.quantile((v @ few.T).max(axis=1), ODD))
+        c = np.zeros((len(few), FEATURES), dtype=np.float32)
+        c[:, used] = few
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "centroid": list(c), "least": [least] * len(c)})
 
     chosen = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")  # sample rows at most
@@ -181,12 +195,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                     score.append(0.0)
                     rejected.append(True)
                     continue
-                cosines = vector(tf, m.idf) @ turned
+                features, weights = vector(tf, m.idf)
+                cosines = weights @ turned[features]
                 k = int(np.argmax(cosines))
                 best = min(1.0, max(0.0, float(cosines[k])))
                 lang.append(m.languages[m.owner[k]])
                 score.append(best)
-                rejected.append(bool(best < m.least[m.owner[k]]))
+                rejected.append(bool(best < m.least[m.owner[k]] * min(1.0, len(features) / ENOUGH) ** 0.5))
             return {"lang_pred": lang, "score": score, "rejected": rejected}
 
         return run

@@ -81,6 +81,29 @@ def test_held_out_accuracy_and_rejection(spark):
     assert all(r["h"] == (r["doc_id"] is not None and langid.crc_mod(r["doc_id"]) == 0) for r in marked)
 
 
+def test_foreign_texts_of_any_length_are_rejected(spark):
+    rng = random.Random(10)
+    common = {"en": "the of and to that was with for his they have this from were there which their would about been", "fi": "oli ja hän että kuin mutta joka sitä olla vain talossa metsän järvellä kaupunkiin iltapäivällä"}
+    ends = "tion ment ing ness ous ed er ly able ward"
+    rows = []
+    stems = "sta rea form light count power water inter press hand work read build call".split()
+    for i in range(400):
+        words = [rng.choice(common["en"].split()) if rng.random() < 0.6 else rng.choice(stems) + rng.choice(ends.split()) for _ in range(rng.choice([3, 40, 400]))]
+        rows.append((i, " ".join(words), "en"))
+    rows += [(400, "qx zj " * 40, "en"), (401, "w", "en")]  # odd rows
+    foreign = {
+        "hangul": lambda: "".join(chr(rng.randint(0xAC00, 0xD7A3)) for _ in range(3)),
+        "greek": lambda: "".join(rng.choices("αβγδεζηθικλμνοπρστυφχψω", k=5)),
+        "random": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))),
+        "fi": lambda: rng.choice(common["fi"].split()),
+    }
+    far = [(1000 + len(foreign) * i + j, " ".join(word() for _ in range(n)), None) for i, n in enumerate((30, 500, 3000)) for j, word in enumerate(foreign.values())]
+    near = [(2000, "that was the station of their", None), (2001, "there", None)]
+    docs = spark.createDataFrame(rows + far + near, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["rejected"] for r in langid.predict(docs, langid.train(docs), ["doc_id"]).collect()}
+    assert all(found[i] for i, _, _ in far) and not any(found[i] for i in [*range(400), 2000, 2001])
+
+
 def test_language_model_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.predict(docs, langid.train(docs), ["doc_id"]).first()["lang_pred"] == "und"
