@@ -8,7 +8,8 @@ frames is verified. Durations are exact: samples and rate are both integers. Eve
 is what a seek needs.
 
 write() makes a layer III stream of silent frames (all-zero side information) in whose main-data bytes, which no granule
-claims, the payload lies. Its length stands in an ID3v2 tag, and a Xing table leads the frames.
+claims, the payload lies. Its length stands in an ID3v2 tag, and a Xing table leads the frames. An empty ID3v1 tag ends the
+stream, so that no payload stands where one is looked for.
 """
 
 from __future__ import annotations
@@ -213,6 +214,7 @@ def _frame_head(index: int) -> bytes:
     return head + crc.to_bytes(2, "big") + bytes(SIDE)
 
 
+END = b"TAG".ljust(127, b"\0") + b"\xff"  # an ID3v1 tag without a genre
 HEADS = [_frame_head(i) for i in range(len(KBPS))]
 
 
@@ -242,7 +244,7 @@ def write(payload: bytes) -> bytes:
     at = (np.arange(100) * frames) // 100
     table += bytes(np.minimum(255, starts[at] * 256 // (size + len(audio))).astype(np.uint8)) if frames else bytes(100)
     tag = _text_frame("payload_bytes", str(len(payload)))
-    return b"ID3\x04\0\0" + _pack_synchsafe(len(tag)) + tag + table.ljust(size, b"\0") + audio
+    return b"ID3\x04\0\0" + _pack_synchsafe(len(tag)) + tag + table.ljust(size, b"\0") + audio + END
 
 
 def read(data: bytes, audio: Audio | None = None) -> bytes:

@@ -19,6 +19,13 @@ def test_round_trip_and_seek_offsets(n):
     assert all(stored[i] == 0xFF for i in found.offsets)
 
 
+def test_payloads_that_hold_a_tag_at_any_place_from_the_end():
+    for n in (128, 192, 936, 1024):
+        for at in range(max(0, n - 260), n - 2):
+            payload = (b"x" * at + b"TAG").ljust(n, b"y")
+            assert audio.read(audio.write(payload)) == payload
+
+
 def test_resynchronises_after_junk_and_counts_damage():
     stored = audio.write(bytes(range(256)) * 20)
     clean = audio.parse(stored)
