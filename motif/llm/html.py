@@ -5,7 +5,8 @@ links in it and compared with the page's. The densities of an element's children
 largest sum is the core. The least density on the way from the core up to the body is the threshold: elements at or above
 it may hold content, and of each of them the part with the largest sum counts. A core inside an article or main element
 stands for all of it. Menus, headers, footers, sidebars, notices, adverts, forms, reader comments and what is never shown
-are taken out first, by element, role, and class or id names.
+are taken out first, by element, role, and class or id names. A form, or an element with such a name, that holds most of the
+page's text outside links stays, and its parts are judged by themselves; not so if it is outside the page's article or main.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ NAMES = set(
     "breadcrumb breadcrumbs footer masthead topbar comment comments disqus respond reply replies share sharing social related "
     "recommended recommendations pagination pager widget login search skip toolbar copyright outbrain taboola".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+NEVER = set("comment comments disqus respond reply replies cookie cookies consent gdpr newsletter".split())  # long, yet no article
 COMMENTS = set("comment comments disqus replies".split())
 NOT_NAMES = set("has with no without is js".split())
 
@@ -65,10 +68,11 @@ PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "boilerplate", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "boilerplate", "weak", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items, self.boilerplate = tag, parent, [], False
+        self.weak = 0  # 1: boilerplate unless it holds most of the text; 2: unless it holds all of it
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -81,29 +85,62 @@ def _inside(node: Node | None, tags: tuple) -> bool:
     return False
 
 
-def _is_boilerplate(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in DROPPED:
-        return True
+def _boilerplate(tag: str, attributes: str, parent: Node) -> int:
+    """0: no boilerplate; 1, 2: by name or as a form, see Node.weak; 3: whatever it holds."""
+    if tag in DROPPED and tag != "form":
+        return 3
     if tag == "header" and not _inside(parent, CONTAINERS):
-        return True
+        return 3
+    found = int(tag == "form")
     if tag in ("html", "body", "main") or not INTERESTING.search(attributes):
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return 3
+        if name == "role" and (role := value.strip().lower()) in ROLES:
+            if role != "form":
+                return 3
+            found = max(found, 1)
+        if name == "id" and (tag in HEADINGS or tag == "section" and _inside(parent, CONTAINERS)):
+            continue  # made from the heading's words
         if name in ("class", "id"):
             for word in value.split():
                 parts = [p.lower() for p in PART.findall(word)]
                 if not parts or parts[0] in NOT_NAMES:
                     continue
                 if (COMMENTS if tag == "article" else NAMES) & {parts[0], parts[-1]}:
-                    return True
+                    found = max(found, 2 if NEVER & {parts[0], parts[-1]} else 1)
                 if parts[-1] == "header" and not _inside(parent, CONTAINERS) and not {"article", "entry", "post"} & set(parts):
-                    return True
-    return False
+                    found = max(found, 1)
+    return found
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Decides about forms and elements with names of boilerplate, from the outside in."""
+    if not any(n.weak for n in nodes):
+        return
+    own: dict[int, int] = {}  # text outside links, without what goes whatever it holds
+    sure: dict[int, int] = {}  # also without comments and the like
+    articles: dict[int, int] = {}  # article and main elements with text
+    for n in reversed(nodes):
+        a = b = 0
+        articles[id(n)] = sum(articles[id(x)] for x in n.items if not isinstance(x, str))
+        if not n.boilerplate and n.tag != "a":
+            for x in n.items:
+                a += len(x.strip()) if isinstance(x, str) else own[id(x)]
+                b += len(x.strip()) if isinstance(x, str) else sure[id(x)]
+        own[id(n)], sure[id(n)] = a, 0 if n.weak == 2 else b
+        if n.tag in CONTAINERS and not n.weak and b:
+            articles[id(n)] += 1
+        if n.weak == 2 or n.boilerplate:
+            articles[id(n)] = 0
+    held = sure if sure[id(nodes[0])] else own
+    page = held[id(nodes[0])]
+    for n in nodes[1:]:
+        outside = articles[id(nodes[0])] and not articles[id(n)] and n.weak and not _inside(n, CONTAINERS)
+        if n.parent.boilerplate or outside or n.weak and 2 * held[id(n)] <= page:
+            n.boilerplate = True
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -155,7 +192,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     break
         parent = stack[-1]
         node = Node(tag, parent)
-        node.boilerplate = parent.boilerplate or _is_boilerplate(tag, m[3] or "", parent)
+        kind = 3 if parent.boilerplate else _boilerplate(tag, m[3] or "", parent)
+        node.boilerplate, node.weak = kind == 3, kind % 3
         parent.items.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -166,6 +204,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             stack.append(node)
             opened[tag] += 1
+    _settle(nodes)
     return root, nodes
 
 

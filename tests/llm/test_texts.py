@@ -142,6 +142,17 @@ def test_text_in_several_parts_is_whole():
         assert [t[:18] for t in found[1:]] == [f"part {k} paragraph {i}" for k in range(parts) for i in range(3)]
 
 
+def test_names_and_forms_do_not_take_the_text_away():
+    text = "<h2 id='related-work'>Other work</h2><p>%s</p><section id='notice-period'><h3 id='how-to-login'>How to</h3><p>Some more of it.</p></section>" % ("word " * 60)
+    want = "\n".join(["Other work", " ".join(["word"] * 60), "How to", "Some more of it."])
+    assert html.extract(PAGE % f"<article>{text}</article>") == want
+    for wrap in ("<form id=aspnetForm>%s</form>", "<div class='sidebar-right'>%s</div>", "<form><div id=search-page>%s</div></form>"):
+        page = wrap % f"<div class=menu><p>Places to go</p></div><article>{text}</article><div id=comments><p>{'long comment ' * 90}</p></div>"
+        assert html.extract(f"<html><body>{page}</body></html>") == want
+    assert html.extract("<body><form><label>Name</label><input name=x></form><p>Text</p></body>") == "Text"
+    assert html.extract("<body><div class=ad>A long advert beside it.</div><article>Short.</article></body>") == "Short."
+
+
 def test_pages_of_nulls_and_broken_markup(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text"), (4, "u", "<p>open <b>never closed"), (5, "u", "</div></p><<>>&bogus;<a href='x"), (None, "u", "<p>x</p>"), (None, "u", "<p>x</p>"), (6, "u", "<div>" * 3000 + "deep")]
     found = html.extract_column(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
