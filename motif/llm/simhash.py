@@ -32,6 +32,7 @@ ROWS = 1 << 16  # shingles whose bits are held at once
 PART = 1 << 20  # bytes of a text whose words are held at once
 SPACE = re.compile(rb"[ \t-\r]")
 PLAIN = 32  # groups up to this size are compared pair by pair
+PAIRED = 6  # of drawn shingles: larger groups that hold several components go through the prefix filter
 FREE = 12  # with so few free bits a group is never split further
 SKEW_SAMPLE = 20_000  # fingerprints that are looked at to find crowded groups early
 DRAWS, DRAWN = 24, 6  # fingerprints of drawn shingles and the shingles in each: of pairs with Jaccard 0.8, 1 - (1 - 0.8^6)^24 = 0.999 share one
@@ -292,42 +293,83 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(keyed, "text", ["doc_id", "t"], make, "id long, n long, keys array<long>")
 
 
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, s): the sorted distinct shingles of the wanted classes (id)."""
+    few = classes.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "t")
+    texts = docs.select(F.xxhash64("text").alias("t"), "text").join(few, "t").groupBy("id").agg(F.min("text").alias("text"))
+    made = lambda texts: {"s": [shingles(t, width).view(np.int64) for t in texts]}
+    return map_texts(texts, "text", ["id"], lambda: made, "s array<long>")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets of shingles have at least that Jaccard similarity, computed exactly."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "t")
-    texts = docs.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t").groupBy("id").agg(F.min("text").alias("text"))
-    made = lambda texts: {"s": [shingles(t, width).view(np.int64) for t in texts]}
-    sets = materialize(map_texts(texts, "text", ["id"], lambda: made, "s array<long>"), "sets")
+    sets = materialize(_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, width), "sets")
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     met = met.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
     return materialize(met.where(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("a", "b"), "similar")
 
 
+def _near(n: str, m: str, similarity: float) -> F.Column:
+    """Whether sets of n and m shingles can have that Jaccard similarity."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _crowded_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of members (id, n, root) of different roots that may be similar, by an exact prefix filter.
+
+    With shingles in order of falling rarity among the members, two sets that are similar share one of their first
+    n - similarity * n + 1. What a member shares with nobody counts for its prefix but brings no pair, so a copy with many
+    edits of its own meets nobody. Pairs whose shared shingles can't suffice any more from where they meet are left out.
+    """
+    shingle = members.join(sets, "id").select("id", "n", "root", F.explode("s").alias("shingle"))
+    shared = shingle.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("id")
+    held = shingle.join(shared, "shingle").withColumns({"m": F.count("*").over(own), "at": F.row_number().over(own.orderBy("f", "shingle"))})
+    held = held.withColumn("at", F.col("at") + F.col("n") - F.col("m")).where(F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    enough = lambda both, n, m: both >= similarity / (1 + similarity) * (n + m) - 1e-9
+    least = held.groupBy("shingle").agg(F.min("n").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").drop("r0", "r1")
+    held = held.join(least, "shingle").where(enough(F.col("m"), F.col("n"), F.col("least"))).drop("least")
+    x = held.select("shingle", F.col("id").alias("a"), "n", "m", "at", "root")
+    y = held.select("shingle", F.col("id").alias("b"), *[F.col(c).alias("y_" + c) for c in ("n", "m", "at", "root")])
+    most = F.least("m", "y_m", 1 + F.col("n") - F.col("at"), 1 + F.col("y_n") - F.col("y_at"))
+    met = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("y_root")) & _near("n", "y_n", similarity))
+    return met.where(enough(most, F.col("n"), F.col("y_n"))).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, root, component_id of every row of docs: groups linked by a Jaccard similarity of word shingles.
 
     Rows with equal sets of shingles are one class. Classes that share a fingerprint of drawn shingles meet: first each
-    with one class of the group, then, in groups that this left in several components, all pairs across components. So
-    every pair that meets is compared or already linked, and near copies of one text cost one comparison each. All
-    comparisons are exact; null and wordless texts are one class.
+    with one class of the group, the one that meets most others, so near copies of one text cost one comparison each.
+    Of groups that this left in several components, the small ones compare all pairs across components; the members of
+    larger ones go through an exact prefix filter instead, so a crowd of copies that are too different from each
+    other isn't compared pair by pair. So every pair that meets is compared, known to be too different, or already
+    linked. All comparisons are exact; null and wordless texts are one class.
     """
     rows = materialize(_sketches(docs, width), "sketches")
     classes = rows.groupBy("id").agg(F.min("t").alias("t"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
     keyed = classes.where("n > 0").select("id", "n", F.posexplode("keys").alias("k", "key"))
     keyed = keyed.select("id", "n", F.xxhash64("k", "key").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", "key")).alias("centre")).where("c > 1").drop("c")
-    met = materialize(keyed.join(groups, "key"), "met")
-    near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    stars = met.where("id != centre").join(classes.select(F.col("id").alias("centre"), F.col("n").alias("m")), "centre").where(near)
+    met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"), "met")
+    weighed = met.join(met.groupBy("id").agg(F.sum("c").alias("w")), "id")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("z")).select("key", F.col("z.id").alias("centre"), F.col("z.n").alias("m"))
+    stars = met.join(centres, "key").where((F.col("id") != F.col("centre")) & _near("n", "m", similarity))
     links = _verified(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")), classes, docs, similarity, width)
-    roots = materialize(component_ids(classes.select("id", "rep"), links, "id", "rep").select("id", "root"), "roots")
-    met = materialize(met.join(roots, "id").join(roots.toDF("centre", "main"), "centre"), "met")
-    apart = met.where("root != main")
-    others = met.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    across = apart.join(others, "key").where(F.col("root") != F.col("other")).where(near)
-    links = links.unionByName(_verified(across.select(F.col("id").alias("a"), "b"), classes, docs, similarity, width))
+    roots = component_ids(classes.select("id", "rep"), links, "id", "rep").select("id", "root")
+    met = materialize(met.join(roots, "id"), "met")
+    apart = met.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    met = materialize(met.join(apart, "key", "left_semi"), "apart")
+    few = met.where(F.col("c") <= PAIRED)
+    others = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    pairs = few.join(others, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("other")) & _near("n", "m", similarity))
+    pairs = pairs.select(F.col("id").alias("a"), "b")
+    members = materialize(met.where(F.col("c") > PAIRED).select("id", "n", "root").distinct(), "members")
+    if not members.isEmpty():
+        sets = materialize(_sets(members, classes, docs, width), "sets")
+        pairs = pairs.unionByName(_crowded_pairs(members, sets, similarity))
+    links = links.unionByName(_verified(pairs, classes, docs, similarity, width))
     labels = component_ids(classes.select("id", "rep"), links, "id", "rep")
     return rows.select("doc_id", "id").join(labels.select("id", "root", "component_id"), "id").drop("id")
 
