@@ -76,6 +76,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """df, known to have about that many rows at most, in partitions of about `each` rows: little data makes few files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def _signature(edges: DataFrame) -> tuple:
     """Of a set of edges: its size and an order-free digest."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -89,7 +94,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     adaptive execution splits when a node has very many edges. Each round is written, so lineage stays short.
     """
     a, b = F.col("a"), F.col("b")
-    e = materialize(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    rows = edges.count()
+    e = materialize(fitted(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows), "edges")
     before = _signature(e)
     for _ in range(max_rounds):
         if not before[0]:
@@ -100,7 +106,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.distinct(), "edges")
+        e = materialize(fitted(small.distinct(), before[0]), "edges")
         now = _signature(e)
         if now == before:
             break
@@ -111,12 +117,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def component_ids(classes: DataFrame, edges: DataFrame, node: str, rep: str) -> DataFrame:
-    """classes (node, rep, ...) with root, the class's component, and component_id, the least rep in it."""
-    roots = connected_components(edges)
-    labelled = classes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
-    labelled = materialize(labelled, "labelled")
-    least = labelled.groupBy("root").agg(F.min(rep).alias("component_id"))
-    return labelled.join(least, "root")
+    """classes (node, rep, ...) with root, the class's component, and component_id, the least rep in it.
+
+    Only linked classes are aggregated; a class without a link is its own component.
+    """
+    roots = connected_components(edges).withColumnRenamed("node", node)
+    least = classes.select(node, rep).join(roots, node).groupBy("root").agg(F.min(rep).alias("_motif_least"))
+    named = roots.join(least, "root")
+    own = F.col("root").isNull()
+    labelled = classes.join(named, node, "left").withColumn("component_id", F.when(own, F.col(rep)).otherwise(F.col("_motif_least")))
+    return labelled.withColumn("root", F.coalesce("root", node)).drop("_motif_least")
 
 
 def exact(name: str) -> Column:

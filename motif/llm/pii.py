@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, exact, map_texts, materialize
+from .common import NO_ID, exact, fitted, map_texts, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -148,7 +148,9 @@ def discover(scanned: DataFrame, rounds: int = 3, support: float = 3.0, confiden
     of a pattern and score of an instance. Copies of a text add no instances, so they lend no support.
     """
     each = scanned.select("row", "doc_id", "tid", F.explode("mentions").alias("m")).select("row", "doc_id", "tid", "m.*")
-    pairs = materialize(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pairs")
+    many = scanned.agg(F.coalesce(F.sum(F.size("mentions")), F.lit(0))).first()[0]
+    pairs = materialize(fitted(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), many), "pairs")
+    many = pairs.count()
     sizes = pairs.groupBy("pattern").agg(F.count("*").alias("n"))
     scores = pairs.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     patterns = None
@@ -156,11 +158,11 @@ def discover(scanned: DataFrame, rounds: int = 3, support: float = 3.0, confiden
         held = pairs.drop("kind").join(scores, "value")
         sums = held.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("seen")).where(F.col("s") >= support)
         patterns = sums.join(sizes, "pattern").select("pattern", "kind", (F.col("s") / F.col("n")).alias("conf")).where(F.col("conf") >= confidence / 2)
-        patterns = materialize(patterns, "patterns")
+        patterns = materialize(fitted(patterns, many), "patterns")
         new = pairs.where("kind < 0").drop("kind").join(patterns, "pattern")
         new = new.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.999)))))).alias("score"))
         seeds = pairs.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("score")).distinct()
-        scores = materialize(seeds.unionByName(new).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
+        scores = materialize(fitted(seeds.unionByName(new).groupBy("value", "kind").agg(F.max("score").alias("score")), many), "scores")
     good = patterns.where(F.col("conf") >= confidence)
     found = each.where("kind < 0").drop("kind").join(good, "pattern").join(scores.where(F.col("score") >= confidence), ["value", "kind"])
     best = F.max(F.struct("score", -F.col("kind"))).alias("best")

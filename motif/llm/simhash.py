@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import component_ids, exact, map_texts, materialize
+from .common import component_ids, exact, fitted, map_texts, materialize
 
 DISTANCE = 3
 SEED = 42
@@ -186,7 +186,7 @@ def _crowded(keyed: DataFrame, members: int, cap: int) -> DataFrame:
 def _pass(keyed: DataFrame, members: int, cap: int) -> DataFrame:
     """One pass over keyed fingerprints: links (mask null) and members of groups that need finer keys."""
     keyed = keyed.withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
-    crowded = materialize(_crowded(keyed, members, cap), "crowded")
+    crowded = materialize(fitted(_crowded(keyed, members, cap), 64 * SKEW_SAMPLE // 20), "crowded")
     if crowded.isEmpty():
         return materialize(_grouped(keyed, cap), "links")
     crowded = F.broadcast(crowded)  # 64 * SKEW_SAMPLE / 20 rows at most
@@ -301,13 +301,17 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
     return map_texts(texts, "text", ["id"], lambda: made, "s array<long>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets of shingles have at least that Jaccard similarity, computed exactly."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sets = materialize(_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, width), "sets")
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    met = met.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return materialize(met.where(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("a", "b"), "similar")
+def _verified(pairs: DataFrame, rows: int, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Of at most about `rows` pairs (a, b) of classes, those whose sets of shingles have at least that Jaccard
+    similarity, computed exactly."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(fitted(pairs, rows), "pairs")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    # Both ends of a pair meet by the pair, so the sets are made once and a class with many pairs is no hot key here.
+    met = ends.join(_sets(ends, classes, docs, width), "id").groupBy("a", "b").agg(F.min(F.struct("id", "s")).alias("x"), F.max(F.struct("id", "s")).alias("y"))
+    met = met.select("a", "b", F.size("x.s").alias("m"), F.size("y.s").alias("n"), F.size(F.array_intersect("x.s", "y.s")).alias("both"))
+    similar = met.where(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("a", "b")
+    return materialize(fitted(similar, pairs.count(), 10_000), "similar")
 
 
 def _near(n: str, m: str, similarity: float) -> F.Column:
@@ -353,23 +357,23 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     keyed = classes.where("n > 0").select("id", "n", F.posexplode("keys").alias("k", "key"))
     keyed = keyed.select("id", "n", F.xxhash64("k", "key").alias("key"))
     met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"), "met")
+    size = met.count()
     weighed = met.join(met.groupBy("id").agg(F.sum("c").alias("w")), "id")
     centres = weighed.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("z")).select("key", F.col("z.id").alias("centre"), F.col("z.n").alias("m"))
     stars = met.join(centres, "key").where((F.col("id") != F.col("centre")) & _near("n", "m", similarity))
-    links = _verified(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")), classes, docs, similarity, width)
+    links = _verified(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")), size, classes, docs, similarity, width)
     roots = component_ids(classes.select("id", "rep"), links, "id", "rep").select("id", "root")
-    met = materialize(met.join(roots, "id"), "met")
+    met = met.join(roots, "id")
     apart = met.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    met = materialize(met.join(apart, "key", "left_semi"), "apart")
+    met = materialize(fitted(met.join(apart, "key", "left_semi"), size), "apart")
     few = met.where(F.col("c") <= PAIRED)
     others = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     pairs = few.join(others, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("other")) & _near("n", "m", similarity))
     pairs = pairs.select(F.col("id").alias("a"), "b")
-    members = materialize(met.where(F.col("c") > PAIRED).select("id", "n", "root").distinct(), "members")
+    members = materialize(fitted(met.where(F.col("c") > PAIRED).select("id", "n", "root").distinct(), size), "members")
     if not members.isEmpty():
-        sets = materialize(_sets(members, classes, docs, width), "sets")
-        pairs = pairs.unionByName(_crowded_pairs(members, sets, similarity))
-    links = links.unionByName(_verified(pairs, classes, docs, similarity, width))
+        pairs = pairs.unionByName(_crowded_pairs(members, _sets(members, classes, docs, width), similarity))
+    links = links.unionByName(_verified(pairs, size, classes, docs, similarity, width))
     labels = component_ids(classes.select("id", "rep"), links, "id", "rep")
     return rows.select("doc_id", "id").join(labels.select("id", "root", "component_id"), "id").drop("id")
 
