@@ -1,8 +1,12 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A text is cut into sentences without loss. From every sentence on, the shortest run of at least `sentences` sentences with
-at least `words` words is hashed (128 bits). All runs are joined by their hash over all documents; the first place of a
-run, by document id and position, is the original, and every sentence that another place of it covers is removed.
+A text is cut into sentences without loss. Every run of at least `sentences` consecutive sentences with at least `words`
+words is compared over all documents by its hash; the first place of a run, by document id and position, is the
+original, and every sentence that another place of it covers is removed.
+
+Not every run needs a row. Of each sentence, the shortest run that begins with it and the shortest that ends with it are
+hashed (96 bits). These cover all: in a longer run that repeats, every sentence begins a shortest run inside it, or lies in
+the shortest run that ends where the longer one does; and where a longer run isn't the first, no run inside it is.
 
 The join is one shuffle: places of equal runs are sorted, the first is left, the others are emitted. A place that comes
 after one which the same task has seen can't be the first and is known without the shuffle. So a run in a third of all
@@ -22,78 +26,84 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, map_texts, small_batches
 
-#: A sentence ends with its marks and the white space after them, or at the end of a line.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
-#: Longer sentences are cut after commas, semicolons and bars, and what is still longer after words chosen by their hash.
-UNIT_WORDS = 20
+#: Words, and the ends of lines.
+WORD = re.compile(r"\n|[^\s\u3002\uff01\uff1f]+[\u3002\uff01\uff1f]*|[\u3002\uff01\uff1f]+")
+#: A sentence ends with a line, with a word that ends so, or with one word in CHOSEN, chosen by its hash. Every text is cut by the
+#: same rule, whatever the length of its sentences, so a passage that stands within other sentences is cut alike everywhere.
+END = re.compile(r"[.!?\u3002\uff01\uff1f][\"')\]\u00bb\u201d\u2019]*$")
+CHOSEN = 8
 #: A task starts anew with its first places when it knows those of so many runs; that only sends more rows.
-SEEN = 300_000
-CLAUSE = re.compile(r"[^,;|]*(?:[,;|]+\s*|$)")
-WORD = re.compile(r"\s*\S+\s*")
-
-
-def _words_cut(text: str) -> list[str]:
-    """Parts of about eight words, which end at the same words wherever they stand; none has over 4 * UNIT_WORDS words."""
-    out, part, n = [], [], 0
-    for w in WORD.findall(text):
-        part.append(w)
-        n += 1
-        if xxhash.xxh32_intdigest(w.strip().lower().encode("utf-8", "surrogatepass")) % 8 == 0 or n == 4 * UNIT_WORDS:
-            out.append("".join(part))
-            part, n = [], 0
-    return [*out, "".join(part)] if part else out
-
-
-def split_sentences(text: str) -> list[str]:
-    """The sentences of a text, long ones in parts; joined, they are the text."""
-    out = []
-    for s in SENTENCE.findall(text):
-        if len(s) > 2 * UNIT_WORDS and len(s.split()) > UNIT_WORDS:
-            for c in CLAUSE.findall(s):
-                if len(c) > 2 * UNIT_WORDS and len(c.split()) > UNIT_WORDS:
-                    out += _words_cut(c)
-                elif c:
-                    out.append(c)
-        elif s:
-            out.append(s)
-    return out
-
-
-def runs(text: str, sentences: int, words: int) -> tuple[list[int], list[int], list[int]]:
-    """Hash, first sentence and end (exclusive) of every run. Case and white space don't matter."""
-    parts = [s.lower().split() for s in split_sentences(text)]
-    digests = [xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts]
-    real = [i for i, p in enumerate(parts) if p]  # blank sentences are in no run
-    sizes = [len(parts[i]) for i in real]
-    keys, starts, ends, j, held = [], [], [], 0, 0
-    for k in range(len(real)):
-        while j < len(real) and (held < words or j - k < sentences):
-            held += sizes[j]
-            j += 1
-        if held < words or j - k < sentences:
-            break
-        keys.append(xxhash.xxh3_128_intdigest(b"".join(digests[i] for i in real[k:j])))
-        starts.append(real[k])
-        ends.append(real[j - 1] + 1)
-        held -= sizes[k]
-    return keys, starts, ends
+SEEN = 100_000
+KNOWN = 200_000  # words whose ends a task remembers
+
+
+class Ends(dict):
+    """Whether a sentence ends with a word (lower case)."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= KNOWN:
+            self.clear()
+        out = word == "\n" or END.search(word) is not None or xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % CHOSEN == 0
+        self[word] = out
+        return out
+
+
+def _cuts(words: list[str], ends: Ends) -> list[int]:
+    """Where the sentences of words in lower case begin, and where the last ends. Line ends are words of their own."""
+    if not words:
+        return [0]
+    line = np.array([w == "\n" for w in words])
+    last = np.array([ends[w] for w in words]) & ~np.r_[line[1:], False]  # blank lines go with the sentence before them
+    last[-1] = True
+    return [0, *(np.flatnonzero(last) + 1).tolist()]
+
+
+def split_sentences(text: str, ends: Ends | None = None) -> list[str]:
+    """The sentences of a text; joined, they are the text. White space goes with the sentence before it."""
+    places = [(m.group().lower(), m.start()) for m in WORD.finditer(text)]
+    if not places:
+        return [text] if text else []
+    cuts = _cuts([w for w, _ in places], Ends() if ends is None else ends)
+    at = [0, *[places[k][1] for k in cuts[1:-1]], len(text)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
+
+
+def runs(text: str, sentences: int, words: int, ends: Ends | None = None) -> tuple[list[int], list[int], list[int]]:
+    """Hash, first sentence and end (exclusive) of each shortest run. Case and white space don't matter."""
+    found = WORD.findall(text.lower())
+    cuts = _cuts(found, Ends() if ends is None else ends)
+    parts = [[w for w in found[a:b] if w != "\n"] for a, b in zip(cuts, cuts[1:])]
+    real = [i for i, p in enumerate(parts) if p]  # blank lines are in no run
+    n = len(real)
+    sums = np.cumsum([0] + [len(parts[i]) for i in real])
+    if n < sentences or sums[-1] < words:
+        return [], [], []
+    place = np.arange(n)
+    end = np.maximum(np.searchsorted(sums, sums[:-1] + words), place + sentences)  # of the run that begins with each
+    begin = np.minimum(np.searchsorted(sums, sums[1:] - words, side="right") - 1, place + 1 - sentences)  # of the run that ends with each
+    spans = np.unique(np.concatenate([(place << 32 | end)[end <= n], (begin << 32 | place + 1)[begin >= 0]]))
+    spans = [(x >> 32, x & 0xFFFFFFFF) for x in spans.tolist()]
+    digests = [xxhash.xxh3_128_digest(" ".join(parts[i]).encode("utf-8", "surrogatepass")) for i in real]
+    keys = [xxhash.xxh3_128_intdigest(b"".join(digests[a:b])) for a, b in spans]
+    return keys, [real[a] for a, _ in spans], [real[b - 1] + 1 for _, b in spans]
 
 
 def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """Rows (doc, tid, high, low, span, late) of runs: the hash in two longs, the first sentence and the end in one.
+    """Rows (doc, tid, high, low, span, late) of runs: 96 bits of the hash, the first sentence and the end in one.
 
     late: the same task has seen a place of the run that comes before.
     """
 
     def make() -> Callable[[list], dict]:
         seen: dict[int, tuple] = {}  # the least place so far of runs of this task
+        ends = Ends()
 
         def of(rows: list) -> dict:
             take, high, low, spans, late = [], [], [], [], []
-            if len(seen) > SEEN:
-                seen.clear()
             for i in sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["tid"])):
-                for key, start, end in zip(*runs(rows[i]["text"] or "", sentences, words)):
+                if len(seen) > SEEN:
+                    seen.clear()
+                for key, start, end in zip(*runs(rows[i]["text"] or "", sentences, words, ends)):
                     place = rows[i]["doc"], rows[i]["tid"], start
                     least = seen.setdefault(key, place)
                     if place < least:
@@ -101,35 +111,34 @@ def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
                     late.append(place > least)
                     take.append(i)
                     high.append(key >> 64)
-                    low.append(key & (1 << 64) - 1)
+                    low.append(key >> 32 & 0xFFFFFFFF)
                     spans.append(start << 32 | end)
-            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            return {"_take": take, "high": signed(high), "low": signed(low), "span": spans, "late": late}
+            return {"_take": take, "high": np.array(high, dtype=np.uint64).view(np.int64), "low": np.array(low, dtype=np.uint32).view(np.int32), "span": spans, "late": late}
 
         return of
 
     docs = docs.withColumn("_motif_row", F.struct("text", "doc", "tid"))
-    return map_texts(docs, "_motif_row", ["doc", "tid"], make, "high long, low long, span long, late boolean")
+    return map_texts(docs, "_motif_row", ["doc", "tid"], make, "high long, low int, span long, late boolean")
 
 
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows sorted by key and place, those that are late or not the first place of their key."""
-    last, origin = None, None
+    last = np.zeros((0, 5), dtype=np.int64)  # key and first place of the last key that is not late
     for b in batches:
-        keep = b["late"].to_numpy(copy=True)
-        rows = zip(b["high"].tolist(), b["low"].tolist(), b["doc"].tolist(), b["tid"].tolist(), b["span"].tolist())
-        for i, (high, low, *place) in enumerate(rows):
-            if keep[i]:
-                continue
-            if (high, low) != last:
-                last, origin = (high, low), place
-            else:
-                keep[i] = place != origin
-        if keep.any():
-            yield b.loc[keep, ["doc", "tid", "span"]]
-
-
-def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataFrame:
+        late = b["late"].to_numpy()
+        rows = np.concatenate([last, b.loc[~late, ["high", "low", "doc", "tid", "span"]].to_numpy(np.int64)])
+        if len(rows):
+            new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            more = rows[(rows[:, 2:] != rows[first, 2:]).any(axis=1)]
+            if len(more):
+                yield pd.DataFrame(more[:, 2:], columns=["doc", "tid", "span"])
+            last = rows[first[-1:]]
+        if late.any():
+            yield b.loc[late, ["doc", "tid", "span"]]
+
+
+def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 25) -> DataFrame:
     """(doc, tid, start, end): the places, in sentences, of every run that another place precedes."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tid"), "text")
     places = _places(rows, sentences, words)
@@ -152,17 +161,19 @@ def _cover(spans: list) -> list[tuple[int, int]]:
 
 def _without(column: str, spans: str, df: DataFrame, keep: list[str]) -> DataFrame:
     def make() -> Callable[[list], dict]:
+        ends = Ends()
+
         def run(rows: list) -> dict:
             texts, counts, removed, places = [], [], [], []
             for row in rows:
                 text, found = row["text"], row["spans"]
                 if text is None or not found:
                     texts.append(text)
-                    counts.append(None if text is None else len(split_sentences(text)))
+                    counts.append(None if text is None else len(_cuts(WORD.findall(text.lower()), ends)) - 1 or int(text != ""))
                     removed.append(0)
                     places.append([])
                     continue
-                parts = split_sentences(text)
+                parts = split_sentences(text, ends)
                 gone = _cover([(s["start"], s["end"]) for s in found])
                 kept, at = [], 0
                 for a, b in gone:
@@ -181,7 +192,7 @@ def _without(column: str, spans: str, df: DataFrame, keep: list[str]) -> DataFra
     return map_texts(df, "_motif_pair", keep, make, "text string, n_sentences int, n_removed int, removed array<string>")
 
 
-def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 25) -> DataFrame:
     """Every row of docs with its text without repeated sentences, n_sentences, n_removed and removed (char spans).
 
     The order that makes a place the first is doc_id (missing ids last), then a hash of the text, then position. Rows that

@@ -1,22 +1,42 @@
 import random
 
 import pytest
+import xxhash
 
 from motif.llm import html, langid, substrings
 from motif.llm.common import connected_components
 
 
-def brute_removed(docs, sentences=2, words=12):
-    """Sentences that any non-first place of a run covers, by comparing all runs."""
+def brute_sentences(text):
+    """The pieces of a text that end with marks, lines, or words whose hash is a multiple of eight; written word by word."""
+    pieces, begin, at, held = [], 0, 0, []
+    for line in text.split("\n"):
+        for word in line.split():
+            start = text.index(word, at)
+            if held and held[-1] == "END":
+                pieces.append(text[begin:start])
+                begin, held = start, []
+            at = start + len(word)
+            bare = word.rstrip("\"')]\u00bb\u201d\u2019")
+            ends = bare[-1:] in (".", "!", "?") or xxhash.xxh32(word.lower().encode()).intdigest() % 8 == 0
+            held = [*held, word] + ["END"] * ends
+        at = text.find("\n", at) + 1 or len(text)
+        if held and held[-1] != "END":
+            held.append("END")
+    return [*pieces, text[begin:]] if text else []
+
+
+def brute_removed(docs, sentences=2, words=25):
+    """Sentences that any non-first place of any run covers, by comparing all runs."""
     places = {}
     for doc, text in docs:
-        parts = [" ".join(s.lower().split()) for s in substrings.split_sentences(text)]
+        parts = [s.lower().split() for s in brute_sentences(text)]
         real = [i for i, p in enumerate(parts) if p]
         for k in range(len(real)):
             for j in range(k + sentences, len(real) + 1):
-                if sum(len(parts[i].split()) for i in real[k:j]) >= words:
-                    places.setdefault(tuple(parts[i] for i in real[k:j]), []).append((doc, real[k], real[j - 1] + 1))
-                    break
+                run = tuple(" ".join(parts[i]) for i in real[k:j])
+                if sum(len(parts[i]) for i in real[k:j]) >= words:
+                    places.setdefault(run, []).append((doc, real[k], real[j - 1] + 1))
     gone = {}
     for found in places.values():
         for doc, a, b in sorted(found)[1:]:
@@ -24,23 +44,31 @@ def brute_removed(docs, sentences=2, words=12):
     return gone
 
 
-def test_repeated_spans_equal_brute_force(make):
+def test_repeated_spans_equal_brute_force_over_all_runs(make):
     rng = random.Random(8)
-    pool = [" ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=rng.randint(1, 9))).capitalize() + rng.choice([". ", "! ", ".\n"]) for _ in range(40)]
+    pool = [" ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=rng.randint(1, 12))).capitalize() + rng.choice([". ", "! ", ".\n", "\n\n", " "]) for _ in range(40)]
     docs = [(i, "".join(rng.choices(pool, k=rng.randint(0, 14)))) for i in range(60)]
-    passage = "One long passage starts here and goes on. It has several sentences in it! Every one of them repeats later. "
-    docs += [(100, "Own words first. " + passage + "Own end."), (90, passage + "Another end of nine plain words in this text.")]
+    passage = "One long passage starts here and goes on. It has several sentences in it! Every one of them repeats later, and it has words enough for a run. "
+    docs += [(100, "Own words first and " + passage + "Own end."), (90, passage + "Another end of nine plain words in this text.")]
+    # The run that begins with the second sentence is too short: only the shortest run that ends with the last one covers it.
+    tail = "".join(f"{n} two three four five six seven eight nine ten. " for n in ("One", "Other")) + "Six seven eight nine ten eleven twelve. Last bit.\n"
+    docs += [(200, tail + "Then words of its own follow."), (201, tail + "Here is something else.")]
+    docs += [(300, " leading, \n\n\n and blank \n \n lines\n"), (301, "\n"), (302, "   "), (303, "mark\u3002another\uff01 third")]
+    docs += [(400 + i, "the same line of junk " * 30) for i in range(3)]
     gone = brute_removed(docs)
     for r in substrings.remove_repeats(make(docs).drop("removed")).collect():
         parts = substrings.split_sentences(dict(docs)[r["doc_id"]])
         assert "".join(parts) == dict(docs)[r["doc_id"]]
+        assert r["doc_id"] == 303 or parts == brute_sentences(dict(docs)[r["doc_id"]])
         left = gone.get(r["doc_id"], set())
-        assert r["text"] == "".join(p for i, p in enumerate(parts) if i not in left) and r["n_removed"] == len(left)
-    assert len(gone[100]) == 3 and 90 not in gone
+        assert r["text"] == "".join(p for i, p in enumerate(parts) if i not in left) and r["n_removed"] == len(left) and r["n_sentences"] == len(parts)
+        assert r["doc_id"] != 201 or r["text"].strip() == "Here is something else."
+    assert len(gone[100]) >= 3 and 90 not in gone
+    assert substrings.split_sentences("mark\u3002another\uff01 third")[:2] == ["mark\u3002", "another\uff01 "]
 
 
 def test_substrings_of_nulls_repeats_and_empty_tables(make):
-    text = "One sentence with plenty of words in it. Another sentence with plenty of words too."
+    text = "One sentence with plenty of words in it. Another sentence with plenty of words too. " * 2 + "And one more."
     rows = [(2, text), (2, text), (None, text), (1, None), (3, ""), (4, "short."), (5, "word, " * 5000)]
     docs = make(rows).drop("removed")
     got = {(r["doc_id"], r["text"]) for r in substrings.remove_repeats(docs).collect()}
