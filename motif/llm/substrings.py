@@ -15,7 +15,6 @@ documents comes as a few rows from each task, not one from each document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,66 +25,115 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, map_texts, small_batches
 
-#: Words, and the ends of lines.
-WORD = re.compile(r"\n|[^\s\u3002\uff01\uff1f]+[\u3002\uff01\uff1f]*|[\u3002\uff01\uff1f]+")
-#: A sentence ends with a line, with a word that ends so, or with one word in CHOSEN, chosen by its hash. Every text is cut by the
-#: same rule, whatever the length of its sentences, so a passage that stands within other sentences is cut alike everywhere.
-END = re.compile(r"[.!?\u3002\uff01\uff1f][\"')\]\u00bb\u201d\u2019]*$")
+#: A sentence ends with a line, with a word that ends in MARKS (closing signs after them aside), at a wide mark, or with one
+#: word in CHOSEN, chosen by its length and three of its bytes. Every text is cut by the same rule, whatever the length of its
+#: sentences, so a passage that stands within other sentences is cut alike everywhere.
+MARKS, CLOSING = b".!?", b"\"')]"
+WIDE = [x.encode() for x in "\u3002\uff01\uff1f"]
 CHOSEN = 8
-#: A task starts anew with its first places when it knows those of so many runs; that only sends more rows.
+#: A task forgets the first places of runs when it knows those of so many; that only sends more rows.
 SEEN = 100_000
-KNOWN = 200_000  # words whose ends a task remembers
-
-
-class Ends(dict):
-    """Whether a sentence ends with a word (lower case)."""
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) >= KNOWN:
-            self.clear()
-        out = word == "\n" or END.search(word) is not None or xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % CHOSEN == 0
-        self[word] = out
-        return out
-
-
-def _cuts(words: list[str], ends: Ends) -> list[int]:
-    """Where the sentences of words in lower case begin, and where the last ends. Line ends are words of their own."""
-    if not words:
-        return [0]
-    line = np.array([w == "\n" for w in words])
-    last = np.array([ends[w] for w in words]) & ~np.r_[line[1:], False]  # blank lines go with the sentence before them
-    last[-1] = True
-    return [0, *(np.flatnonzero(last) + 1).tolist()]
-
-
-def split_sentences(text: str, ends: Ends | None = None) -> list[str]:
-    """The sentences of a text; joined, they are the text. White space goes with the sentence before it."""
-    places = [(m.group().lower(), m.start()) for m in WORD.finditer(text)]
-    if not places:
-        return [text] if text else []
-    cuts = _cuts([w for w, _ in places], Ends() if ends is None else ends)
-    at = [0, *[places[k][1] for k in cuts[1:-1]], len(text)]
-    return [text[a:b] for a, b in zip(at, at[1:])]
-
-
-def runs(text: str, sentences: int, words: int, ends: Ends | None = None) -> tuple[list[int], list[int], list[int]]:
-    """Hash, first sentence and end (exclusive) of each shortest run. Case and white space don't matter."""
-    found = WORD.findall(text.lower())
-    cuts = _cuts(found, Ends() if ends is None else ends)
-    parts = [[w for w in found[a:b] if w != "\n"] for a, b in zip(cuts, cuts[1:])]
-    real = [i for i, p in enumerate(parts) if p]  # blank lines are in no run
-    n = len(real)
-    sums = np.cumsum([0] + [len(parts[i]) for i in real])
-    if n < sentences or sums[-1] < words:
-        return [], [], []
-    place = np.arange(n)
-    end = np.maximum(np.searchsorted(sums, sums[:-1] + words), place + sentences)  # of the run that begins with each
-    begin = np.minimum(np.searchsorted(sums, sums[1:] - words, side="right") - 1, place + 1 - sentences)  # of the run that ends with each
-    spans = np.unique(np.concatenate([(place << 32 | end)[end <= n], (begin << 32 | place + 1)[begin >= 0]]))
-    spans = [(x >> 32, x & 0xFFFFFFFF) for x in spans.tolist()]
-    digests = [xxhash.xxh3_128_digest(" ".join(parts[i]).encode("utf-8", "surrogatepass")) for i in real]
-    keys = [xxhash.xxh3_128_intdigest(b"".join(digests[a:b])) for a, b in spans]
-    return keys, [real[a] for a, _ in spans], [real[b - 1] + 1 for _, b in spans]
+MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def _table(signs: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(signs)] = True
+    return out
+
+
+WHITE, IS_MARK, IS_CLOSING = _table(b" \t\n\v\f\r"), _table(MARKS), _table(CLOSING)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for m in MIX:
+        x = (x ^ x >> np.uint64(33)) * m
+    return x ^ x >> np.uint64(33)
+
+
+def _lowered(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()  # bytes: only A-Z change, so places stay
+
+
+class Sentences:
+    """The sentences of texts, as places in their bytes, which are strung together with line ends between them.
+
+    first, after: where a sentence's first word begins and its last one ends. words: how many it has. text: which text it is
+    of. White space between sentences belongs to the one before; a text without a word has no sentence.
+    """
+
+    def __init__(self, texts: list[str]):
+        parts = [_lowered(t) for t in texts]
+        self.raw = b"\n".join(parts)
+        self.offsets = np.cumsum([0] + [len(p) + 1 for p in parts])  # where each text begins
+        b = np.frombuffer(self.raw, dtype=np.uint8)
+        solid = ~WHITE[b]
+        begins, ends = solid.copy(), solid.copy()
+        begins[1:] &= ~solid[:-1]
+        ends[:-1] &= ~solid[1:]
+        wide = np.zeros(0, dtype=np.int64)
+        if any(w in self.raw for w in WIDE):
+            third = b[2:]
+            wide = np.flatnonzero((b[:-2] == 0xE3) & (b[1:-1] == 0x80) & (third == 0x82) | (b[:-2] == 0xEF) & (b[1:-1] == 0xBC) & ((third == 0x81) | (third == 0x9F))) + 2
+            ends[wide] = True
+            after = wide[wide + 1 < len(b)] + 1
+            begins[after[solid[after]]] = True
+        s, e = np.flatnonzero(begins), np.flatnonzero(ends)
+        if not len(s):
+            self.first = self.after = self.words = self.text = np.zeros(0, dtype=np.int64)
+            return
+        bare = e.copy()  # the last byte that is no closing sign
+        k = np.arange(len(e))
+        while len(k := k[IS_CLOSING[b[bare[k]]] & (bare[k] > s[k])]):
+            bare[k] -= 1
+        some = b[s].astype(np.uint64) | b[e].astype(np.uint64) << np.uint64(8) | b[(s + e) // 2].astype(np.uint64) << np.uint64(16) | (e - s).astype(np.uint64) << np.uint64(24)
+        last = IS_MARK[b[bare]] | (_mixed(some) % np.uint64(CHOSEN) == 0)
+        last[np.searchsorted(e, wide)] = True
+        line = np.searchsorted(e, np.flatnonzero(b == 10)) - 1
+        last[line[line >= 0]] = True
+        last[-1] = True
+        z = np.flatnonzero(last)
+        a = np.r_[0, z[:-1] + 1]
+        self.first, self.after, self.words = s[a], e[z] + 1, z - a + 1
+        self.text = np.searchsorted(self.offsets, self.first, side="right") - 1
+        odd = np.r_[(s[1:] - e[:-1] != 2) | (b[np.minimum(e[:-1] + 1, len(b) - 1)] != 32), False]  # not one space after a word
+        odd[z] = False
+        self.odd = np.add.reduceat(odd, a) > 0
+
+    def digests(self) -> np.ndarray:
+        """Two words of 64 bits for each sentence, the same for other white space and case of A-Z."""
+        raw, digest = self.raw, xxhash.xxh3_128_digest
+        out = [digest(raw[a:b]) for a, b in zip(self.first.tolist(), self.after.tolist())]
+        for k in np.flatnonzero(self.odd).tolist():
+            out[k] = digest(b" ".join(raw[self.first[k] : self.after[k]].split()))
+        return np.frombuffer(b"".join(out), dtype="<u8").reshape(-1, 2).astype(np.uint64)
+
+    def runs(self, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First sentence, end (exclusive) and hash (64 and 32 bits) of each shortest run, in order of places."""
+        n = len(self.first)
+        if not n:
+            return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32))
+        sums, place = np.r_[0, np.cumsum(self.words)], np.arange(n)
+        begin = np.searchsorted(self.text, self.text)  # of the sentence's text
+        stop = np.searchsorted(self.text, self.text, side="right")
+        end = np.maximum(np.searchsorted(sums, sums[:-1] + words), place + sentences)  # of the run that begins with each
+        start = np.minimum(np.searchsorted(sums, sums[1:] - words, side="right") - 1, place + 1 - sentences)  # of the one that ends with each
+        spans = np.unique(np.concatenate([(place << 32 | end)[end <= stop], (start << 32 | place + 1)[start >= begin]]))
+        a, z = spans >> 32, spans & 0xFFFFFFFF
+        powers = np.multiply.accumulate(np.full(n, 0x9E3779B97F4A7C15, dtype=np.uint64))
+        inverse = np.multiply.accumulate(np.full(n, pow(0x9E3779B97F4A7C15, -1, 2**64), dtype=np.uint64))
+        keys = []
+        for d in self.digests().T:  # sums of hashes times powers: of a run, up to a power, the same wherever it stands
+            p = np.r_[np.uint64(0), np.cumsum(d * powers)]
+            keys.append(_mixed((p[z] - p[a]) * inverse[a]))
+        return a, z, keys[0], (keys[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def split_sentences(text: str) -> list[str]:
+    """The sentences of a text; joined, they are the text. A text without a word is one piece."""
+    found, raw = Sentences([text]), text.encode("utf-8", "surrogatepass")
+    at = [0, *found.first[1:].tolist(), len(raw)]
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at, at[1:])] if raw else []
 
 
 def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
@@ -95,25 +143,45 @@ def _places(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     """
 
     def make() -> Callable[[list], dict]:
-        seen: dict[int, tuple] = {}  # the least place so far of runs of this task
-        ends = Ends()
+        seen: dict[tuple, tuple] = {}  # the least place so far of runs that came twice or more in a batch
+        known = np.zeros(0, dtype=np.uint64)
 
         def of(rows: list) -> dict:
-            take, high, low, spans, late = [], [], [], [], []
-            for i in sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["tid"])):
-                if len(seen) > SEEN:
-                    seen.clear()
-                for key, start, end in zip(*runs(rows[i]["text"] or "", sentences, words, ends)):
-                    place = rows[i]["doc"], rows[i]["tid"], start
-                    least = seen.setdefault(key, place)
-                    if place < least:
-                        seen[key] = place
-                    late.append(place > least)
-                    take.append(i)
-                    high.append(key >> 64)
-                    low.append(key >> 32 & 0xFFFFFFFF)
-                    spans.append(start << 32 | end)
-            return {"_take": take, "high": np.array(high, dtype=np.uint64).view(np.int64), "low": np.array(low, dtype=np.uint32).view(np.int32), "span": spans, "late": late}
+            nonlocal known
+            order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["tid"]))
+            found = Sentences([rows[i]["text"] or "" for i in order])
+            a, z, high, low = found.runs(sentences, words)
+            text = found.text[a] if len(a) else a
+            base = np.searchsorted(found.text, text)  # the first sentence of each text
+            span = a - base << 32 | z - base
+            # Texts with the same id and hash are one: their places are equal.
+            same = [0] * len(order)
+            for k in range(1, len(order)):
+                x, y = rows[order[k - 1]], rows[order[k]]
+                same[k] = same[k - 1] + ((x["doc"], x["tid"]) != (y["doc"], y["tid"]))
+            whose = np.array(same, dtype=np.int64)[text]
+            by = np.lexsort((a, low, high))
+            new = np.ones(len(by), dtype=bool)
+            new[1:] = (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])
+            heads = np.flatnonzero(new)
+            first = by[np.repeat(heads, np.diff(np.r_[heads, len(by)]))]  # the group's first place, of each row in by
+            late = np.zeros(len(by), dtype=bool)
+            late[by] = (whose[by] != whose[first]) | (span[by] != span[first])
+            sizes = np.diff(np.r_[heads, len(by)])
+            head = by[heads]
+            for g in np.flatnonzero((sizes > 1) | np.isin(high[head], known)).tolist():
+                k = head[g]
+                row = rows[order[text[k]]]
+                key, place = (int(high[k]), int(low[k])), (row["doc"], row["tid"], int(span[k]))
+                least = seen.get(key)
+                if least is not None and least < place:
+                    late[by[heads[g] : heads[g] + sizes[g]]] = True
+                elif least is not None or sizes[g] > 1:
+                    seen[key] = place
+            if len(seen) > SEEN:
+                seen.clear()
+            known = np.sort(np.array([k[0] for k in seen], dtype=np.uint64))
+            return {"_take": np.array(order, dtype=np.int64)[text], "high": high.view(np.int64), "low": low.view(np.int32), "span": span, "late": late}
 
         return of
 
@@ -160,36 +228,31 @@ def _cover(spans: list) -> list[tuple[int, int]]:
 
 
 def _without(column: str, spans: str, df: DataFrame, keep: list[str]) -> DataFrame:
-    def make() -> Callable[[list], dict]:
-        ends = Ends()
-
-        def run(rows: list) -> dict:
-            texts, counts, removed, places = [], [], [], []
-            for row in rows:
-                text, found = row["text"], row["spans"]
-                if text is None or not found:
-                    texts.append(text)
-                    counts.append(None if text is None else len(_cuts(WORD.findall(text.lower()), ends)) - 1 or int(text != ""))
-                    removed.append(0)
-                    places.append([])
-                    continue
-                parts = split_sentences(text, ends)
-                gone = _cover([(s["start"], s["end"]) for s in found])
+    def run(rows: list) -> dict:
+        texts, removed, places = [], [], []
+        found = Sentences([row["text"] or "" for row in rows])
+        heads = np.searchsorted(found.text, np.arange(len(rows) + 1)).tolist()
+        for k, row in enumerate(rows):
+            gone = _cover([(s["start"], s["end"]) for s in row["spans"] or ()])
+            texts.append(row["text"])
+            removed.append(sum(b - a for a, b in gone))
+            places.append([])
+            if gone:
+                raw = row["text"].encode("utf-8", "surrogatepass")
+                first = (found.first[heads[k] : heads[k + 1]] - found.offsets[k]).tolist()
+                cuts = [0, *first[1:], len(raw)]  # white space before the first sentence goes with it
+                count = np.r_[0, np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)]  # code points
                 kept, at = [], 0
                 for a, b in gone:
-                    kept += parts[at:a]
-                    at = b
-                offsets = np.r_[0, np.cumsum([len(p) for p in parts])]
-                texts.append("".join(kept + parts[at:]))
-                counts.append(len(parts))
-                removed.append(sum(b - a for a, b in gone))
-                places.append([f"{offsets[a]}:{offsets[b]}" for a, b in gone])
-            return {"text": texts, "n_sentences": counts, "n_removed": removed, "removed": places}
-
-        return run
+                    kept.append(raw[at : cuts[a]])
+                    at = cuts[b]
+                    places[-1].append(f"{count[cuts[a]]}:{count[at]}")
+                texts[-1] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
+        counts = np.diff(heads).tolist()
+        return {"text": texts, "n_sentences": [None if t is None else n for t, n in zip(texts, counts)], "n_removed": removed, "removed": places}
 
     df = df.withColumn("_motif_pair", F.struct(F.col(column).alias("text"), F.col(spans).alias("spans")))
-    return map_texts(df, "_motif_pair", keep, make, "text string, n_sentences int, n_removed int, removed array<string>")
+    return map_texts(df, "_motif_pair", keep, lambda: run, "text string, n_sentences int, n_removed int, removed array<string>")
 
 
 def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 25) -> DataFrame:
