@@ -30,7 +30,7 @@ from .common import NO_ID, map_texts, small_batches
 #: sentences, so a passage that stands within other sentences is cut alike everywhere.
 MARKS, CLOSING = b".!?", b"\"')]"
 WIDE = [x.encode() for x in "\u3002\uff01\uff1f"]
-CHOSEN = 8
+CHOSEN = 16
 #: A task forgets the first places of runs when it knows those of so many; that only sends more rows.
 SEEN = 100_000
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -206,7 +206,7 @@ def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b.loc[late, ["doc", "tid", "span"]]
 
 
-def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 25) -> DataFrame:
+def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 30) -> DataFrame:
     """(doc, tid, start, end): the places, in sentences, of every run that another place precedes."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tid"), "text")
     places = _places(rows, sentences, words)
@@ -255,7 +255,7 @@ def _without(column: str, spans: str, df: DataFrame, keep: list[str]) -> DataFra
     return map_texts(df, "_motif_pair", keep, lambda: run, "text string, n_sentences int, n_removed int, removed array<string>")
 
 
-def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 25) -> DataFrame:
+def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 30) -> DataFrame:
     """Every row of docs with its text without repeated sentences, n_sentences, n_removed and removed (char spans).
 
     The order that makes a place the first is doc_id (missing ids last), then a hash of the text, then position. Rows that

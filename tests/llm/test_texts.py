@@ -7,12 +7,12 @@ from motif.llm.common import connected_components
 
 
 def chosen(word):
-    """The fixed rule for words that end a sentence: length and three bytes, mixed, a multiple of eight."""
+    """The fixed rule for words that end a sentence: length and three bytes, mixed, a multiple of sixteen."""
     raw = word.lower().encode()
     x, m = raw[0] | raw[-1] << 8 | raw[(len(raw) - 1) // 2] << 16 | len(raw) - 1 << 24, 2**64 - 1
     for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         x = (x ^ x >> 33) * c & m
-    return (x ^ x >> 33) % 8 == 0
+    return (x ^ x >> 33) % 16 == 0
 
 
 def brute_sentences(text):
@@ -31,7 +31,7 @@ def brute_sentences(text):
     return [*pieces, text[begin:]] if text.strip() else []
 
 
-def brute_removed(docs, sentences=2, words=25):
+def brute_removed(docs, sentences=2, words=30):
     """Sentences that any non-first place of any run covers, by comparing all runs."""
     places = {}
     for doc, text in docs:
@@ -53,10 +53,10 @@ def test_repeated_spans_equal_brute_force_over_all_runs(make):
     rng = random.Random(8)
     pool = [" ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=rng.randint(1, 12))).capitalize() + rng.choice([". ", "! ", ".\n", "\n\n", " "]) for _ in range(40)]
     docs = [(i, "".join(rng.choices(pool, k=rng.randint(0, 14)))) for i in range(60)]
-    passage = "One long passage starts here and goes on. It has several sentences in it! Every one of them repeats later, and it has words enough for a run. "
+    passage = "One long passage starts here and goes on. It has several sentences in it! Every one of them repeats later, and by now it has words enough for a run. It goes on with some more words that nobody needs to read at all. "
     docs += [(100, "Own words first and " + passage + "Own end."), (90, passage + "Another end of nine plain words in this text.")]
     # The run that begins with the second sentence is too short: only the shortest run that ends with the last one covers it.
-    tail = "".join(f"{n} two three four five six seven eight nine ten. " for n in ("One", "Other")) + "Six seven eight nine ten eleven twelve. Last bit.\n"
+    tail = "".join(f"{n} two three four five six seven eight nine ten more. " for n in ("One", "Other")) + "Six seven eight nine ten eleven twelve thirteen. Last bit.\n"
     docs += [(200, tail + "Then words of its own follow."), (201, tail + "Here is something else.")]
     docs += [(300, " leading, \n\n\n and blank \n \n lines\n"), (301, "\n"), (302, "   "), (303, "mark\u3002another\uff01 third")]
     docs += [(400 + i, "the same line of junk " * 30) for i in range(3)]
@@ -74,7 +74,7 @@ def test_repeated_spans_equal_brute_force_over_all_runs(make):
 
 
 def test_substrings_of_nulls_repeats_and_empty_tables(make):
-    text = "One sentence with plenty of words in it. Another sentence with plenty of words too. " * 2 + "And one more."
+    text = "One sentence with plenty of words in it. Another sentence with plenty of words too. " * 2 + "And one more to reach a run."
     rows = [(2, text), (2, text), (None, text), (1, None), (3, ""), (4, "short."), (5, "word, " * 5000)]
     docs = make(rows).drop("removed")
     got = {(r["doc_id"], r["text"]) for r in substrings.remove_repeats(docs).collect()}
