@@ -8,7 +8,9 @@ The models are trained here from labelled samples, `SAMPLE` strings of each labe
 digests in several alphabets, and identifiers put together from common words, case styles and version numbers. Counting
 their character pairs gives a table of at most SYMBOLS^2 rows for each label, whatever the corpus.
 
-Places in code points come from the matches and the pieces between them: a match begins after all earlier pieces and matches.
+Places in code points: one sign is put before and one after each match, and the characters of the marked text are looked
+through once; the place of the k-th sign, less k, is a place in the text. Everything takes time in proportion to a text's
+length, but for searches in sorted arrays of spans, which take its logarithm for each token.
 """
 
 from __future__ import annotations
@@ -88,7 +90,8 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     """The mean log-likelihood ratio of a token's character pairs; characters outside SYMBOLS must not occur."""
     table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
     size = len(SYMBOLS)
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(SYMBOLS), F.substring(token, i, F.lit(1))) - 1)
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    # A transform over one array gives the array a name, so it is made once.
     total = F.element_at(
         F.transform(
             F.array(codes),
@@ -99,19 +102,37 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     return total / (F.length(token) - 1)
 
 
-def _places(matches: Column, pieces: Column, kind: int) -> Column:
-    """Array of (start, kind, end) of all matches, from the matches and the n + 1 pieces around them."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+SIGN = "\ue000"  # a private character; in texts it gives way to another one, which no pattern has either
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(matches, i))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    built = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda s: s["out"])
-    return F.when(F.size(matches) > 0, built).otherwise(empty)
+def _places(text: Column, pattern: str, kind: int) -> Column:
+    """Array of (start, kind, end) of all matches in a text without SIGN."""
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{SIGN}$0{SIGN}"))
+    found = F.transform(
+        F.array(F.split(marked, "")),
+        lambda chars: F.transform(F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: F.get(chars, i) == SIGN), lambda i, k: i - k),
+    )
+    pairs = lambda at: F.transform(
+        F.sequence(F.lit(0), F.size(at) - 2, F.lit(2)),
+        lambda k: F.struct(F.get(at, k).alias("start"), F.lit(kind).alias("kind"), F.get(at, k + 1).alias("end")),
+    )
+    return F.when(text.rlike(pattern), F.element_at(F.transform(found, pairs), 1)).otherwise(F.array().cast(SPANS))
+
+
+def _overlapped(span: Column, others: Column) -> Column:
+    """Whether a span meets one of others, which are in order and apart: the last that begins before its end decides."""
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        before = F.get(others, middle)["start"] < span["end"]
+        go = state["low"] < state["high"]
+        low = F.when(go & before, middle + 1).otherwise(state["low"])
+        return F.struct(low.alias("low"), F.when(go & ~before, middle).otherwise(state["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(others) + F.lit(1.0))).cast("int") + 1)
+    last = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(others).alias("high")), halve, lambda x: x["low"] - 1)
+    return (F.size(others) > 0) & F.coalesce(F.get(others, last)["end"] > span["start"], F.lit(False))
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,28 +144,29 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     model = train(docs.sparkSession)
     text = F.col("_t")
     # Only the documents' own columns are read; each step is used more than once and stays a projection of its own.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    patterns = (ASSIGN, ACCESS, HEX, TOKEN)
-    rows = rows.select("*", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_m{k}") for k, p in enumerate(patterns)])
+    rows = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), SIGN, "\ue001").alias("_t"))
     none = F.array().cast("array<string>")
-    some = [F.size(f"_m{k}") > 0 for k in range(4)]
+    groups = lambda p, k: F.when(text.rlike(p), F.regexp_extract_all(text, F.lit(p), F.lit(k))).otherwise(none)
     rows = rows.select(
-        "*",
-        *[F.when(some[k], F.split(text, p, -1)).otherwise(none).alias(f"_p{k}") for k, p in enumerate(patterns)],
-        F.when(some[0], F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(none).alias("_values"),
-    ).drop("_t")
-    rows = rows.select("doc_id", "_values", "_m3", *[_places(F.col(f"_m{k}"), F.col(f"_p{k}"), k).alias(f"_s{k}") for k in range(4)])
-    long = F.filter("_s0", lambda s, i: F.length(F.get(F.col("_values"), i)) >= 6)
-    rows = rows.select("doc_id", "_m3", "_s3", long.alias("_s0"), "_s1", "_s2")
-    rows = rows.select("doc_id", "_m3", "_s3", F.array_sort(F.concat("_s0", "_s1", "_s2")).alias("_base"), *[F.size(f"_s{k}").cast("long").alias(f"n_{KINDS[k]}") for k in range(3)])
-
-    def secret(span: Column, i: Column) -> Column:
-        token = F.get(F.col("_m3"), i)
+        "doc_id",
+        groups(ASSIGN, 2).alias("_values"),
+        groups(TOKEN, 0).alias("_tokens"),
+        *[_places(text, p, k).alias(f"_s{k}") for k, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))],
+    )
+    # What a function over an array needs besides is in the array: an expression it names could be worked out for each element.
+    rows = rows.withColumns({"_v": F.arrays_zip("_s0", "_values"), "_t": F.arrays_zip("_s3", "_tokens")})
+    long = F.transform(F.filter("_v", lambda x: F.length(x["_values"]) >= 6), lambda x: x["_s0"])
+    rows = rows.select("doc_id", "_t", long.alias("_s0"), "_s1", "_s2")
+    rows = rows.select("*", F.array_sort(F.concat("_s0", "_s1", "_s2")).alias("_base"), *[F.size(f"_s{k}").cast("long").alias(f"n_{KINDS[k]}") for k in range(3)])
+
+    def secret(x: Column, base: Column) -> Column:
+        span, token = x["_s3"], x["_tokens"]
         mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-        free = ~F.exists("_base", lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]))
-        return F.when(mixed & free, likelihood_ratio(token, model) > threshold).otherwise(False)
+        met = _overlapped(span, base["_s0"]) | _overlapped(span, base["_s1"]) | _overlapped(span, base["_s2"])
+        return F.when(mixed & ~met, likelihood_ratio(token, model) > threshold).otherwise(False)
 
-    rows = rows.withColumn("_more", F.filter("_s3", secret))
+    more = F.transform(F.array(F.struct("_t", "_s0", "_s1", "_s2")), lambda x: F.transform(F.filter(x["_t"], lambda t: secret(t, x)), lambda t: t["_s3"]))
+    rows = rows.withColumn("_more", F.when(F.size("_t") > 0, F.element_at(more, 1)).otherwise(F.array().cast(SPANS)))
     rows = rows.withColumn("_all", F.array_sort(F.concat("_base", "_more")))
     names = F.array(*map(F.lit, KINDS))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")

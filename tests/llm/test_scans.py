@@ -103,3 +103,55 @@ def test_models_tell_labels_apart(spark):
     scored = fresh.select("label", (secrets.likelihood_ratio(F.col("text"), model) > secrets.THRESHOLD).cast("int").alias("said"))
     assert scored.where("label = said").count() / scored.count() > 0.95
     assert scored.where("label = 0 and said = 1").count() / scored.where("label = 0").count() < 0.01
+
+
+def test_ratio_equals_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    model, size = secrets.train(spark, 500), len(secrets.SYMBOLS)
+    for r in secrets.labelled_sample(spark, 60).select("text", secrets.likelihood_ratio(F.col("text"), model).alias("ratio")).collect():
+        codes = [secrets.SYMBOLS.index(c) for c in r["text"]]
+        plain = sum(model[a * size + b] for a, b in zip(codes, codes[1:])) / (len(codes) - 1)
+        assert abs(r["ratio"] - plain) < 1e-9
+
+
+def test_planted_secrets_are_found_in_prose_and_identifiers_stay(spark, make):
+    """Unlabelled secrets of alphabets and lengths of their own against ordinary long names, paths and addresses."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    words = "window river market evening people number garden letter music stone report handler session account".split()
+    docs, planted = [], {}
+    for i in range(400):
+        a = " ".join(rng.choices(words, k=rng.randint(0, 12)))
+        if i % 2:
+            alphabet = rng.choice([string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"])
+            token = "".join(rng.choices(alphabet, k=rng.randint(24, 60)))
+            planted[i] = (len(a) + 1, len(a) + 1 + len(token))
+        else:
+            token = rng.choice(["_".join, "-".join, "/".join, ".".join, lambda w: "".join(x.title() for x in w)])([*rng.choices(words, k=4), str(rng.randint(1, 2030))])
+        docs.append((i, f"{a} {token} {rng.choice(words)}"))
+    found = {r["doc_id"]: r["spans"] for r in secrets.find(make(docs)).collect()}
+    hits = sum(found[i] == f"markov:{a}:{b}" or found[i].startswith("hex") for i, (a, b) in planted.items())
+    alarms = sum(found[i] != "" for i, _ in docs if i not in planted)
+    assert hits >= 0.95 * len(planted) and alarms <= 0.02 * 200, (hits, alarms)
+
+
+def test_long_texts_and_tokens_take_time_in_proportion(spark, make):
+    import random
+    import string
+    import time
+
+    rng = random.Random(4)
+    many = " ".join(f"token=abc{k}defg 0123456789abcdef01234567{k:06x} \ue000é" for k in range(15_000))
+    blob = "".join(rng.choices(string.ascii_letters + string.digits, k=1_000_000))
+    tokens = " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=24)) for _ in range(15_000))
+    began = time.monotonic()
+    found = {r["doc_id"]: r for r in secrets.find(make([(1, many), (2, blob), (3, tokens + " " + many)])).collect()}
+    assert time.monotonic() - began < 60
+    base = brute_secrets(many)
+    assert (found[1]["n_assign"], found[1]["n_hex"], found[1]["n_spans"]) == (15_000, 15_000, 30_000)
+    assert found[1]["spans"] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+    assert found[2]["spans"] == "markov:0:1000000"
+    assert found[3]["n_spans"] > 30_000 + 14_000
