@@ -1,8 +1,8 @@
 """Personal data by rules, and by bootstrapped contextual extraction.
 
 Rules find e-mail addresses, IP addresses, card numbers and phone numbers. Their finds are the seeds. Every mention of an
-identifier (a seed, or another token with an @ or at least four digits) has a lexical pattern, the two words before it. Spark
-scores the graph of patterns and instances in rounds: a pattern's confidence for a kind is the mean score of the
+identifier (a seed, a run of digit groups with at least four digits, or another token with an @ or as many digits) has two
+lexical patterns, the two words before it and the two after it. Spark scores the graph of patterns and instances in rounds: a pattern's confidence for a kind is the mean score of the
 distinct instances seen in it, if these bring enough support; an unseen instance's score is the chance that not all its
 patterns are wrong. What stands in a pattern of high confidence with a high score is personal data of that kind.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -31,9 +32,11 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 HINT = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\s<>()\[\]{},;\"']+")
+WORD = re.compile(r"\S+")
+GROUP = re.compile(r"[+]?[0-9][0-9./-]*")  # digit groups that stand side by side are one identifier
+BETWEEN = re.compile(r"[ ()]{1,2}")
 LEAST_DIGITS = 4
-CONTEXT = 400
-LONGEST = 64  # longer words and instances are compared by digest
+LONGEST = 64  # of longer words so many characters beside the mention count; longer instances are compared by digest
 
 
 def luhn(digits: str) -> bool:
@@ -75,46 +78,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _pattern(text: str, start: int) -> str:
-    """The two words before a place, in lower case, digits as 0. Fewer words, or words that begin further than CONTEXT
-    characters before the place, give no pattern."""
-    at = max(0, start - CONTEXT)
-    words = text[at:start].split()
-    if len(words) < 2 or at > 0 and len(words) < 3:  # the first word in reach may be cut
-        return ""
-    return " ".join(re.sub("[0-9]", "0", _short(w.lower())) for w in words[-2:])
+class Context:
+    """The words of a text, for the patterns of its mentions: words in lower case, digits as 0; ^ and $ beyond the text."""
 
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
 
-def _short(text: str) -> str:
-    """A text of up to LONGEST characters, or a digest in its place."""
-    return text if len(text) <= LONGEST else "#" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+    def patterns(self, start: int, end: int) -> tuple[str, str]:
+        before, after = ["^", "^"], ["$", "$"]
+        k = bisect_left(self.starts, start)  # words that begin before the mention; the last may reach into it
+        for i in range(max(0, k - 2), k):
+            before.append(self.text[max(self.starts[i], (e := min(self.ends[i], start)) - LONGEST) : e])
+        k = bisect_right(self.ends, end)
+        for i in range(min(len(self.ends), k + 2) - 1, k - 1, -1):
+            after.append(self.text[(a := max(self.starts[i], end)) : min(self.ends[i], a + LONGEST)])
+        shown = lambda words: re.sub("[0-9]", "0", " ".join(words).lower())
+        return "< " + shown(before[-2:]), "> " + shown(after[:-3:-1])
 
 
 def _value(token: str) -> str:
-    return _short(re.sub(r"[\s().-]", "", token.lower()))
+    """A mention's instance: without separators, in lower case; a long one by its digest."""
+    value = re.sub(r"[\s().-]", "", token.lower())
+    return value if len(value) <= LONGEST else "#" + hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Places of what looks like an identifier and meets no base span: tokens, and runs of digit groups side by side."""
+    taken = _union([(a, b) for _, a, b in base])
+    out, i, run = [], 0, None
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        if not HINT.search(text, a, b):
+            continue
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if b == a or i < len(taken) and taken[i][0] < b:
+            continue
+        if not GROUP.fullmatch(text, a, b):
+            out.append((a, b))
+        elif run and BETWEEN.fullmatch(text, run[1], a):
+            run[1] = b
+        else:
+            run = [a, b]
+            out.append(run)
+    return [(a, b) for a, b in out if text.find("@", a, b) >= 0 or len(DIGIT.findall(text, a, b)) >= LEAST_DIGITS]
+
+
+def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, str, int, int]]:
-    """(kind or -1, pattern, instance, start, end) of seeds and of other tokens that look like identifiers."""
-    out = [(k, p, _value(text[a:b]), a, b) for k, a, b in base if (p := _pattern(text, a))]
-    if HINT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
-        i = 0
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            token = m.group()
-            if not HINT.search(token):
-                continue
-            while b > a and not text[b - 1].isalnum():
-                b -= 1
-            token = text[a:b]
-            while i < len(taken) and taken[i][1] <= a:
-                i += 1
-            if b == a or any(x < b and y > a for x, y in taken[i : i + 4]):
-                continue
-            if ("@" in token or len(DIGIT.findall(token)) >= LEAST_DIGITS) and (p := _pattern(text, a)):
-                out.append((-1, p, _value(token), a, b))
-    return out
+    """(kind or -1, pattern, instance, start, end), twice each, of seeds and of other places that look like identifiers."""
+    if not HINT.search(text):
+        return []
+    found = [*base, *((-1, a, b) for a, b in _candidates(text, base))]
+    context = Context(text) if found else None
+    return [(k, p, _value(text[a:b]), a, b) for k, a, b in found for p in context.patterns(a, b)]
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
