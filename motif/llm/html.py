@@ -1,12 +1,15 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree of elements. Every element's density is its characters per tag, weighed down by the share of
-links in it and compared with the page's. The densities of an element's children are summed; the element with the
-largest sum is the core. The least density on the way from the core up to the body is the threshold: elements at or above
-it may hold content, and of each of them the part with the largest sum counts. A core inside an article or main element
-stands for all of it. Menus, headers, footers, sidebars, notices, adverts, forms, reader comments and what is never shown
-are taken out first, by element, role, and class or id names. A form, or an element with such a name, that holds most of the
-page's text outside links stays, and its parts are judged by themselves; not so if it is outside the page's article or main.
+links in it and compared with the page's; only what is never shown (scripts, styles, hidden elements) counts for nothing. The
+densities of an element's children are summed; the element with the largest sum is the core. The least density on the way
+from the core up to the body is the threshold: elements at or above it may hold content, and of each of them the part with
+the largest sum is taken.
+
+What density has taken is pruned: menus, headers, footers, sidebars, notices, adverts, forms and reader comments in it go, by
+element, role, and class or id names. A form, or an element with such a name, that holds most of the page's text outside
+links stays, and its parts are judged by themselves; not so if it is outside the page's article or main. If nothing is left,
+the element with the largest sum of those that are not pruned is the core instead.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ IMPLIED = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
+#: Of DROPPED, what shows its text: it has a density, and is pruned from what density takes.
+SHOWN = set("nav footer aside form button menu dialog fieldset label legend".split())
 CONTAINERS = ("article", "main")
 HOLDERS = BLOCKS | {"td", "th"}  # what can be taken by itself; the body is taken as the core only
 HOLDERS -= {"html", "body"}
@@ -68,10 +73,10 @@ PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "boilerplate", "weak", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "boilerplate", "hidden", "weak", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items, self.boilerplate = tag, parent, [], False
+        self.tag, self.parent, self.items, self.boilerplate, self.hidden = tag, parent, [], False, False
         self.weak = 0  # 1: boilerplate unless it holds most of the text; 2: unless it holds all of it
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -86,9 +91,9 @@ def _inside(node: Node | None, tags: tuple) -> bool:
 
 
 def _boilerplate(tag: str, attributes: str, parent: Node) -> int:
-    """0: no boilerplate; 1, 2: by name or as a form, see Node.weak; 3: whatever it holds."""
+    """0: no boilerplate; 1, 2: by name or as a form, see Node.weak; 3: whatever it holds; 4: never shown."""
     if tag in DROPPED and tag != "form":
-        return 3
+        return 3 if tag in SHOWN else 4
     if tag == "header" and not _inside(parent, CONTAINERS):
         return 3
     found = int(tag == "form")
@@ -97,7 +102,7 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> int:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 3
+            return 4
         if name == "role" and (role := value.strip().lower()) in ROLES:
             if role != "form":
                 return 3
@@ -192,8 +197,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     break
         parent = stack[-1]
         node = Node(tag, parent)
-        kind = 3 if parent.boilerplate else _boilerplate(tag, m[3] or "", parent)
-        node.boilerplate, node.weak = kind == 3, kind % 3
+        kind = 4 if parent.hidden else _boilerplate(tag, m[3] or "", parent)
+        node.hidden = kind == 4
+        node.boilerplate = parent.boilerplate or kind >= 3
+        node.weak = 0 if node.boilerplate else kind
         parent.items.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -209,67 +216,53 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Counts, densities and sums of all elements; what is boilerplate counts for nothing."""
+    """Counts, densities and sums of all elements; what is never shown counts for nothing."""
     for n in reversed(nodes):
-        if n.boilerplate:
+        if n.hidden:
             continue
-        link = n.tag == "a"
         for item in n.items:
             if isinstance(item, str):
                 n.chars += len(item.strip())
-            elif not item.boilerplate:
+            elif not item.hidden:
                 n.chars += item.chars
                 n.tags += 1 + item.tags
                 n.link_chars += item.link_chars
                 n.link_tags += (item.tag == "a") + item.link_tags
-        if link:
+        if n.tag == "a":
             n.link_chars = n.chars
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     share = body.link_chars / max(1, body.chars)
     for n in reversed(nodes):
-        if n.boilerplate or not n.chars:
+        if n.hidden or not n.chars:
             continue
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         base = math.log(math.log(c * n.link_chars / max(1, c - n.link_chars) + share * c + math.e) + math.e - 1)
         n.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) + 1e-3) / base
-        n.sum = sum(x.density for x in n.items if not isinstance(x, str) and not x.boilerplate)
+        n.sum = sum(x.density for x in n.items if not isinstance(x, str) and not x.hidden)
 
 
-def _core(nodes: list[Node]) -> Node:
-    best = nodes[0]
+def _core(body: Node, nodes: list[Node]) -> Node:
+    """The element with the largest sum. One without blocks in it, such as a paragraph, is no article by itself."""
+    best = body
     for n in nodes:
-        if not n.boilerplate and n.sum > best.sum:
+        if n.sum > best.sum and any(not isinstance(x, str) and x.tag in BLOCKS and not x.hidden for x in n.items):
             best = n
     return best
 
 
-def choose(nodes: list[Node]) -> list[Node]:
-    """The elements whose text is the article, in page order, none inside another."""
-    body = next((n for n in nodes if n.tag == "body" and not n.boilerplate), nodes[0])
-    inner = [n for n in nodes if not n.boilerplate and n.chars]
-    core = _core([body, *inner])
-    place, lifted = core, None
-    threshold = core.density
+def by_density(nodes: list[Node], body: Node, core: Node) -> list[Node]:
+    """What density takes with that core: it, and of each element at or above the threshold the part with the largest sum;
+    in page order, none inside another."""
+    place, threshold = core, core.density
     while place is not None:
         threshold = min(threshold, place.density)
-        if place.tag in CONTAINERS:
-            lifted = place
-        if place is body:
-            break
-        place = place.parent
-    if lifted is None and core is body:  # the article may be one of several containers
-        lifted = max((n for n in inner if n.tag in CONTAINERS), key=lambda n: n.chars, default=None)
-        if lifted is not None and 2 * lifted.chars < body.chars:
-            lifted = None
-    if lifted is not None:
-        return [lifted]
-    if core is body:
-        return [body]
+        place = None if place is body else place.parent
+    inner = [n for n in nodes if not n.hidden and n.chars]
     parts: dict[int, Node] = {}  # of each element, the one with the largest sum in it, itself included
     for n in reversed(inner):
         best = n
         for x in n.items:
-            if not isinstance(x, str) and not x.boilerplate and x.chars and parts[id(x)].sum > best.sum:
+            if not isinstance(x, str) and not x.hidden and x.chars and parts[id(x)].sum > best.sum:
                 best = parts[id(x)]
         parts[id(n)] = best
     marked = {id(core)}
@@ -284,10 +277,19 @@ def choose(nodes: list[Node]) -> list[Node]:
         if id(n) in marked:
             out.append(n)
         else:
-            todo += [x for x in reversed(n.items) if not isinstance(x, str) and not x.boilerplate]
+            todo += [x for x in reversed(n.items) if not isinstance(x, str) and not x.hidden]
     return out
 
 
+def choose(nodes: list[Node]) -> list[Node]:
+    """The elements whose text, without what is pruned in it, is the article, in page order, none inside another."""
+    body = next((n for n in nodes if n.tag == "body" and not n.boilerplate), nodes[0])
+    core = _core(body, nodes)
+    if core.boilerplate:
+        core = _core(body, [n for n in nodes if not n.boilerplate])
+    return [n for n in by_density(nodes, body, core) if not n.boilerplate]
+
+
 def blocks(node: Node) -> Iterator[str]:
     """The texts of a subtree's blocks: character references decoded, white space made single spaces, none empty."""
     buffer: list[str] = []

@@ -176,6 +176,74 @@ def test_text_in_several_parts_is_whole():
         assert [t[:18] for t in found[1:]] == [f"part {k} paragraph {i}" for k in range(parts) for i in range(3)]
 
 
+def plain_density(n, body):
+    """A node's density and the sum of its children's, from the definition, with recursion."""
+    import math
+
+    def count(n):
+        c = t = lc = lt = 0
+        for x in n.items:
+            if isinstance(x, str):
+                c += len(x.strip())
+            elif not x.hidden:
+                k = count(x)
+                c, t, lc, lt = c + k[0], t + 1 + k[1], lc + k[2], lt + k[3] + (x.tag == "a")
+        return (c, t, c if n.tag == "a" else lc, lt)
+
+    def density(n):
+        c, t, lc, lt = count(n)
+        if not c:
+            return 0.0
+        bc, _, bl, _ = count(body)
+        base = math.log(math.log(c * lc / max(1, c - lc) + bl / max(1, bc) * c + math.e) + math.e - 1)
+        return c / max(1, t) * max(0.0, math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) + 1e-3) / base
+
+    return density(n), sum(density(x) for x in n.items if not isinstance(x, str) and not x.hidden)
+
+
+def test_densities_and_the_chosen_subtree_equal_the_definition():
+    rng = random.Random(12)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "section", "ul", "b", "a", "nav", "span", "script"])
+        inner = "".join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        return f"<{tag}>{'t' * rng.randint(0, 80)}{inner}</{tag}>"
+
+    for _ in range(30):
+        _, nodes = html.parse("<html><body>" + "".join(tree(4) for _ in range(4)) + "</body></html>")
+        html.measure(nodes)
+        body = next(n for n in nodes if n.tag == "body")
+        seen = [n for n in nodes if not n.hidden]
+        for n in seen:
+            density, total = plain_density(n, body)
+            assert abs(n.density - density) < 1e-9 and abs(n.sum - (total if n.chars else 0)) < 1e-9
+        holders = [n for n in seen if n is body or any(not isinstance(x, str) and not x.hidden and x.tag in html.BLOCKS for x in n.items)]
+        assert html._core(body, nodes).sum == max([body.sum, *(n.sum for n in holders)])
+
+
+def test_density_finds_the_text_of_pages_without_article_or_main():
+    """Neither elements nor names say where the text is; lists of links and short lines stand around it."""
+    rng = random.Random(15)
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{k}>{'link ' * rng.randint(1, 4)}</a>" for k in range(n)) + "</ul>"
+    for _ in range(40):
+        paragraphs = [("word " * rng.randint(30, 90)).strip() for _ in range(rng.randint(3, 9))]
+        text = "".join(f"<p>{p}</p>" for p in paragraphs)
+        inner = f"<div><div>{text}</div></div>" if rng.random() < 0.5 else f"<td>{text}</td>"
+        page = f"<html><body><div><div>{links(12)}</div><table><tr>{inner}</tr></table><div>{links(9)}</div><div>{links(5)}</div></div></body></html>"
+        assert html.extract(page) == "\n".join(paragraphs)
+
+
+def test_reader_comments_longer_than_the_text_are_pruned_and_long_pages_are_whole(spark):
+    text = "".join(f"<p>{'word ' * 40}</p>" for _ in range(3))
+    comments = "<div id=comments>" + "".join(f"<div><p>{'reply ' * 90}</p></div>" for _ in range(9)) + "</div>"
+    assert html.extract(f"<html><body><div><div>{text}</div>{comments}</div></body></html>").count("word") == 120
+    assert "reply" not in html.extract(f"<html><body><article>{text}{comments}</article></body></html>")
+    long = "<article>" + "".join(f"<p>{'many words stand in this paragraph of a long page ' * 5}{k}</p>" for k in range(8000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, "t", 7)], "page_id long, url string, html string, text string, n_chars long")
+    row = html.extract_column(pages).first()
+    assert row["text"].count("\n") == 7999 and row["n_chars"] == len(row["text"]) and row["text"].endswith("7999")
+
+
 def test_names_and_forms_do_not_take_the_text_away():
     text = "<h2 id='related-work'>Other work</h2><p>%s</p><section id='notice-period'><h3 id='how-to-login'>How to</h3><p>Some more of it.</p></section>" % ("word " * 60)
     want = "\n".join(["Other work", " ".join(["word"] * 60), "How to", "Some more of it."])
