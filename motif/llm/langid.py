@@ -31,22 +31,38 @@ PART = 1 << 18
 
 
 def letter_table() -> np.ndarray:
-    """Of each UTF-16 unit: the lower-case letter, or a space for anything else. Surrogates, rarely letters, are spaces."""
+    """Of each UTF-16 unit: the lower-case letter, or a space for anything else."""
     out = np.full(1 << 16, 32, dtype=np.uint32)
     for i in range(1 << 16):
-        c = chr(i)
-        if c.isalpha():
-            low = c.lower()
-            out[i] = ord(low) if len(low) == 1 else i
+        out[i] = _letter(chr(i))
+    return out
+
+
+def _letter(c: str) -> int:
+    if not c.isalpha():
+        return 32
+    low = c.lower()
+    return ord(low if len(low) == 1 else c)
+
+
+def _letters(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The letters, or spaces, of code points (or UTF-16 units without surrogates)."""
+    if raw.dtype == np.uint16:
+        return table[raw]
+    out = table[np.minimum(raw, 0xFFFF)]
+    for c in np.unique(raw[raw > 0xFFFF]).tolist():
+        out[raw == c] = _letter(chr(c))
     return out
 
 
 def counts(text: str, table: np.ndarray) -> np.ndarray | None:
     """How often each feature occurs in a whole text; None if it has no letter."""
     raw = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
+    if ((raw & 0xF800) == 0xD800).any():  # letters beyond 16 bits
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     out, found = np.zeros(FEATURES), False
     for at in range(0, len(raw), PART):
-        x = table[raw[max(0, at - 2) : at + PART]]
+        x = _letters(raw[max(0, at - 2) : at + PART], table)
         x = np.r_[np.uint32(32), x, np.uint32(32)]
         x = x[np.r_[True, (x[1:] != 32) | (x[:-1] != 32)]]
         if len(x) < 3:
@@ -57,9 +73,7 @@ def counts(text: str, table: np.ndarray) -> np.ndarray | None:
         three = two ^ a * np.uint32(0xC2B2AE35)
         for h in (two, (three ^ three >> np.uint32(15)) * np.uint32(0x27D4EB2F), b * np.uint32(0x165667B1)):
             out += np.bincount(h >> np.uint32(16), minlength=FEATURES)
-    if found:
-        return out
-    return None if not any(c.isalpha() for c in text) else out + np.bincount([1], minlength=FEATURES)
+    return out if found else None
 
 
 def vector(tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -138,6 +138,46 @@ def test_foreign_texts_of_any_length_are_rejected(spark):
     assert all(found[i] for i, _, _ in far) and not any(found[i] for i in [*range(400), 2000, 2001])
 
 
+def plain_features(text):
+    """Hashed n-grams of a text, counted one by one."""
+    letters = [ch.lower() if len(ch.lower()) == 1 else ch for ch in text if True]
+    spaced = " ".join("".join(x if x.isalpha() else " " for x in letters).split())
+    x = [ord(ch) for ch in f" {spaced} "]
+    out, m = {}, 2**32 - 1
+    for i in range(1, len(x) - 1):
+        two = (x[i] * 0x9E3779B1 & m) ^ (x[i + 1] * 0x85EBCA6B & m)
+        three = two ^ (x[i - 1] * 0xC2B2AE35 & m)
+        for h in (two, (three ^ three >> 15) * 0x27D4EB2F & m, x[i] * 0x165667B1 & m):
+            out[h >> 16] = out.get(h >> 16, 0) + 1
+    return out
+
+
+def test_predictions_equal_plain_cosines(spark):
+    """Every text against every centroid with dicts, ties to the first language; long texts and letters beyond 16 bits too."""
+    import math
+
+    rows = corpus(200)
+    astral = "".join(chr(0x10400 + i % 40) for i in range(60))
+    extra = [(900, "thing wher ough " * 30_000, None), (901, astral, None), (902, "\U0001f600 12", None), (903, rows[0][1], None), (904, rows[0][1], None)]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").selectExpr("*", "lang as lang_pred", "1.5 as score")
+    model = langid.train(docs)
+    found = {r["doc_id"]: r for r in langid.predict(docs, model, ["doc_id", "score"]).collect()}
+    table = langid.letter_table()
+    for i, text, _ in rows[:40] + extra:
+        tf = plain_features(text)
+        if i == 902:
+            assert found[i]["lang_pred"] == "und" and langid.counts(text, table) is None
+            continue
+        if i != 900:  # the long text is read in parts: the space between two of them isn't repeated
+            assert {k: int(n) for k, n in enumerate(langid.counts(text, table)) if n} == tf
+        v = {k: math.log1p(n) * model.idf[k] for k, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x / norm * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert abs(found[i]["score"] - max(0.0, cosines[best])) < (1e-2 if i == 900 else 1e-5) and found[i]["lang_pred"] == model.languages[model.owner[best]]
+    assert found[901]["rejected"] and found[903]["score"] == found[904]["score"]
+
+
 def test_language_model_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.predict(docs, langid.train(docs), ["doc_id"]).first()["lang_pred"] == "und"
