@@ -22,9 +22,10 @@ def texts():
     return docs
 
 
-def test_each_stage_against_brute_force(spark, make):
+def test_each_stage_and_the_whole_run_against_brute_force(spark, make, tmp_path):
     rows = texts()
     docs, columns = make(rows), make([]).columns
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "substring_dedup", "pii", "packing"]
 
@@ -34,8 +35,7 @@ def test_each_stage_against_brute_force(spark, make):
     assert kept == {i: t for i, t in rows if t and any(c.isalpha() for c in t)}
 
     docs = materialize(stages["simhash_near_dedup"](spark, docs, ""), "t")
-    groups = test_simhash.components([test_simhash.brute(t) for t in kept.values()])
-    first = {min(i for i, t in kept.items() if test_simhash.brute(t) in g) for g in groups}
+    first = set(test_simhash.similar_firsts(list(kept.items())))
     kept = {i: t for i, t in kept.items() if i in first}
     assert {r["doc_id"]: r["text"] for r in docs.collect()} == kept and 60 not in kept and docs.columns == columns
 
@@ -54,8 +54,23 @@ def test_each_stage_against_brute_force(spark, make):
         left[i] = t
     assert {r["doc_id"]: r["text"] for r in docs.collect()} == left and docs.columns == columns
 
-    placed = stages["packing"](spark, docs, "").collect()
-    check_packing(placed, list(left.items()), Tokenizer.from_file(tokens.tokenizer_path()))
+    for placed in (stages["packing"](spark, docs, ""), corpus_pipeline.run(spark, str(tmp_path))):
+        check_packing(placed.collect(), list(left.items()), Tokenizer.from_file(tokens.tokenizer_path()))
+
+
+def test_stages_of_null_repeated_and_missing_rows(spark, make):
+    """Documents without an id stay, rows that repeat a kept document go in the second stage, null texts go in the first."""
+    long = "stone river garden window letter market evening number people music " * 4
+    docs = make([(1, long), (1, long), (2, None), (None, long + "end"), (None, long + "end"), (3, ""), (4, "river stone")])
+    stages = dict(corpus_pipeline.STAGES)
+    docs = materialize(stages["language_id"](spark, docs, ""), "t")
+    assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "1", "4", "None", "None"]
+    docs = materialize(stages["simhash_near_dedup"](spark, docs, ""), "t")
+    assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "4", "None", "None"]
+    docs = materialize(stages["substring_dedup"](spark, docs, ""), "t")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()}[1] == long
+    docs = materialize(stages["pii"](spark, docs, ""), "t")
+    assert {r["doc_id"] for r in stages["packing"](spark, docs, "").collect()} >= {1, 4}
 
 
 def test_run_reads_documents_and_empty_tables_give_nothing(spark, make, tmp_path):
