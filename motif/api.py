@@ -43,6 +43,21 @@ class Library:
     def index(self) -> DataFrame:
         return registry.index_sections(self.skills())
 
+    def embed(self) -> str:
+        """Writes the library's vectors beside its skills: TF-IDF weights of two skills or more, the hash vector of one."""
+        skills = self.skills().withColumn("_text", searching.skill_text())
+        path = f"{self.path}/_vectors"
+        if len(skills.take(2)) > 1:
+            vectors = searching.TfIdf(skills, "skill_name", "_text").weights
+        else:
+            vectors = searching.hash_buckets(skills, "skill_name", "_text").select("skill_name", F.col("bucket").cast("string").alias("term"), "weight")
+        sinks.write_vectors(vectors, path)
+        return path
+
+    def vectors(self) -> DataFrame:
+        """(skill_name, term, weight) as embed() wrote them."""
+        return files.read_vectors(self.spark, f"{self.path}/_vectors")
+
     def stats(self) -> dict[str, DataFrame]:
         found = self.skills()
         return {
@@ -64,6 +79,13 @@ class Library:
         found = patterns.candidates(units, self.settings).select(*shape)
         if self.settings.detect_compositions:
             found = found.unionByName(crystallize.from_compositions(compositions.compositions(units, self.settings.min_co_occurrence)).select(*shape))
+        return self.crystallized(found)
+
+    def crystallized(self, found: DataFrame) -> DataFrame:
+        """Skills made of candidates, registered. What fails beyond the model itself is tried three times."""
+        return crystallize.attempted(lambda: self._crystallized(found))
+
+    def _crystallized(self, found: DataFrame) -> DataFrame:
         made = crystallize.crystallize(found, self.model, time.time())
         # One set of answers is registered and returned: a model may answer differently when asked again.
         path = fresh_path(self.spark, "skills")

@@ -137,6 +137,16 @@ def word_buckets(text: Column) -> Column:
     return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 31, 2), 16, 10).cast("int"))
 
 
+def run_lengths(values: Column) -> Column:
+    """Array of (value, n) of the distinct values of an array, in order; by sorting, so in n log n time within the row."""
+
+    def lengths(v: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        return let(first, lambda f: F.transform(f, lambda at, k: F.struct(F.get(v, at).alias("value"), (F.coalesce(F.get(f, k + 1), F.size(v)) - at).alias("n"))))
+
+    return F.when(F.size(values) > 0, let(F.array_sort(values), lengths))
+
+
 def hash_vector(text: Column) -> Column:
     """Counts of word buckets as 256 floats of unit length; all zero without words."""
     counted = let(word_buckets(text), lambda b: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from motif.functions import exprs, llmjson, pyast
 from motif.operators.compositions import combined_source
+from motif.schema import Settings
 
 #: A model: prompts of a batch to answers; None for a prompt that failed, which is not asked again.
 Model = Callable[[list[str]], list[str | None]]
@@ -66,6 +68,22 @@ def http_model(backend: str, key: str = "", name: str = "", base: str = "", time
     return ask
 
 
+def active_model(settings: Settings) -> str:
+    """The backend in use and its model, for logs."""
+    return f"{settings.backend}:{settings.model}" if settings.model else settings.backend
+
+
+def attempted(work: Callable, attempts: int = 3, least: float = 2.0, most: float = 15.0, sleep: Callable[[float], None] = time.sleep):
+    """What work returns; after an error it is tried again, with pauses that double from least up to most seconds."""
+    for k in range(attempts):
+        try:
+            return work()
+        except Exception:
+            if k + 1 == attempts:
+                raise
+            sleep(min(most, least * 2**k))
+
+
 def from_compositions(found: DataFrame) -> DataFrame:
     """Compositions in the form of candidates, of complexity 5."""
     names = F.col("component_names")

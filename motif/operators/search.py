@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,24 +39,30 @@ def corpus_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def _terms(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """(key, term) of every occurrence: words of two characters or more that are no stop words, and pairs of neighbours."""
+def _counted(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """(key, term, tf): words of two characters or more that are no stop words, and pairs of neighbours, counted within the row."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     kept = F.filter(found, lambda w: ~w.isin(words))
-    pairs = exprs.let(kept, lambda t: F.concat(t, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))))
-    # Both branches bind kept once; a text with fewer than two words has no pairs.
-    return rows.select(key, F.explode(F.when(F.size(kept) > 1, pairs).otherwise(kept)).alias("term"))
+    pairs = lambda t: F.concat(t, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i))))
+    terms = exprs.let(kept, lambda t: F.when(F.size(t) > 1, pairs(t)).otherwise(t))
+    return rows.select(key, F.explode(exprs.run_lengths(terms)).alias("c")).select(key, F.col("c.value").alias("term"), F.col("c.n").cast("long").alias("tf"))
+
+
+def skill_text() -> Column:
+    """What a skill is found by."""
+    return corpus_text(F.col("skill_name"), F.col("description"), F.col("tags"), F.col("category"), F.col("language"))
 
 
 class TfIdf:
     """A fitted model: weights(key, term, weight) of unit length, idf(term, idf) of at most `features` terms.
 
-    Features are the terms with most occurrences in the corpus, ties in order of term; idf is ln((1+n)/(1+df)) + 1.
+    key names a row. Terms are counted within their row, so only sums by term are shuffled, and of the second pass what
+    the features keep. Features are the terms with most occurrences in the corpus, ties in order of term; idf is ln((1+n)/(1+df)) + 1.
     """
 
     def __init__(self, rows: DataFrame, key: str, text: str, features: int = FEATURES, words: list[str] | None = None):
         self.key, self.words = key, STOP_WORDS if words is None else words
-        counted = _terms(rows, key, text, self.words).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        counted = _counted(rows, key, text, self.words)
         stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
         n = rows.count()
         self.idf = stats.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))  # features rows at most
@@ -67,7 +75,7 @@ class TfIdf:
         """(term, weight) of a query, of unit length."""
         spark = self.rows.sparkSession
         one = spark.createDataFrame([(0, text)], "q int, text string")
-        counted = _terms(one, "q", "text", self.words).groupBy("term").agg(F.count("*").alias("tf"))
+        counted = _counted(one, "q", "text", self.words)
         weighted = counted.join(self.idf, "term").select("term", (F.col("tf") * F.col("idf")).alias("w"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy()))  # over a query's terms
         return weighted.select("term", (F.col("w") / norm).alias("weight"))
@@ -88,23 +96,38 @@ def search(rows: DataFrame, query: str, k: int = 5, mode: str = "auto") -> DataF
         mode = "tfidf" if len(rows.take(2)) > 1 else "keyword"
     if mode == "keyword":
         return keyword_search(rows, query, "skill_name", "description", "tags", "code", k)
-    text = corpus_text(F.col("skill_name"), F.col("description"), F.col("tags"), F.col("category"), F.col("language"))
-    hits = TfIdf(rows.withColumn("_text", text), "skill_name", "_text").search(query, k)
+    hits = TfIdf(rows.withColumn("_text", skill_text()), "skill_name", "_text").search(query, k)
     return rows.join(F.broadcast(hits), "skill_name").orderBy(F.desc("score"), "skill_name")
 
 
 def hash_buckets(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket, weight): the hash vector in sparse form, of unit length."""
-    counted = rows.select(key, F.explode(exprs.word_buckets(F.col(text))).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("c"))
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
-    return counted.select(key, "bucket", F.round(F.col("c") / norm, 6).alias("weight"))
+    """(key, bucket, weight): the hash vector of each row in sparse form, of unit length; nothing is shuffled."""
+    counted = rows.select(key, exprs.run_lengths(exprs.word_buckets(F.col(text))).alias("_c"))
+    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
+    each = counted.withColumn("_n", norm).select(key, "_n", F.explode("_c").alias("_c"))
+    return each.select(key, F.col("_c.value").alias("bucket"), F.round(F.col("_c.n") / F.col("_n"), 6).alias("weight"))
+
+
+def query_vector(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(term, weight) of a query against a corpus: TF-IDF with two rows or more, else its hash vector, by bucket."""
+    if len(rows.take(2)) > 1:
+        return TfIdf(rows, key, text).query(query)
+    one = rows.sparkSession.createDataFrame([(0, query)], "q int, text string")
+    return hash_buckets(one, "q", "text").select(F.col("bucket").cast("string").alias("term"), "weight")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, score): of each query vector the k rows with the greatest cosine. The queries are broadcast and must be few."""
-    few = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    if (n := few.count()) > MOST_QUERIES:
-        raise ValueError(f"{n} query vectors, at most {MOST_QUERIES} are broadcast")
-    scored = rows.join(F.broadcast(few)).select("query", key, F.round(exprs.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+    """(query, key, score): of each query vector the k rows with the greatest cosine.
+
+    Queries are asked in blocks of about MOST_QUERIES, which are broadcast one by one; each task sends k rows of a query.
+    """
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+    blocks = -(-asked.count() // MOST_QUERIES) or 1
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+    def ask(block: int) -> DataFrame:
+        few = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else asked
+        scored = rows.join(F.broadcast(few)).select("query", key, F.round(exprs.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+        return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+    return reduce(DataFrame.unionByName, map(ask, range(blocks)))

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motif.functions import exprs, llmjson, parse, pyast, tokens
-from motif.operators import compositions, fuzzy, patterns, registry, search
+from motif.operators import compositions, crystallize, fuzzy, patterns, registry, search
 from motif.plans import fixtures
 from motif.plans.oracles import K, SEARCHED
 from motif.plans.oracles import ORACLES as ORACLES
 from motif.schema import Settings
 from motif.sources import files as sources
+from motif.sources import sinks
 from motif.storage import fresh_path, table
 from motif.streaming.promote import debounce, promote_stream
 
@@ -140,6 +141,57 @@ def fuzzy_rekey(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.rekey(keyed, 0.85).select("seq", "structural_hash", "new_hash")
 
 
+@query
+def fuzzy_ratio_fixture(spark: SparkSession, d: str) -> DataFrame:
+    """Ratios of token sequences, which are not symmetric; empty ones have none."""
+    pairs = spark.createDataFrame(fixtures.RATIOS, "id long, a string, b string")
+    cut = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    return pairs.select("id", F.round(fuzzy.ratio(F.struct(cut("a").alias("a"), cut("b").alias("b"))), 6).alias("ratio"))
+
+
+@query
+def fuzzy_rekey_fixture(spark: SparkSession, d: str) -> DataFrame:
+    """The second source joins the first one's hash, the third is too different, the fourth repeats the second's hash."""
+    keyed = spark.createDataFrame(fixtures.REKEYED, "structural_hash string, seq long, source_code string")
+    return fuzzy.rekey(keyed, 0.85).select("seq", "structural_hash", "new_hash")
+
+
+@query
+def candidate_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files that candidates are written to, with the fields a reader needs."""
+    found = patterns.candidates(parse.parse_files(fixtures.files(spark, fixtures.PYTHON_FILES)))
+    made = sinks.candidate_files(found)
+    read = lambda name: F.get_json_object("content", f"$.{name}")
+    return made.select(F.endswith("path", F.lit(".json")).alias("named"), read("language").alias("language"), read("frequency").cast("long").alias("frequency"), read("contexts").alias("contexts"))
+
+
+@query
+def skill_pages(spark: SparkSession, d: str) -> DataFrame:
+    """First and last lines of the pages of skills."""
+    page = F.split(registry.skill_page(), "\n")
+    return fixtures.skills(spark).select("skill_name", F.get(page, F.lit(1)).alias("named"), F.get(page, F.lit(2)).alias("described"), F.element_at(page, -1).alias("last"))
+
+
+@query
+def decorators_and_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Decorators of units of both languages."""
+    found = parse.parse_files(fixtures.files(spark, fixtures.DECORATED_FILES))
+    return found.select("path", "name", _joined("decorators").alias("decorators"))
+
+
+@query
+def composition_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Compositions in the form of candidates, with the sources of their parts."""
+    found = crystallize.from_compositions(compositions.compositions(parse.parse_files(fixtures.files(spark, fixtures.PIPELINE_FILES)), 2))
+    return found.select("abstract_signature", "complexity_score", "node_type", F.regexp_count("source_code", F.lit("def ")).cast("long").alias("parts"), "first_seen_file")
+
+
+@query
+def skill_search_auto(spark: SparkSession, d: str) -> DataFrame:
+    """With two skills or more the automatic mode ranks by TF-IDF: the skill with the word comes first."""
+    return search.search(fixtures.skills(spark), "page", 1).select("skill_name")
+
+
 def _user_days(spark: SparkSession, d: str) -> DataFrame:
     """Events as units of a file for each user and day: one unit for each event type, which calls the next."""
     events = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type")
@@ -155,10 +207,15 @@ def _user_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cooccur_sets(spark: SparkSession, d: str) -> DataFrame:
-    """How often each set of event types makes up a user's day, and its first five days."""
-    sets = compositions.name_sets(_user_days(spark, d)).withColumn("r", F.row_number().over(Window.partitionBy("names").orderBy("event_seq")))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "path")))), lambda s: s["path"])
-    return sets.groupBy("names").agg(F.count("*").alias("n"), first.alias("contexts")).select(_joined("names").alias("names"), "n", _joined("contexts").alias("contexts"))
+    """How often each set of event types makes up a user's day, and its first five days.
+
+    A handful of sets hold all days: they are counted by partial sums, and ranked under a limit that each task applies first.
+    """
+    sets = compositions.name_sets(_user_days(spark, d))
+    ranked = sets.withColumn("r", F.row_number().over(Window.partitionBy("names").orderBy("event_seq"))).where(F.col("r") <= 5)
+    first = ranked.groupBy("names").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda s: s["path"]).alias("contexts"))
+    counted = sets.groupBy("names").agg(F.count("*").alias("n"))
+    return counted.join(first, "names").select(_joined("names").alias("names"), "n", _joined("contexts").alias("contexts"))
 
 
 @query
@@ -199,10 +256,9 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five vectors nearest to the first one of each label."""
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    firsts = rows.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
-    return search.nearest(rows, rows.join(F.broadcast(firsts), "vec_id", "left_semi"), "vec_id", "embedding", 5)
+    """Of every vector whose id is divisible by 100 the five nearest ones of all."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return search.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
 
 
 @query

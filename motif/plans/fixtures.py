@@ -49,6 +49,18 @@ SNIPPETS = [
     (11, LOADER),
     (12, TWIN),
 ]
+DECORATED_FILES = [
+    (1, "a.py", "@cache\n@route('/x')\ndef f():\n    return 1\n\ndef g():\n    return 2\n"),
+    (2, "b.ts", "@sealed\nclass Box {\n  open() { return 1; }\n}\n"),
+]
+RATIOS = [(1, "x y z", "x y w"), (2, "t i d e", "d i e t"), (3, "d i e t", "t i d e"), (4, "a b", "a b"), (5, "", "a"), (6, "", "")]
+WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+REKEYED = [
+    ("h1", 1, WORDS),
+    ("h2", 2, WORDS.replace("seven ", "7 ")),
+    ("h3", 3, "nothing here is like the others at all"),
+    ("h2", 4, WORDS.replace("seven ", "8 ")),
+]
 SKILLS = [
     ("load_json", "io", "Reads json", ["json", "file"], 12, "python"),
     ("save_json", "io", "Writes json", ["json", "file", "disk"], 5, "tsx"),

@@ -126,7 +126,18 @@ ORACLES = {
     "hash_embed": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
         b AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 31, 2)) AS INT) AS bucket, count(*) AS c FROM w GROUP BY ALL)
         SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""",
-    "cosine_topk": """WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+    "fuzzy_ratio_fixture": "SELECT CAST(id AS BIGINT) AS id, CAST(ratio AS DOUBLE) AS ratio FROM (VALUES (1, 0.666667), (2, 0.25), (3, 0.5), (4, 1.0), (5, 0.0), (6, 0.0)) AS t(id, ratio)",
+    "fuzzy_rekey_fixture": "SELECT CAST(seq AS BIGINT) AS seq, structural_hash, new_hash FROM (VALUES (1, 'h1', 'h1'), (2, 'h2', 'h1'), (3, 'h3', 'h3'), (4, 'h2', 'h1')) AS t(seq, structural_hash, new_hash)",
+    "candidate_files": """SELECT true AS named, 'python' AS language, CAST(2 AS BIGINT) AS frequency, '["a.py","b.py"]' AS contexts""",
+    "skill_pages": """SELECT * FROM (VALUES
+        ('load_json', 'name: load-json', 'description: Reads json Use for "load json", "json", "file". Seen 12 times.', '```'),
+        ('save_json', 'name: save-json', 'description: Writes json Use for "save json", "json", "file", "disk". Seen 5 times.', '```'),
+        ('fetch_page', 'name: fetch-page', 'description: Fetches a page Use for "fetch page", "http". Seen 1 times.', '```')) AS t(skill_name, named, described, last)""",
+    "decorators_and_sources": """SELECT * FROM (VALUES ('a.py', 'f', 'cache,route(''/x'')'), ('a.py', 'g', ''), ('b.ts', 'Box', '@sealed')) AS t(path, name, decorators)""",
+    "composition_candidates": """SELECT * FROM (VALUES ('a → b → c', CAST(5.0 AS DOUBLE), 'composed', CAST(3 AS BIGINT), 'x.py'), ('b → c', CAST(5.0 AS DOUBLE), 'composed', CAST(2 AS BIGINT), 'x.py'))
+        AS t(abstract_signature, complexity_score, node_type, parts, first_seen_file)""",
+    "skill_search_auto": "SELECT 'fetch_page' AS skill_name",
+    "cosine_topk": """WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
         s AS (SELECT query, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score FROM embeddings, q),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM s) SELECT query, vec_id, score FROM r WHERE r <= 5""",
     "related_tags": """WITH t AS (SELECT p_partkey AS name, list_sort(list_distinct(string_split(p_name || ' ' || p_type, ' '))) AS tags FROM part),

@@ -50,6 +50,7 @@ class Settings:
     min_co_occurrence: int = 2
     max_results: int = 5
     backend: str = "offline"
+    model: str = ""
     extensions: tuple = tuple(LANGUAGES)
     ignored_dirs: tuple = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".next", "coverage", ".motif")
     ignored_globs: tuple = (

@@ -74,6 +74,10 @@ def occurrences(candidates: DataFrame) -> DataFrame:
     return candidates.select("structural_hash", "language", F.posexplode("contexts").alias("pos", "context"))
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("skill_name string, term string, weight double").parquet(path)
+
+
 def read_skills(spark: SparkSession, path: str) -> DataFrame:
     """Skill metadata of both layouts; a folder's meta.json wins over a legacy file of the same name. Stored times stay."""
     reader = lambda: spark.read.schema(f"{SKILL}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad")
