@@ -60,20 +60,20 @@ def counts(text: str, table: np.ndarray) -> np.ndarray | None:
     raw = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
     if ((raw & 0xF800) == 0xD800).any():  # letters beyond 16 bits
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    out, found = np.zeros(FEATURES), False
+    out = None
     for at in range(0, len(raw), PART):
         x = _letters(raw[max(0, at - 2) : at + PART], table)
         x = np.r_[np.uint32(32), x, np.uint32(32)]
         x = x[np.r_[True, (x[1:] != 32) | (x[:-1] != 32)]]
         if len(x) < 3:
             continue
-        found = True
         a, b, c = x[:-2], x[1:-1], x[2:]
         two = b * np.uint32(0x9E3779B1) ^ c * np.uint32(0x85EBCA6B)
         three = two ^ a * np.uint32(0xC2B2AE35)
-        for h in (two, (three ^ three >> np.uint32(15)) * np.uint32(0x27D4EB2F), b * np.uint32(0x165667B1)):
-            out += np.bincount(h >> np.uint32(16), minlength=FEATURES)
-    return out if found else None
+        grams = np.concatenate([two, (three ^ three >> np.uint32(15)) * np.uint32(0x27D4EB2F), b * np.uint32(0x165667B1)]) >> np.uint32(16)
+        part = np.bincount(grams, minlength=FEATURES)
+        out = part if out is None else out + part
+    return out
 
 
 def vector(tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
