@@ -76,7 +76,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fitted(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+def fitted(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """df, known to have about that many rows at most, in partitions of about `each` rows: little data makes few files."""
     return df.coalesce(max(1, -(-rows // each)))
 

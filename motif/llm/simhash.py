@@ -311,7 +311,7 @@ def _verified(pairs: DataFrame, rows: int, classes: DataFrame, docs: DataFrame,
     met = ends.join(_sets(ends, classes, docs, width), "id").groupBy("a", "b").agg(F.min(F.struct("id", "s")).alias("x"), F.max(F.struct("id", "s")).alias("y"))
     met = met.select("a", "b", F.size("x.s").alias("m"), F.size("y.s").alias("n"), F.size(F.array_intersect("x.s", "y.s")).alias("both"))
     similar = met.where(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("a", "b")
-    return materialize(fitted(similar, pairs.count(), 10_000), "similar")
+    return materialize(fitted(similar, pairs.count(), 2500), "similar")
 
 
 def _near(n: str, m: str, similarity: float) -> F.Column:
@@ -326,12 +326,13 @@ def _crowded_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Da
     n - similarity * n + 1. What a member shares with nobody counts for its prefix but brings no pair, so a copy with many
     edits of its own meets nobody. Pairs whose shared shingles can't suffice any more from where they meet are left out.
     """
-    shingle = members.join(sets, "id").select("id", "n", "root", F.explode("s").alias("shingle"))
+    shingle = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
     shared = shingle.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
     own = Window.partitionBy("id")
     held = shingle.join(shared, "shingle").withColumns({"m": F.count("*").over(own), "at": F.row_number().over(own.orderBy("f", "shingle"))})
     held = held.withColumn("at", F.col("at") + F.col("n") - F.col("m")).where(F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
     enough = lambda both, n, m: both >= similarity / (1 + similarity) * (n + m) - 1e-9
+    held = held.join(members.select("id", "root"), "id")
     least = held.groupBy("shingle").agg(F.min("n").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").drop("r0", "r1")
     held = held.join(least, "shingle").where(enough(F.col("m"), F.col("n"), F.col("least"))).drop("least")
     x = held.select("shingle", F.col("id").alias("a"), "n", "m", "at", "root")
