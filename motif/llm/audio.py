@@ -292,24 +292,26 @@ def media_column(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def media_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Digests and features of every text's stream, computed from the payload that is read back from the stored bytes.
+    """Digests and features of every text's stream, computed from the payload that is read back from the stored bytes, with its
+    exact duration (samples at sample_rate) and the offset of every frame.
 
     A null text is empty: 64 zero bytes. Equal texts give equal values; repeated rows stay; an empty table gives none.
     """
 
     def make() -> Callable[[list], dict]:
         def run(texts: list) -> dict:
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "sample_rate", "seek_offsets")}
             for t in texts:
                 payload, n = padded(t)
                 stored = write(payload)
                 audio = parse(stored)
                 back = read(stored, audio)
-                for k, v in zip(out, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), summary(audio))):
+                digests = n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), summary(audio)
+                for k, v in zip(out, (*digests, audio.samples, audio.rate, audio.offsets)):
                     out[k].append(v)
             return out
 
         return run
 
-    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, sample_rate long, seek_offsets array<long>"
     return map_texts(docs, text, keep if keep is not None else ["doc_id"], make, fields)

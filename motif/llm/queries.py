@@ -52,7 +52,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_features(table(spark, sf_dir, "documents"))
+    found = audio.media_features(table(spark, sf_dir, "documents"))
+    return found.withColumn("seek_offsets", F.array_join(F.col("seek_offsets").cast("array<string>"), ","))
 
 
 QUERIES = {
