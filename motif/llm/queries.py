@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, hnsw, html, langid, packing, pii, secrets, simhash, substrings, tokens
+from . import audio, hnsw, html, langid, lattice, packing, pii, resample, secrets, simhash, substrings, tokens
 from .common import table
 
 
@@ -56,6 +56,14 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("seek_offsets", F.array_join(F.col("seek_offsets").cast("array<string>"), ","))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf_dir, "documents"), lattice.vocabulary_path())
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_simhash": op2_simhash,
@@ -67,5 +75,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_audio": op10_audio,
+    "op11_resample": op11_resample,
+    "op12_lattice": op12_lattice,
 }
 ORACLES: dict[str, str] = {}
