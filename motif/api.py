@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motif.functions.parse import parse_files
 from motif.operators import compositions, crystallize, patterns, registry
 from motif.operators import search as searching
+from motif.operators.index import SearchIndex
 from motif.schema import SKILL, Settings
 from motif.sources import files, sinks
 from motif.storage import fresh_path
@@ -20,6 +21,10 @@ COLUMNS = (
 ).split()
 
 
+#: Skills written since an index was fitted, for each one it was fitted on, beyond which it is fitted again.
+REFIT = 0.2
+
+
 class Library:
     """Skills in a folder. Writes replace a skill's files; a read sees what is there."""
 
@@ -30,7 +35,16 @@ class Library:
         return files.read_skills(self.spark, self.path)
 
     def search(self, query: str, k: int | None = None, mode: str = "auto") -> DataFrame:
-        return searching.search(self.skills(), query, k or self.settings.max_results, mode)
+        """Skills with score. Where embed() has made an index of two skills or more, TF-IDF scores are read from it."""
+        k = k or self.settings.max_results
+        kept = self.kept_index()
+        if mode == "keyword" or not query.strip() or not kept.there() or len(kept.rows().take(2)) < 2:
+            return searching.search(self.skills(), query, k, mode)
+        hits = kept.search(self.spark.createDataFrame([(0, query)], "query int, text string"), k).select("skill_name", "score")
+        return self.skills().join(F.broadcast(hits), "skill_name").orderBy(F.desc("score"), "skill_name")  # k rows
+
+    def kept_index(self) -> SearchIndex:
+        return SearchIndex(self.spark, f"{self.path}/_index", "skill_name")
 
     def get(self, name: str) -> DataFrame:
         """The skill of that name with its page; no row if there is none."""
@@ -44,11 +58,15 @@ class Library:
         return registry.index_sections(self.skills())
 
     def embed(self) -> str:
-        """Writes the library's vectors beside its skills: TF-IDF weights of two skills or more, the hash vector of one."""
+        """Writes the library's vectors beside its skills: TF-IDF weights of two skills or more, the hash vector of one.
+
+        Of two skills or more it also fits the index that search() reads. register() keeps it up to date from then on.
+        """
         skills = self.skills().withColumn("_text", searching.skill_text())
         path = f"{self.path}/_vectors"
         if len(skills.take(2)) > 1:
             vectors = searching.TfIdf(skills, "skill_name", "_text").weights
+            self.kept_index().fit(skills, "_text")
         else:
             vectors = searching.hash_buckets(skills, "skill_name", "_text").select("skill_name", F.col("bucket").cast("string").alias("term"), "weight")
         sinks.write_vectors(vectors, path)
@@ -68,9 +86,17 @@ class Library:
         }
 
     def register(self, new: DataFrame) -> None:
-        """Writes skills; of several with one name, the latest. Index, rules and vectors derive from the files when asked for."""
+        """Writes skills; of several with one name, the latest. Rules and vectors derive from the files when asked for.
+
+        A kept index gets the new skills under its fit, and is fitted anew when a fifth as many have come as it was fitted on.
+        """
         latest = registry.upsert(new.select(*COLUMNS), "skill_name", "crystallized_at", "pattern_hash")
         sinks.write_tree(registry.skill_files(latest), self.path)
+        kept = self.kept_index()
+        if kept.there():
+            kept.upsert(latest.withColumn("_text", searching.skill_text()), "_text")
+            if kept.grown() > REFIT:
+                kept.fit(self.skills().withColumn("_text", searching.skill_text()), "_text")
 
     def learn(self, events: DataFrame) -> DataFrame:
         """Candidates of file events (event_seq, path, source) and, if wanted, compositions, crystallized and registered."""

@@ -144,7 +144,7 @@ def run_lengths(values: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
         return let(first, lambda f: F.transform(f, lambda at, k: F.struct(F.get(v, at).alias("value"), (F.coalesce(F.get(f, k + 1), F.size(v)) - at).alias("n"))))
 
-    return F.when(F.size(values) > 0, let(F.array_sort(values), lengths))
+    return let(F.sort_array(values), lambda v: F.when(F.size(v) > 0, lengths(v)))
 
 
 def hash_vector(text: Column) -> Column:

@@ -45,7 +45,20 @@ def _counted(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFram
     kept = F.filter(found, lambda w: ~w.isin(words))
     pairs = lambda t: F.concat(t, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i))))
     terms = exprs.let(kept, lambda t: F.when(F.size(t) > 1, pairs(t)).otherwise(t))
-    return rows.select(key, F.explode(exprs.run_lengths(terms)).alias("c")).select(key, F.col("c.value").alias("term"), F.col("c.n").cast("long").alias("tf"))
+    # The outer form, filtered after: a plain explode makes the optimizer ask for the array's size below, and compute it twice.
+    counted = rows.select(key, F.explode_outer(exprs.run_lengths(terms)).alias("c")).where("c is not null")
+    return counted.select(key, F.col("c.value").alias("term"), F.col("c.n").cast("long").alias("tf"))
+
+
+def weigh(rows: DataFrame, key: str, text: str, idf: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """(key, term, weight) of rows under a fitted model's idf (term, idf), which has FEATURES rows or few more; of unit length."""
+    return _unit(_counted(rows, key, text, STOP_WORDS if words is None else words), key, idf)
+
+
+def _unit(counted: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    weighted = counted.join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def skill_text() -> Column:
@@ -66,9 +79,7 @@ class TfIdf:
         stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
         n = rows.count()
         self.idf = stats.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))  # features rows at most
-        weighted = counted.join(F.broadcast(self.idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-        norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        self.weights = weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+        self.weights = _unit(counted, key, self.idf)
         self.rows = rows
 
     def query(self, text: str) -> DataFrame:
@@ -104,7 +115,7 @@ def hash_buckets(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bucket, weight): the hash vector of each row in sparse form, of unit length; nothing is shuffled."""
     counted = rows.select(key, exprs.run_lengths(exprs.word_buckets(F.col(text))).alias("_c"))
     norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
-    each = counted.withColumn("_n", norm).select(key, "_n", F.explode("_c").alias("_c"))
+    each = counted.withColumn("_n", norm).select(key, "_n", F.explode_outer("_c").alias("_c")).where("_c is not null")
     return each.select(key, F.col("_c.value").alias("bucket"), F.round(F.col("_c.n") / F.col("_n"), 6).alias("weight"))
 
 

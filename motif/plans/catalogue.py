@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from motif.functions import exprs, llmjson, parse, pyast, tokens
 from motif.operators import compositions, crystallize, fuzzy, patterns, registry, search
+from motif.operators.index import SearchIndex
 from motif.plans import fixtures
-from motif.plans.oracles import K, SEARCHED
+from motif.plans.oracles import ASKED, K, SEARCHED
 from motif.plans.oracles import ORACLES as ORACLES
 from motif.schema import Settings
 from motif.sources import files as sources
@@ -249,6 +250,16 @@ def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
     return search.TfIdf(turns, "id", "text").search(SEARCHED, K)
 
 
+@query
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns by a kept index: fitted on the users' turns, the others are put in afterwards; several searches at once."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    kept = SearchIndex(spark, fresh_path(spark, "index"), "id")
+    kept.fit(turns.where("role = 'user'"), "text")
+    kept.upsert(turns, "text")
+    return kept.search(spark.createDataFrame(list(enumerate(ASKED)), "query int, text string"), K)
+
+
 @query
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return search.hash_buckets(table(spark, d, "documents"), "doc_id", "text")
