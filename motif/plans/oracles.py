@@ -19,7 +19,7 @@ def _quoted(words) -> str:
 
 _MARKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '''[^'']*''', '''STR''', 'g'), '"[^"]*"', '"STR"', 'g'),
     '`[^`]*`', '`STR`', 'g'), '\b\d+\.?\d*\b', 'NUM', 'g')"""
-_HASHES = rf"""
+HASHES = rf"""
 tokens AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM
   (SELECT doc_id, regexp_extract_all({_MARKED}, '[a-zA-Z_$][a-zA-Z0-9_$]*|[^\s]') AS t FROM documents)),
 named AS (SELECT *, regexp_matches(tok, '^[a-zA-Z_$]') AND tok NOT IN ({_quoted(KEYWORDS)}) AS is_name FROM tokens),
@@ -52,14 +52,17 @@ hits AS (SELECT id, round(sum(wts.w / n * qw.w / (SELECT sqrt(sum(w * w)) FROM q
 SELECT docs.id, coalesce(score, 0.0) AS score FROM docs LEFT JOIN hits USING (id) ORDER BY score DESC, docs.id LIMIT {k}"""
 
 
-def _index_search(stops: list[str], asked: tuple, k: int) -> str:
-    """The model of the users' turns; the other turns are weighed by it. Rows without a hit follow in order of id."""
+def kept_search(turns: str, asked: list[tuple[str, str]], k: int, stops: list[str] = STOP_WORDS) -> str:
+    """CTEs up to r (query, id, score, rank) of the first k turns (id, fitted, text) for each of asked (query in SQL, text).
+
+    The model is that of the turns that are fitted; the others are weighed by it. Rows without a hit follow in order of id.
+    """
     terms = lambda text: rf"""(SELECT list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains([{_quoted(stops)}], w)))"""
-    texts = ", ".join(f"({i}, '{t}')" for i, t in enumerate(asked))
+    texts = ", ".join(f"({q}, '{t}')" for q, t in asked)
     occ = lambda key, table: f"SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {table}"
     return rf"""
-WITH docs AS (SELECT conv_id * 1000 + turn AS id, role = 'user' AS fitted, {terms("coalesce(text, '')")} AS w FROM conversations),
-q AS (SELECT CAST(query AS INT) AS query, {terms("t")} AS w FROM (VALUES {texts}) AS v(query, t)),
+WITH turns AS ({turns}), docs AS (SELECT id, fitted, {terms("text")} AS w FROM turns),
+q AS (SELECT query, {terms("t")} AS w FROM (VALUES {texts}) AS v(query, t)),
 tf AS (SELECT id, term, count(*) AS tf FROM ({occ("id", "docs")}) GROUP BY ALL),
 feat AS (SELECT term, ln((1 + (SELECT count(*) FROM docs WHERE fitted)) / (1 + count(*))) + 1 AS idf FROM tf JOIN docs USING (id) WHERE fitted GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 512),
 wts AS (SELECT id, term, tf * idf AS w FROM tf JOIN feat USING (term)),
@@ -67,9 +70,9 @@ norm AS (SELECT id, sqrt(sum(w * w)) AS n FROM wts GROUP BY id),
 qw AS (SELECT query, term, count(*) * any_value(idf) AS w FROM ({occ("query", "q")}) JOIN feat USING (term) GROUP BY ALL),
 qn AS (SELECT query, sqrt(sum(w * w)) AS n FROM qw GROUP BY query),
 hits AS (SELECT query, id, round(sum(wts.w / norm.n * qw.w / qn.n), 6) AS score FROM wts JOIN qw USING (term) JOIN norm USING (id) JOIN qn USING (query) GROUP BY ALL),
-r AS (SELECT q.query, docs.id, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY q.query ORDER BY coalesce(score, 0.0) DESC, docs.id) AS rank
-  FROM q CROSS JOIN docs LEFT JOIN hits ON hits.query = q.query AND hits.id = docs.id)
-SELECT query, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {k}"""
+a AS (SELECT q.query, docs.id, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY q.query ORDER BY coalesce(score, 0.0) DESC, docs.id) AS rank
+  FROM q CROSS JOIN docs LEFT JOIN hits ON hits.query = q.query AND hits.id = docs.id),
+r AS (SELECT query, id, score, CAST(rank AS INT) AS rank FROM a WHERE rank <= {k})"""
 
 
 def _category(x: str) -> str:
@@ -97,8 +100,8 @@ _PROMPT = (
 )
 
 ORACLES = {
-    "token_hash": f"WITH {_HASHES} SELECT doc_id, token_hash FROM hashes",
-    "promote_kth": f"""WITH {_HASHES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY token_hash ORDER BY doc_id) AS r FROM hashes)
+    "token_hash": f"WITH {HASHES} SELECT doc_id, token_hash FROM hashes",
+    "promote_kth": f"""WITH {HASHES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY token_hash ORDER BY doc_id) AS r FROM hashes)
         SELECT token_hash AS key, count(*) AS frequency, max(CASE WHEN r = 1 THEN doc_id END) AS first_doc, max(CASE WHEN r = 1 THEN source END) AS first_source,
         max(CASE WHEN r = 2 THEN doc_id END) AS kth_doc, max(CASE WHEN r = 2 THEN lang END) AS lang, string_agg(source, ',' ORDER BY r) AS contexts
         FROM ranked WHERE r <= 2 GROUP BY token_hash HAVING count(*) = 2""",
@@ -145,7 +148,7 @@ ORACLES = {
         + 0.3 * len(list_filter(tags, lambda t: contains(lower(t), 'ring'))) + 0.2 * CAST(contains(lower(p_brand), 'ring') AS INT), 6) AS score FROM p)
         SELECT p_partkey, label, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, label LIMIT 50""",
     "tfidf_search": _tfidf(STOP_WORDS, SEARCHED, K),
-    "index_search": _index_search(STOP_WORDS, ASKED, K),
+    "index_search": kept_search("SELECT conv_id * 1000 + turn AS id, role = 'user' AS fitted, coalesce(text, '') AS text FROM conversations", [(f"CAST({i} AS INT)", t) for i, t in enumerate(ASKED)], K) + " SELECT * FROM r",
     "hash_embed": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
         b AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 31, 2)) AS INT) AS bucket, count(*) AS c FROM w GROUP BY ALL)
         SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""",

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from jobs import queries as jobs
 from motif.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -23,13 +24,14 @@ def oracle():
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(repr([None if v is None or v != v else v for v in (row[i] for i in order)]) for row in rows)
+    plain = lambda v: None if v is None or v != v else [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in v] if isinstance(v, list) else v
+    return sorted(repr([plain(row[i]) for i in order]) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES | jobs.ORACLES))
 def test_query_equals_oracle(spark, oracle, name):
-    found = catalogue.QUERIES[name](spark, DATA)
-    want = oracle.execute(catalogue.ORACLES[name])
+    found = (catalogue.QUERIES | jobs.QUERIES)[name](spark, DATA)
+    want = oracle.execute((catalogue.ORACLES | jobs.ORACLES)[name])
     columns = [c[0] for c in want.description]
     assert sorted(found.columns) == sorted(columns)
     assert rows_of(found.columns, map(tuple, found.collect())) == rows_of(columns, want.fetchall())
@@ -48,7 +50,7 @@ def test_entry_module_works_without_the_optional_parts(monkeypatch):
     monkeypatch.setitem(sys.modules, "motif.llm.queries", None)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     alone = importlib.reload(__spark_entry__)
-    assert set(alone.queries()) == set(catalogue.QUERIES) and set(alone.oracle_sql()) == set(catalogue.ORACLES)
+    assert set(alone.queries()) == set(catalogue.QUERIES) | set(jobs.QUERIES) and set(alone.oracle_sql()) == set(catalogue.ORACLES) | set(jobs.ORACLES)
     monkeypatch.undo()
     importlib.reload(__spark_entry__)
 
