@@ -282,6 +282,23 @@ def units_of(language: str | None, source: str | None) -> list[dict]:
     return python_units(source) if language == "python" else script_units(source)
 
 
+def file_units(files: DataFrame) -> DataFrame:
+    """(event_seq, path, units) of files (event_seq, path, source) that have units: a row for each file, so that a stream can
+    take what concerns a whole file without gathering it. Blank, unknown and bad files give no row."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for seq, path, language, source in b.itertuples(index=False):
+                if units := [{"unit_pos": k, "language": language, **u} for k, u in enumerate(units_of(language, source))]:
+                    rows.append((seq, path, units))
+            yield pd.DataFrame(rows, columns=["event_seq", "path", "units"])
+
+    known = files.select("event_seq", "path", language_of(F.col("path")).alias("language"), "source").where("language is not null and trim(source) != ''")
+    fields = ", ".join(f"{n}: {t}" for n, t in (f.split() for f in UNIT.split(", ")))
+    return known.mapInPandas(of, f"event_seq long, path string, units array<struct<{fields}>>")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Units of files (event_seq, path, source): blank files and unknown extensions give none, a bad file gives none."""
 

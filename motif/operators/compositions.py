@@ -15,10 +15,13 @@ DEPTH = 5
 CALLABLE = ("function", "arrow_fn", "hook")
 
 
+def simple_calls(calls: Column) -> Column:
+    return F.transform(F.coalesce(calls, F.array().cast("array<string>")), lambda c: F.element_at(F.split(c, r"\."), -1))
+
+
 def by_file(units: DataFrame) -> DataFrame:
     """(event_seq, path, units): the units of each event in order; simple: their calls without what stands before the last dot."""
-    simple = F.transform(F.coalesce("calls", F.array().cast("array<string>")), lambda c: F.element_at(F.split(c, r"\."), -1))
-    unit = F.struct("unit_pos", "name", "node_type", "language", "source_code", simple.alias("simple"))
+    unit = F.struct("unit_pos", "name", "node_type", "language", "source_code", simple_calls(F.col("calls")).alias("simple"))
     return units.groupBy("event_seq", "path").agg(F.array_sort(F.collect_list(unit), lambda a, b: a["unit_pos"] - b["unit_pos"]).alias("units"))
 
 
@@ -68,27 +71,39 @@ def call_chains(units: DataFrame, depth: int = DEPTH) -> DataFrame:
     return by_file(units).select("event_seq", "path", F.explode(_chains(depth=depth)).alias("c")).select("event_seq", "path", "c.unit_pos", "c.chain")
 
 
+def found_in(units: str = "units") -> Column:
+    """Array of (kind, unit_pos, key) of a file's units: its set of functions (kind 0), then the chain of every unit (kind 1)."""
+    event = lambda kind, pos, key: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("unit_pos"), key.alias("key"))
+    return F.concat(F.array(event(0, F.lit(-1), _names(units))), F.transform(_chains(units), lambda c: event(1, c["unit_pos"], c["chain"])))
+
+
+def sources_of(chain: Column, key: Column, every: Column) -> Column:
+    """The sources of a composition's parts: of a chain in its order, of a set in the order of the units."""
+    return F.when(chain, F.transform(key, lambda n: _last(every, n)["source_code"])).otherwise(
+        F.transform(F.filter(every, lambda u: F.array_contains(key, u["name"])), lambda u: u["source_code"])
+    )
+
+
+def name_of(chain: Column, key: Column) -> Column:
+    few = F.slice(key, 1, 3)
+    return F.when(chain, F.array_join(few, "_to_")).otherwise(F.array_join(few, "_and_"))
+
+
 def compositions(units: DataFrame, k: int = 2) -> DataFrame:
     """Sets and chains at their k-th event; a set of names is promoted once across both kinds, by the earliest event.
 
     In one event the set comes before the chains, and chains in the order of their units.
     """
     files = by_file(units).where(F.size("units") >= 2)
-    event = lambda kind, pos, key: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("unit_pos"), key.alias("key"))
-    found = F.concat(F.array(event(0, F.lit(-1), _names())), F.transform(_chains(), lambda c: event(1, c["unit_pos"], c["chain"])))
-    events = files.select("event_seq", "path", F.explode(found).alias("e")).select("event_seq", "path", "e.*").where(F.size("key") >= 2)
+    events = files.select("event_seq", "path", F.explode(found_in()).alias("e")).select("event_seq", "path", "e.*").where(F.size("key") >= 2)
     when = F.struct("event_seq", "path", "kind", "unit_pos")
     kth = promote(events, ["kind", "key"], ["event_seq", "path", "unit_pos"], k, {}, {"at": when}, {"contexts": F.col("path")})
     once = Window.partitionBy(F.array_sort(F.array_distinct("key"))).orderBy("at")
     kth = kth.withColumn("_r", F.row_number().over(once)).where("_r = 1").select("*", "at.event_seq", "at.path").drop("_r", "at")
     joined = kth.join(files, ["event_seq", "path"])
     chain, key, every = F.col("kind") == 1, F.col("key"), F.col("units")
-    sources = F.when(chain, F.transform(key, lambda n: _last(every, n)["source_code"])).otherwise(
-        F.transform(F.filter(every, lambda u: F.array_contains(key, u["name"])), lambda u: u["source_code"])
-    )
     return joined.select(
-        F.when(chain, F.array_join(F.slice(key, 1, 3), "_to_")).otherwise(F.array_join(F.slice(key, 1, 3), "_and_")).alias("name"), key.alias("component_names"),
-        sources.alias("component_sources"), F.when(chain, "pipeline").otherwise("co_occurrence").alias("pattern_type"), F.get(every, F.lit(0))["language"].alias("language"),
+        name_of(chain, key).alias("name"), key.alias("component_names"), sources_of(chain, key, every).alias("component_sources"), F.when(chain, "pipeline").otherwise("co_occurrence").alias("pattern_type"), F.get(every, F.lit(0))["language"].alias("language"),
         "frequency", F.slice("contexts", 1, 5).alias("contexts"), F.when(chain, key).otherwise(F.array().cast("array<string>")).alias("call_chain"),
     )
 

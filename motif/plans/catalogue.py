@@ -18,7 +18,8 @@ from motif.plans.oracles import ORACLES as ORACLES
 from motif.schema import Settings
 from motif.sources import files as sources
 from motif.sources import sinks
-from motif.storage import fresh_path, table
+from motif.storage import fresh_path, settings, table
+from motif.streaming import mining
 from motif.streaming.promote import debounce, promote_stream
 
 QUERIES = {}
@@ -461,3 +462,23 @@ def stream_promote(spark: SparkSession, d: str) -> DataFrame:
     sink.awaitTermination()
     found = spark.read.schema("key string, frequency long, source string, first_context string, contexts array<string>, seq long").parquet(out)
     return found.select(F.col("key").cast("long").alias("user_id"), "frequency", F.col("seq").alias("kth_event"), _joined("contexts").alias("types"))
+
+
+@query
+def stream_compositions(spark: SparkSession, d: str) -> DataFrame:
+    """composition_dedup as a stream over user days as files: two stateful operators, one after the other."""
+    units = _user_days(spark, d)
+    unit = F.struct("unit_pos", "name", "language", "source_code", "node_type", F.array().cast("array<string>").alias("decorators"), "calls", F.lit(False).alias("exports"), *[F.lit(1).alias(n) for n in ("line_start", "line_end", "n_lines")])
+    files = units.groupBy("event_seq", "path").agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    source, out = fresh_path(spark, "files"), fresh_path(spark, "compositions")
+    files.write.parquet(source)
+    saved = spark.readStream.schema(files.schema).parquet(source)
+    with settings(spark, mining.STORE):
+        found = mining.promoted(saved, Settings())
+        sink = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    chain, names = F.col("kind") == mining.CHAIN, F.col("calls")
+    found = spark.read.schema(found.schema).parquet(out).where(F.col("kind") != mining.UNIT)
+    return found.select(
+        compositions.name_of(chain, names).alias("name"), _joined("calls").alias("components"), F.when(chain, "pipeline").otherwise("co_occurrence").alias("pattern_type"), "frequency", _joined("contexts").alias("contexts")
+    )

@@ -220,3 +220,5 @@ ORACLES = {
     "stream_promote": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
         SELECT user_id, count(*) AS frequency, max(event_id) AS kth_event, string_agg(event_type, ',' ORDER BY r) AS types FROM r WHERE r <= 3 GROUP BY user_id HAVING count(*) = 3""",
 }
+# The stream over the same files finds the same compositions.
+ORACLES["stream_compositions"] = ORACLES["composition_dedup"]

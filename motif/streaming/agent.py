@@ -8,23 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motif.api import Library
-from motif.functions import exprs
 from motif.streaming import changes
-from motif.streaming.promote import mine
-
-
-def candidates_of(promoted: DataFrame) -> DataFrame:
-    """Promoted rows of a stream in the form of candidates; kind and language come from the source and the first path."""
-    kind = F.when(F.ltrim("source").startswith("class "), "class").otherwise("function")
-    return promoted.select(
-        F.col("key").alias("structural_hash"), F.col("source").alias("source_code"), exprs.language_of(F.col("first_context")).alias("language"), "frequency", "contexts", kind.alias("node_type")
-    )
+from motif.streaming.mining import known_to, mine
 
 
 def start(library: Library, dirs: list[str], checkpoint: str, backfill: bool = False, period: str = "1 second"):
     """Watches directories: each save is parsed, what recurs is crystallized and registered. Returns the running query.
 
-    The state of patterns is kept below checkpoint, so a restart goes on counting.
+    Patterns and, if wanted, compositions are looked for. Their counts are kept below checkpoint, so a restart goes on
+    counting; what the library already holds is not made again, even if the checkpoint is lost.
     """
     spark = library.spark
     changes.register(spark)
@@ -32,6 +24,7 @@ def start(library: Library, dirs: list[str], checkpoint: str, backfill: bool = F
     saves = reduce(DataFrame.unionByName, map(read, dict.fromkeys(dirs)))
 
     def hand_over(promoted: DataFrame, batch: int) -> None:
-        library.crystallized(candidates_of(promoted))
+        there = library.skills().select(F.col("pattern_hash").alias("structural_hash")).where("structural_hash is not null")
+        library.crystallized(promoted.join(there, "structural_hash", "left_anti"))
 
-    return mine(saves, library.settings, hand_over, checkpoint, period)
+    return mine(saves, library.settings, hand_over, checkpoint, period, known_to(library.skills()))

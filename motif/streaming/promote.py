@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from motif.schema import Settings
-
 OUTPUT = "key string, frequency long, source string, first_context string, contexts array<string>, seq long"
 STATE = "n long, source string, contexts array<string>"
 
 
-def first_of_each(events: DataFrame, k: int, key: str = "key", seq: str = "seq") -> DataFrame:
-    """Of each Arrow batch the k first rows of every key by seq: before a shuffle, so a key in a third of all rows brings few."""
+def first_of_each(events: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each Arrow batch the k first rows of every key: before a shuffle, so a key in a third of all rows brings few."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[b.groupby(key, dropna=False)[seq].rank(method="first") <= k]
+            yield b.sort_values(order, kind="stable").groupby(keys, dropna=False, sort=False).head(k)
 
     return events.mapInPandas(cut, events.schema)
 
@@ -48,7 +46,7 @@ def promote_stream(events: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({"key": [key[0]], "frequency": [k], "source": [source], "first_context": [contexts[0]], "contexts": [contexts], "seq": [seq]})
         state.update((n, None, []) if n >= k else (n, source, contexts))
 
-    return first_of_each(events.select("key", "seq", "source", "context"), k).groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return first_of_each(events.select("key", "seq", "source", "context"), k, ["key"], ["seq"]).groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def debounce(events: DataFrame, key: str, time: str, quiet: str) -> DataFrame:
@@ -56,25 +54,3 @@ def debounce(events: DataFrame, key: str, time: str, quiet: str) -> DataFrame:
     others = [c for c in events.columns if c != key]
     last = F.max_by(F.struct(*others), time).alias("last")
     return events.groupBy(key, F.session_window(time, quiet).alias("session")).agg(last, F.count("*").alias("n")).select(key, "last.*", "n")
-
-
-def mine(saves: DataFrame, settings: Settings, on_candidates: Callable[[DataFrame, int], None], checkpoint: str, period: str = "1 second"):
-    """Starts the loop from saves (event_seq, path, source) to candidates: parse, filter, key, promote, hand over.
-
-    on_candidates gets each micro-batch's promoted rows; it may crystallize them and upsert the registry.
-    """
-    from motif.functions import exprs
-    from motif.functions.parse import parse_files
-    from motif.operators.patterns import eligible
-
-    units = eligible(parse_files(saves), settings)
-    shown: Column = exprs.signature(F.col("node_type"), F.col("name"), F.col("calls"))
-    events = units.select(F.col("structural_hash").alias("key"), (F.col("event_seq") * 100_000 + F.col("unit_pos")).alias("seq"), F.col("source_code").alias("source"), F.col("path").alias("context"), shown.alias("signature"))
-    return (
-        promote_stream(events, settings.min_frequency)
-        .writeStream.outputMode("append")
-        .foreachBatch(on_candidates)
-        .option("checkpointLocation", checkpoint)
-        .trigger(processingTime=period)
-        .start()
-    )

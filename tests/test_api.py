@@ -75,6 +75,21 @@ def test_start_learns_from_saves_and_goes_on_after_a_restart(spark, tmp_path):
         running.stop()
         assert lib.skills().count() == want
     assert lib.get("load_config").first()["language"] == "python"
+    # Files that share a set of functions and a chain, while the miner runs; then again without its checkpoint.
+    made = None
+    for state in ("state", "lost"):
+        running = start(lib, [str(tmp_path / "src")], str(tmp_path / state), backfill=True, period="100 milliseconds")
+        for name, text in (("x.py", fixtures.PIPELINE_FILES[0][-1]), ("y.py", fixtures.PIPELINE_FILES[1][-1])):
+            running.processAllAvailable()
+            (tmp_path / "src" / name).write_text(text)
+        running.processAllAvailable()
+        time.sleep(1.5)
+        running.processAllAvailable()
+        running.stop()
+        found = sorted((r["skill_name"], r["node_type"], r["crystallized_at"]) for r in lib.skills().collect())
+        assert made is None or found == made
+        made = found
+    assert {"composed", "function"} <= {r[1] for r in made}
 
 
 def test_init_retry_vectors_and_model_name(spark, tmp_path):

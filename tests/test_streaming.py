@@ -4,9 +4,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from motif.functions import parse
+from motif.operators import compositions, crystallize, patterns
 from motif.plans import catalogue, fixtures
 from motif.schema import Settings
-from motif.streaming import changes, promote
+from motif.storage import settings
+from motif.streaming import changes, mining, promote
 
 
 def test_list_and_changes(tmp_path):
@@ -72,7 +75,7 @@ def test_mining_saved_files(spark, tmp_path):
     code.mkdir()
     seen = []
     saves = spark.readStream.format("motif_saves").option("backfill", "true").load(str(code))
-    q = promote.mine(saves, Settings(), lambda df, n: seen.extend(df.collect()), str(tmp_path / "state"), "0 seconds")
+    q = mining.mine(saves, Settings(), lambda df, n: seen.extend(df.collect()), str(tmp_path / "state"), "0 seconds")
     try:
         (code / "a.py").write_text(fixtures.LOADER)
         q.processAllAvailable()
@@ -81,3 +84,79 @@ def test_mining_saved_files(spark, tmp_path):
     finally:
         q.stop()
     assert len(seen) == 1 and [os.path.basename(c) for c in seen[0]["contexts"]] == ["a.py", "b.py"]
+
+
+FIELDS = ["structural_hash", "source_code", "abstract_signature", "language", "frequency", "first_seen_file", "contexts", "complexity_score", "node_type", "decorators", "calls"]
+
+
+def stream_of(spark, tmp_path, batches, wanted=Settings(), known=None, name="run"):
+    """Candidates of a stream that gets each batch of (path, source) files in a micro-batch of its own."""
+    source, out, state = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "state"))
+    seq = 0
+    for batch in batches:
+        spark.createDataFrame([(seq + i, path, text) for i, (path, text) in enumerate(batch)], "event_seq long, path string, source string").coalesce(1).write.mode("append").parquet(source)
+        seq += len(batch)
+        found = mining.promoted(mining.file_units(spark.readStream.schema("event_seq long, path string, source string").parquet(source)), wanted, known)
+        with settings(spark, mining.STORE):
+            q = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(out)
+    return sorted(str([r[f] for f in FIELDS]) for r in rows.collect())
+
+
+def batch_of(spark, files, wanted=Settings()):
+    units = parse.parse_files(spark.createDataFrame([(i, path, text) for i, (path, text) in enumerate(files)], "event_seq long, path string, source string"))
+    found = patterns.candidates(units, wanted).select(*FIELDS)
+    if wanted.detect_compositions:
+        found = found.unionByName(crystallize.from_compositions(compositions.compositions(units, wanted.min_co_occurrence)).select(*FIELDS))
+    return sorted(str([r[f] for f in FIELDS]) for r in found.collect())
+
+
+SCRIPT = """export function useThing(id) {
+  const [a, setA] = useState(id);
+  if (a) { load(a); }
+  while (a > 3) { setA(a - 1); }
+  return a;
+}
+const Card = (props) => {
+  if (props.x) { useThing(props.x); }
+  for (const k of props.all) { show(k); }
+  const n = props.all.length;
+  return <div>{props.x}</div>;
+};
+"""
+FILES = [*fixtures.PYTHON_FILES, *fixtures.PIPELINE_FILES, ("a/one.tsx", SCRIPT), ("b/two.tsx", SCRIPT.replace("props", "given")), ("bad.py", "def ("), ("c/three.tsx", SCRIPT)]
+FILES = [f[-2:] for f in FILES]
+
+
+def test_the_stream_finds_what_the_batch_finds(spark, tmp_path):
+    """Kinds, signatures, calls, sets and chains, in one micro-batch and in one for each file."""
+    want = batch_of(spark, FILES)
+    assert any("'hook'" in r for r in want) and any("'component'" in r for r in want) and any("'composed'" in r for r in want)
+    assert stream_of(spark, tmp_path, [FILES]) == want
+    assert stream_of(spark, tmp_path, [[f] for f in FILES], name="single") == want
+
+
+def test_settings_and_known_patterns_of_the_stream(spark, tmp_path):
+    wanted = Settings(min_frequency=3, min_co_occurrence=3, detect_classes=False)
+    assert stream_of(spark, tmp_path, [FILES[:5], FILES[5:]], wanted) == batch_of(spark, FILES, wanted)
+    alone = Settings(detect_compositions=False)
+    want = batch_of(spark, FILES, alone)
+    # With the patterns of an earlier run as the initial state, and no checkpoint, none of them is given twice.
+    hashes = [(r.split("'")[1],) for r in want]
+    known = mining.known_to(spark.createDataFrame(hashes[:-1], "pattern_hash string"))
+    assert stream_of(spark, tmp_path, [FILES[:6], FILES[6:]], alone, known, "known") == [r for r in want if r.split("'")[1] == hashes[-1][0]]
+
+
+def test_settings_of_the_session_come_back(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    with settings(spark, mining.STORE | {"motif.none": "1"}):
+        assert spark.conf.get(key) != before and spark.conf.get("motif.none") == "1"
+    assert spark.conf.get(key) == before and spark.conf.get("motif.none", None) is None
+
+
+def test_only_the_first_rows_of_a_key_are_sent_on(spark):
+    rows = [("a", i) for i in range(50, 0, -1)] + [(None, 3), (None, 1), (None, 2), ("b", 9)]
+    found = promote.first_of_each(spark.createDataFrame(rows, "key string, seq long").coalesce(1), 2, ["key"], ["seq"]).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [("a", 1), ("a", 2), (None, 1), (None, 2), ("b", 9)]))
