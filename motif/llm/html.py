@@ -241,12 +241,35 @@ def measure(nodes: list[Node]) -> None:
         n.sum = sum(x.density for x in n.items if not isinstance(x, str) and not x.hidden)
 
 
+def _within(top: Node) -> Iterator[Node]:
+    """Elements that are in top, itself included, in page order."""
+    todo = [top]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += [x for x in reversed(n.items) if not isinstance(x, str) and not x.hidden]
+
+
+def _own(n: Node) -> int:
+    """Characters of an element that are in none of its blocks."""
+    return n.chars - sum(x.chars for x in n.items if not isinstance(x, str) and not x.hidden and x.tag in BLOCKS)
+
+
 def _core(body: Node, nodes: list[Node]) -> Node:
-    """The element with the largest sum. One without blocks in it, such as a paragraph, is no article by itself."""
+    """The element with the largest sum. One without blocks in it, such as a paragraph, is no article by itself.
+
+    A sum is of what an element holds, so text that stands in it directly doesn't count: where that is most of the text of
+    an element around the one found, the outer one is the core.
+    """
     best = body
     for n in nodes:
         if n.sum > best.sum and any(not isinstance(x, str) and x.tag in BLOCKS and not x.hidden for x in n.items):
             best = n
+    place = best
+    while place is not body and place.parent is not None:
+        place = place.parent
+        if 2 * _own(place) > place.chars:
+            best = place
     return best
 
 
@@ -284,9 +307,10 @@ def by_density(nodes: list[Node], body: Node, core: Node) -> list[Node]:
 def choose(nodes: list[Node]) -> list[Node]:
     """The elements whose text, without what is pruned in it, is the article, in page order, none inside another."""
     body = next((n for n in nodes if n.tag == "body" and not n.boilerplate), nodes[0])
-    core = _core(body, nodes)
+    there = list(_within(body))
+    core = _core(body, there)
     if core.boilerplate:
-        core = _core(body, [n for n in nodes if not n.boilerplate])
+        core = _core(body, [n for n in there if not n.boilerplate])
     return [n for n in by_density(nodes, body, core) if not n.boilerplate]
 
 
