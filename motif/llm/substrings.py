@@ -2,7 +2,8 @@
 
 A text is cut into sentences without loss. Every run of at least `sentences` consecutive sentences with at least `words`
 words is compared over all documents by its hash; the first place of a run, by document id and position, is the
-original, and every sentence that another place of it covers is removed.
+original, and every sentence that another place of it covers is removed. Where a covered stretch holds whole sentences, by
+marks and lines, only those go; else it lies inside one very long sentence, and its parts go.
 
 Not every run needs a row. Of each sentence, the shortest run that begins with it and the shortest that ends with it are
 hashed (96 bits). These cover all: in a longer run that repeats, every sentence begins a shortest run inside it, or lies in
@@ -27,7 +28,8 @@ from .common import NO_ID, map_texts, small_batches
 
 #: A sentence ends with a line, with a word that ends in MARKS (closing signs after them aside), at a wide mark, or with one
 #: word in CHOSEN, chosen by its length and three of its bytes. Every text is cut by the same rule, whatever the length of its
-#: sentences, so a passage that stands within other sentences is cut alike everywhere.
+#: sentences, so a passage that stands within other sentences is cut alike everywhere. The last rule only finds places: what
+#: is removed goes from a real end to another where there is one.
 MARKS, CLOSING = b".!?", b"\"')]"
 WIDE = [x.encode() for x in "\u3002\uff01\uff1f"]
 CHOSEN = 8
@@ -59,7 +61,7 @@ class Sentences:
     """The sentences of texts, as places in their bytes, which are strung together with line ends between them.
 
     first, after: where a sentence's first word begins and its last one ends. words: how many it has. text: which text it is
-    of. White space between sentences belongs to the one before; a text without a word has no sentence.
+    of. real: whether a mark, a line or the text ends it, and not the rule for words alone. White space between sentences belongs to the one before; a text without a word has no sentence.
     """
 
     def __init__(self, texts: list[str]):
@@ -80,19 +82,20 @@ class Sentences:
             begins[after[solid[after]]] = True
         s, e = np.flatnonzero(begins), np.flatnonzero(ends)
         if not len(s):
-            self.first = self.after = self.words = self.text = np.zeros(0, dtype=np.int64)
+            self.first = self.after = self.words = self.text = self.real = np.zeros(0, dtype=np.int64)
             return
         bare = e.copy()  # the last byte that is no closing sign
         k = np.arange(len(e))
         while len(k := k[IS_CLOSING[b[bare[k]]] & (bare[k] > s[k])]):
             bare[k] -= 1
         some = b[s].astype(np.uint64) | b[e].astype(np.uint64) << np.uint64(8) | b[(s + e) // 2].astype(np.uint64) << np.uint64(16) | (e - s).astype(np.uint64) << np.uint64(24)
-        last = IS_MARK[b[bare]] | (_mixed(some) % np.uint64(CHOSEN) == 0)
-        last[np.searchsorted(e, wide)] = True
+        real = IS_MARK[b[bare]]
+        real[np.searchsorted(e, wide)] = True
         line = np.searchsorted(e, np.flatnonzero(b == 10)) - 1
-        last[line[line >= 0]] = True
-        last[-1] = True
-        z = np.flatnonzero(last)
+        real[line[line >= 0]] = True
+        real[-1] = True
+        z = np.flatnonzero(real | (_mixed(some) % np.uint64(CHOSEN) == 0))
+        self.real = real[z]
         a = np.r_[0, z[:-1] + 1]
         self.first, self.after, self.words = s[a], e[z] + 1, z - a + 1
         self.text = np.searchsorted(self.offsets, self.first, side="right") - 1
@@ -206,7 +209,7 @@ def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b.loc[late, ["doc", "tid", "span"]]
 
 
-def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 25) -> DataFrame:
+def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataFrame:
     """(doc, tid, start, end): the places, in sentences, of every run that another place precedes."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tid"), "text")
     places = _places(rows, sentences, words)
@@ -227,13 +230,23 @@ def _cover(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _whole(spans: list[tuple[int, int]], real: list) -> list[tuple[int, int]]:
+    """spans cut down to what lies between real ends; one without such a part stays as it is."""
+    out = []
+    for a, b in spans:
+        begin = next((i for i in range(a, b) if i == 0 or real[i - 1]), b)
+        end = next((i for i in range(b, begin, -1) if real[i - 1]), begin)
+        out.append((begin, end) if begin < end else (a, b))
+    return out
+
+
 def _without(column: str, spans: str, df: DataFrame, keep: list[str]) -> DataFrame:
     def run(rows: list) -> dict:
         texts, removed, places = [], [], []
         found = Sentences([row["text"] or "" for row in rows])
         heads = np.searchsorted(found.text, np.arange(len(rows) + 1)).tolist()
         for k, row in enumerate(rows):
-            gone = _cover([(s["start"], s["end"]) for s in row["spans"] or ()])
+            gone = _whole(_cover([(s["start"], s["end"]) for s in row["spans"] or ()]), found.real[heads[k] : heads[k + 1]])
             texts.append(row["text"])
             removed.append(sum(b - a for a, b in gone))
             places.append([])
@@ -255,7 +268,7 @@ def _without(column: str, spans: str, df: DataFrame, keep: list[str]) -> DataFra
     return map_texts(df, "_motif_pair", keep, lambda: run, "text string, n_sentences int, n_removed int, removed array<string>")
 
 
-def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 25) -> DataFrame:
+def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataFrame:
     """Every row of docs with its text without repeated sentences, n_sentences, n_removed and removed (char spans).
 
     The order that makes a place the first is doc_id (missing ids last), then a hash of the text, then position. Rows that

@@ -31,8 +31,8 @@ def brute_sentences(text):
     return [*pieces, text[begin:]] if text.strip() else []
 
 
-def brute_removed(docs, sentences=2, words=25):
-    """Sentences that any non-first place of any run covers, by comparing all runs."""
+def brute_removed(docs, sentences=2, words=12):
+    """Sentences that any non-first place of any run covers, by comparing all runs; of each stretch the whole ones by marks and lines."""
     places = {}
     for doc, text in docs:
         parts = [s.lower().split() for s in brute_sentences(text)]
@@ -46,6 +46,16 @@ def brute_removed(docs, sentences=2, words=25):
     for found in places.values():
         for doc, a, b in sorted(found)[1:]:
             gone.setdefault(doc, set()).update(range(a, b))
+    for doc, text in docs:
+        if left := gone.get(doc):
+            parts = brute_sentences(text)
+            ends = [p.rstrip("\"')] \n")[-1:] in (".", "!", "?") or "\n" in p or i == len(parts) - 1 for i, p in enumerate(parts)]
+            for a in [i for i in left if i - 1 not in left]:
+                b = next(i for i in range(a, len(parts) + 1) if i not in left)
+                whole = [(x, y) for x in range(a, b) for y in range(x + 1, b + 1) if (x == 0 or ends[x - 1]) and ends[y - 1]]
+                if whole:
+                    x, y = max(whole, key=lambda p: p[1] - p[0])
+                    left -= set(range(a, b)) - set(range(x, y))
     return gone
 
 
@@ -78,10 +88,11 @@ def test_substrings_of_nulls_repeats_and_empty_tables(make):
     rows = [(2, text), (2, text), (None, text), (1, None), (3, ""), (4, "short."), (5, "word, " * 5000)]
     docs = make(rows).drop("removed")
     got = {(r["doc_id"], r["text"]) for r in substrings.remove_repeats(docs).collect()}
-    assert got == {(2, text), (None, ""), (1, None), (3, ""), (4, "short."), (5, next(t for i, t in got if i == 5))}
+    once = "One sentence with plenty of words in it. Another sentence with plenty of words too. And one more."  # the second time goes
+    assert got == {(2, once), (None, ""), (1, None), (3, ""), (4, "short."), (5, next(t for i, t in got if i == 5))}
     assert substrings.remove_repeats(docs.limit(0)).collect() == []
     # A column with the name of a new one gives way to it.
-    assert substrings.remove_repeats(make(rows[:1])).first()["removed"] == []
+    assert substrings.remove_repeats(make(rows[:1])).first()["removed"] == ["84:168"]
 
 
 WORDS = {"aa": "tion eau mente querre aime", "bb": "schung keit aber heit nicht", "cc": "thing wher ough ness ing"}
@@ -258,7 +269,18 @@ def test_densities_and_the_chosen_subtree_equal_the_definition():
             density, total = plain_density(n, body)
             assert abs(n.density - density) < 1e-9 and abs(n.sum - (total if n.chars else 0)) < 1e-9
         holders = [n for n in seen if n is body or any(not isinstance(x, str) and not x.hidden and x.tag in html.BLOCKS for x in n.items)]
-        assert html._core(body, nodes).sum == max([body.sum, *(n.sum for n in holders)])
+        core = html._core(body, list(html._within(body)))
+        assert core.sum == max([body.sum, *(n.sum for n in holders)]) or 2 * html._own(core) > core.chars
+
+
+def test_text_that_stands_directly_in_the_body():
+    text, more = ("word and more words " * 42).strip(), ("other words come here " * 22).strip()
+    assert html.extract(f"<html><body>{text}<br><br>{more}<p>The end.</p></body></html>") == f"{text} {more}\nThe end."
+    assert html.extract(f"<html><body><h1>Title</h1>{text}<br>{more}</body></html>") == f"Title\n{text} {more}"
+    assert html.extract("<html><body>plain body text only</body></html>") == "plain body text only"
+    assert html.extract(f"{text}<br>{more}") == f"{text} {more}"
+    assert html.extract(f"<html><body>{text}<br>{text}<div><p>{more}</p><p>{more}</p></div></body></html>") == f"{text} {text}\n{more}\n{more}"
+    assert html.extract(f"<html><body><table><tr><td>{text}<br>{more}<p>x</p></td></tr></table></body></html>") == f"{text} {more}\nx"
 
 
 def test_density_finds_the_text_of_pages_without_article_or_main():
