@@ -143,6 +143,16 @@ def fuzzy_rekey(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.rekey(keyed, 0.85).select("seq", "structural_hash", "new_hash")
 
 
+@query
+def fuzzy_rekey_order(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items and shortened ones in order of arrival; each shortened one comes twice more at the end."""
+    items = _edited(spark, d)
+    again = items.where("item_id >= 1000000").select((F.col("item_id") + 1_000_000).alias("item_id"), "text")
+    arrived = items.unionByName(again).unionByName(again.withColumn("item_id", F.col("item_id") + 1_000_000))
+    keyed = arrived.select(exprs.token_hash(F.col("text")).alias("structural_hash"), F.col("item_id").alias("seq"), F.col("text").alias("source_code"))
+    return fuzzy.rekey_in_order(keyed, 0.85).select("seq", "structural_hash", "new_hash")
+
+
 @query
 def fuzzy_ratio_fixture(spark: SparkSession, d: str) -> DataFrame:
     """Ratios of token sequences, which are not symmetric; empty ones have none."""
