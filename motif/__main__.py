@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     if args.command in ("mcp", "start"):
         settings = Settings.from_environment()
-        model = crystallize.offline if settings.backend == "offline" else crystallize.http_model(settings.backend, os.environ.get("MOTIF_KEY", ""), settings.model)
+        model = crystallize.offline if settings.backend == "offline" else crystallize.patient(crystallize.http_model(settings.backend, os.environ.get("MOTIF_KEY", ""), settings.model))
         library = Library(spark, args.skills, settings, model)
         if args.command == "mcp":
             Server(library).serve(sys.stdin, sys.stdout)

@@ -108,11 +108,14 @@ class Library:
         return self.crystallized(found)
 
     def crystallized(self, found: DataFrame) -> DataFrame:
-        """Skills made of candidates, registered. What fails beyond the model itself is tried three times."""
+        """Skills made of candidates, registered. What fails beyond the model itself is tried three times.
+
+        Answers are kept beside the skills, so no attempt, and no later run, asks the same model the same thing again.
+        """
         return crystallize.attempted(lambda: self._crystallized(found))
 
     def _crystallized(self, found: DataFrame) -> DataFrame:
-        made = crystallize.crystallize(found, self.model, time.time())
+        made = crystallize.crystallize(found, self.model, time.time(), f"{self.path}/_answers", crystallize.active_model(self.settings))
         # One set of answers is registered and returned: a model may answer differently when asked again.
         path = fresh_path(self.spark, "skills")
         made.select(*COLUMNS).write.parquet(path)

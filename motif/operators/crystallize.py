@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from motif.functions import exprs, llmjson, pyast
 from motif.operators.compositions import combined_source
 from motif.schema import Settings
+from motif.storage import kept, table_if_there
 
+ANSWERS = "digest string, model string, raw string"
 #: A model: prompts of a batch to answers; None for a prompt that failed, which is not asked again.
 Model = Callable[[list[str]], list[str | None]]
 
@@ -84,6 +86,59 @@ def attempted(work: Callable, attempts: int = 3, least: float = 2.0, most: float
             sleep(min(most, least * 2**k))
 
 
+def patient(model: Model, attempts: int = 3, least: float = 2.0, most: float = 15.0, gap: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Model:
+    """model, asked with one prompt at a time, `gap` seconds apart; only what failed is asked again, with pauses as in attempted()."""
+
+    def ask(prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(prompts)
+        left = list(range(len(prompts)))
+        for k in range(attempts):
+            for n, i in enumerate(left):
+                if gap and (n or k):
+                    sleep(gap)
+                out[i] = model([prompts[i]])[0]
+            left = [i for i in left if out[i] is None]
+            if not left or k + 1 == attempts:
+                break
+            sleep(min(most, least * 2**k))
+        return out
+
+    return ask
+
+
+def answered(asked: DataFrame, model: Model, log: str, name: str = "", at_once: int = 64) -> DataFrame:
+    """asked (prompt, ...) with raw: the answer of the model of that name, from the log where it is there.
+
+    The log at a path keeps answers by digest of the prompt. What it lacks is asked once for each prompt, about at_once
+    prompts in a job; each job's answers stay in the log, so after a failure only later ones are asked again. Prompts without
+    an answer have no row and are not logged.
+    """
+    spark = asked.sparkSession
+    asked = asked.withColumn("_digest", F.sha2("prompt", 256))
+
+    def logged() -> DataFrame | None:
+        found = table_if_there(spark, log, ANSWERS)
+        return None if found is None else found.where(F.col("model") == name).groupBy("digest").agg(F.min("raw").alias("raw")).withColumnRenamed("digest", "_digest")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"digest": b["_digest"], "model": name, "raw": model(b["prompt"].tolist())})
+
+    before = logged()
+    pending = asked.select("_digest", "prompt").dropDuplicates(["_digest"])
+    if before is not None:
+        pending = pending.join(before.select("_digest"), "_digest", "left_anti")
+    pending = kept(pending, "asked")
+    slices = -(-pending.count() // at_once)
+    for part in range(slices):
+        few = pending.where(F.pmod(F.xxhash64("_digest"), F.lit(slices)) == part)
+        few.mapInPandas(ask, ANSWERS).where("raw is not null").write.mode("append").parquet(log)
+    now = logged()
+    if now is None:
+        return asked.drop("_digest").withColumn("raw", F.lit(None).cast("string")).where("false")
+    return asked.join(now, "_digest").drop("_digest")
+
+
 def from_compositions(found: DataFrame) -> DataFrame:
     """Compositions in the form of candidates, of complexity 5."""
     names = F.col("component_names")
@@ -94,8 +149,11 @@ def from_compositions(found: DataFrame) -> DataFrame:
     )
 
 
-def crystallize(candidates: DataFrame, model: Model = offline, now: float = 0.0) -> DataFrame:
-    """Skills of those candidates that the model answers with a name and code. code_valid tells; invalid code stays too."""
+def crystallize(candidates: DataFrame, model: Model = offline, now: float = 0.0, log: str | None = None, name: str = "") -> DataFrame:
+    """Skills of those candidates that the model answers with a name and code. code_valid tells; invalid code stays too.
+
+    With a log, the model of that name is asked only for what the log doesn't have; see answered().
+    """
     asked = candidates.select(
         "structural_hash", "frequency", "contexts", "language", "node_type",
         exprs.prompt(F.col("node_type"), F.col("language"), F.col("frequency"), F.col("contexts"), F.col("source_code")).alias("prompt"),
@@ -106,8 +164,8 @@ def crystallize(candidates: DataFrame, model: Model = offline, now: float = 0.0)
         for b in batches:
             yield b.assign(raw=model(b["prompt"].tolist()))
 
-    answered = llmjson.parse_answers(asked.mapInPandas(of, f"{names}, raw string").where("raw is not null"))
+    raw = answered(asked, model, log, name) if log else asked.mapInPandas(of, f"{names}, raw string").where("raw is not null")
     code = exprs.unescape_code(F.col("code"))
-    skills = answered.withColumn("code", code).withColumn("crystallized_at", F.lit(now)).withColumnRenamed("structural_hash", "pattern_hash").drop("prompt", "raw")
+    skills = llmjson.parse_answers(raw).withColumn("code", code).withColumn("crystallized_at", F.lit(now)).withColumnRenamed("structural_hash", "pattern_hash").drop("prompt", "raw")
     valid = F.when(F.col("language") == "python", pyast.python_facts(F.when(F.col("language") == "python", F.col("code")))["valid"]).otherwise(exprs.brackets_balanced(F.col("code")))
     return skills.withColumn("code_valid", valid)
