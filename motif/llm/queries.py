@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import audio, hnsw, html, langid, lattice, packing, pii, resample, secrets, simhash, substrings, tokens
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,3 @@ QUERIES = {
     "op11_resample": op11_resample,
     "op12_lattice": op12_lattice,
 }
-ORACLES: dict[str, str] = {}

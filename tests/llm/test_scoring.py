@@ -159,3 +159,18 @@ def test_likelier_texts_score_higher(make):
     docs = [(k, "the house is on the hill and the sea is near") for k in range(8)] + [(90, "the sea and the house"), (91, "xq zzk vvw qqj kkx")]
     score = {r["doc_id"]: r["score"] for r in lattice.score_texts(make(docs), lattice.vocabulary_path()).collect()}
     assert score[90] > score[91] and all(x < 0 for x in score.values())
+
+
+def test_the_query_equals_its_sql(spark):
+    import duckdb
+
+    from motif.llm import queries
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    found = queries.op11_resample(spark, d)
+    want = con.execute(queries.ORACLES["op11_resample"])
+    assert found.columns == [c[0] for c in want.description]
+    rows = want.fetchall()
+    assert set(map(tuple, found.collect())) == set(rows) and sum(r[4] is not None for r in rows) >= 5
