@@ -40,15 +40,16 @@ class Library:
         kept = self.kept_index()
         if mode == "keyword" or not query.strip() or not kept.there() or len(kept.rows().take(2)) < 2:
             return searching.search(self.skills(), query, k, mode)
-        hits = kept.search(self.spark.createDataFrame([(0, query)], "query int, text string"), k).select("skill_name", "score")
-        return self.skills().join(F.broadcast(hits), "skill_name").orderBy(F.desc("score"), "skill_name")  # k rows
+        hits = kept.search(self.spark.createDataFrame([(0, query)], "query int, text string"), k).select("skill_name", "score").collect()  # k rows
+        scored = self.spark.createDataFrame(hits, "skill_name string, score double")
+        return files.read_named(self.spark, self.path, [h["skill_name"] for h in hits]).join(F.broadcast(scored), "skill_name").orderBy(F.desc("score"), "skill_name")
 
     def kept_index(self) -> SearchIndex:
         return SearchIndex(self.spark, f"{self.path}/_index", "skill_name")
 
     def get(self, name: str) -> DataFrame:
-        """The skill of that name with its page; no row if there is none."""
-        return self.skills().where(F.col("skill_name") == name).withColumn("page", registry.skill_page())
+        """The skill of that name with its page; no row if there is none. Opens that skill's file alone, if it is in its folder."""
+        return files.read_named(self.spark, self.path, [name]).withColumn("page", registry.skill_page())
 
     def list(self, category: str | None = None) -> DataFrame:
         found = self.skills()

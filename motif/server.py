@@ -45,7 +45,7 @@ class Server:
         return "\n".join(entry.format(**r.asDict() | {"tags": ", ".join(r["tags"])}) for r in found) or "Nothing fits."
 
     def get_skill(self, skill_name: str) -> str:
-        row = self.library.skills().where(F.col("skill_name") == skill_name).select(registry.code_file().alias("code")).first()
+        row = self.library.get(skill_name).select(registry.code_file().alias("code")).first()
         return row["code"] if row else f"There is no skill `{skill_name}`; list_skills tells which there are."
 
     def list_skills(self, category: str | None = None) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,21 +79,40 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("skill_name string, term string, weight double").parquet(path)
 
 
-def read_skills(spark: SparkSession, path: str) -> DataFrame:
-    """Skill metadata of both layouts; a folder's meta.json wins over a legacy file of the same name. Stored times stay."""
-    reader = lambda: spark.read.schema(f"{SKILL}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad")
-    good = lambda df: df.where("_bad is null and skill_name is not null").drop("_bad")
+def _skill_rows(spark: SparkSession, glob: str) -> DataFrame:
+    """Rows of metadata files; files that can't be read so, or have no name, are left out."""
     from pyspark.errors import AnalysisException
 
-    parts = []
-    for glob in (f"{path}/*/meta.json", f"{path}/*.meta.json"):
-        try:
-            parts.append(good(reader().json(glob)))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            parts.append(spark.createDataFrame([], SKILL))
-    merged = merge_layouts(parts[0], parts[1], "skill_name")
+    try:
+        found = spark.read.schema(f"{SKILL}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(glob)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SKILL)
+    return found.where("_bad is null and skill_name is not null").drop("_bad")
+
+
+def _filled(skills: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     lists = {c: F.coalesce(c, empty) for c in ("tags", "composes_with", "contexts")}
-    return merged.withColumns({"language": F.coalesce("language", F.lit("python")), "frequency": F.coalesce("frequency", F.lit(0).cast("long")), **lists})
+    return skills.withColumns({"language": F.coalesce("language", F.lit("python")), "frequency": F.coalesce("frequency", F.lit(0).cast("long")), **lists})
+
+
+def read_skills(spark: SparkSession, path: str) -> DataFrame:
+    """Skill metadata of both layouts; a folder's meta.json wins over a legacy file of the same name. Stored times stay."""
+    return _filled(merge_layouts(_skill_rows(spark, f"{path}/*/meta.json"), _skill_rows(spark, f"{path}/*.meta.json"), "skill_name"))
+
+
+def read_named(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The skills of a few names, as read_skills gives them.
+
+    The writer's folder follows from a name, so only those folders' files are opened. If a name isn't found there, it may be
+    in a file of the legacy layout, whose names don't tell, and the whole library is read.
+    """
+    names = sorted(set(names))
+    if names and all(re.fullmatch(r"[\w.-]+", n) for n in names):
+        folders = ",".join(sorted({n.replace("_", "-") for n in names}))
+        found = _skill_rows(spark, f"{path}/{{{folders}}}/meta.json").where(F.col("skill_name").isin(names))
+        if found.select("skill_name").distinct().count() == len(names):
+            return _filled(found)
+    return read_skills(spark, path).where(F.col("skill_name").isin(names))

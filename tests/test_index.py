@@ -103,3 +103,25 @@ def test_the_library_searches_its_index(spark, tmp_path):
     lib.register(renamed)  # a third of the library: it is fitted anew
     assert lib.kept_index().grown() == 0 and lib.kept_index().rows().count() == 4
     assert [(r["skill_name"], r["score"]) for r in lib.search("page").collect()] == [(r["skill_name"], r["score"]) for r in search.search(lib.skills(), "page").collect()]
+
+
+def test_a_get_opens_one_file(spark, tmp_path):
+    """Of a library of many skills only the folders asked for are read; legacy files and odd names are found all the same."""
+    import json
+
+    from motif.sources import files
+
+    for k in range(300):
+        (tmp_path / f"skill-{k}").mkdir()
+        (tmp_path / f"skill-{k}" / "meta.json").write_text(json.dumps({"skill_name": f"skill_{k}", "category": "io", "description": "d", "code": "x = 1"}))
+    (tmp_path / "any.meta.json").write_text(json.dumps({"skill_name": "old_one", "category": "auth"}))
+    (tmp_path / "odd {x}").mkdir()
+    (tmp_path / "odd {x}" / "meta.json").write_text(json.dumps({"skill_name": "odd {x}", "category": "io"}))
+    lib = Library(spark, str(tmp_path))
+    found = lib.get("skill_17")
+    assert found.first()["skill_name"] == "skill_17" and found.first()["tags"] == [] and [f.split("/")[-2] for f in found.inputFiles()] == ["skill-17"]
+    few = files.read_named(spark, str(tmp_path), ["skill_3", "skill_4", "skill_4"])
+    assert {r["skill_name"] for r in few.collect()} == {"skill_3", "skill_4"} and len(few.inputFiles()) == 2
+    assert lib.get("old_one").first()["category"] == "auth" and lib.get("odd {x}").count() == 1
+    assert {r["skill_name"] for r in files.read_named(spark, str(tmp_path), ["old_one", "skill_5"]).collect()} == {"old_one", "skill_5"}
+    assert lib.get("../skill-1").count() == lib.get("none").count() == files.read_named(spark, str(tmp_path), []).count() == 0
