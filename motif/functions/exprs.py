@@ -154,9 +154,17 @@ def hash_vector(text: Column) -> Column:
     return let(counted, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def length_of(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a: Column, b: Column, length_a: Column | None = None, length_b: Column | None = None) -> Column:
+    """The cosine of two vectors, zero with a zero vector; lengths that are known already need not be computed for each pair."""
+    norm = (length_of(a) if length_a is None else length_a) * (length_of(b) if length_b is None else length_b)
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 

@@ -132,13 +132,14 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
 
     Queries are asked in blocks of about MOST_QUERIES, which are broadcast one by one; each task sends k rows of a query.
     """
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), exprs.length_of(F.col(vector)).alias("_ql"))
+    rows = rows.withColumn("_l", exprs.length_of(F.col(vector)))
     blocks = -(-asked.count() // MOST_QUERIES) or 1
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
 
     def ask(block: int) -> DataFrame:
         few = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else asked
-        scored = rows.join(F.broadcast(few)).select("query", key, F.round(exprs.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+        scored = rows.join(F.broadcast(few)).select("query", key, F.round(exprs.cosine(F.col(vector), F.col("_q"), F.col("_l"), F.col("_ql")), 6).alias("score"))
         return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
     return reduce(DataFrame.unionByName, map(ask, range(blocks)))
