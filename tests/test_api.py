@@ -6,6 +6,7 @@ from motif.api import Library
 from motif.plans import fixtures
 from motif.schema import Settings
 from motif.streaming.health import Health
+from watching import caught_up
 
 
 def test_learn_search_and_statistics(spark, tmp_path):
@@ -65,13 +66,9 @@ def test_start_learns_from_saves_and_goes_on_after_a_restart(spark, tmp_path):
     lib = Library(spark, str(tmp_path / "skills"))
     for name, text, want in (("b.txt", "x", 0), ("b.py", fixtures.TWIN, 1)):
         running = start(lib, [str(tmp_path / "src")], str(tmp_path / "state"), backfill=True, period="100 milliseconds")
-        running.processAllAvailable()
+        caught_up(running)
         (tmp_path / "src" / name).write_text(text)
-        running.processAllAvailable()
-        for _ in range(100):
-            if lib.skills().count() == want:
-                break
-            time.sleep(0.1)
+        caught_up(running)
         running.stop()
         assert lib.skills().count() == want
     assert lib.get("load_config").first()["language"] == "python"
@@ -80,11 +77,9 @@ def test_start_learns_from_saves_and_goes_on_after_a_restart(spark, tmp_path):
     for state in ("state", "lost"):
         running = start(lib, [str(tmp_path / "src")], str(tmp_path / state), backfill=True, period="100 milliseconds")
         for name, text in (("x.py", fixtures.PIPELINE_FILES[0][-1]), ("y.py", fixtures.PIPELINE_FILES[1][-1])):
-            running.processAllAvailable()
+            caught_up(running)
             (tmp_path / "src" / name).write_text(text)
-        running.processAllAvailable()
-        time.sleep(1.5)
-        running.processAllAvailable()
+        caught_up(running)
         running.stop()
         found = sorted((r["skill_name"], r["node_type"], r["crystallized_at"]) for r in lib.skills().collect())
         assert made is None or found == made

@@ -1,7 +1,10 @@
 """Streams: saved files come again, a key is promoted once across batches and restarts."""
 
 import os
+import time
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from motif.functions import parse
@@ -10,24 +13,112 @@ from motif.plans import catalogue, fixtures
 from motif.schema import Settings
 from motif.storage import settings
 from motif.streaming import changes, mining, promote
+from watching import caught_up, look_of
 
 
-def test_list_and_changes(tmp_path):
-    (tmp_path / "a.py").write_text("one")
-    (tmp_path / "x.md").write_text("no")
-    (tmp_path / "build").mkdir()
-    (tmp_path / "build" / "b.py").write_text("no")
-    reader = changes.SavesReader(str(tmp_path), backfill=False)
-    start = reader.initialOffset()
-    assert [os.path.basename(p) for p in start["files"]] == ["a.py"]
-    assert list(reader.read(start)[0]) == []
-    os.utime(tmp_path / "a.py", (1, 1))
-    (tmp_path / "c.tsx").write_text("new")
-    rows, end = reader.read(start)
-    rows = list(rows)
-    assert [(r[0], os.path.basename(r[1]), r[2], r[3]) for r in rows] == [(0, "a.py", "python", "one"), (1, "c.tsx", "tsx", "new")]
-    assert list(reader.readBetweenOffsets(start, end)) == rows and list(reader.read(end)[0]) == []
-    assert len(list(changes.SavesReader(str(tmp_path), backfill=True).read({"seq": 0, "files": {}})[0])) == 2
+def watching(spark, tmp_path, roots, name="seen", **options):
+    """A stream of saves that gathers (name, source, language) of each micro-batch in order, and where it gathers them."""
+    seen, found = [], changes.saves(spark, roots, parts=3, **options)
+    gather = lambda df, n: seen.extend((os.path.basename(r["path"]), r["source"], r["language"]) for r in df.orderBy("event_seq", "path").collect())
+    with settings(spark, mining.STORE):
+        return found.writeStream.foreachBatch(gather).option("checkpointLocation", str(tmp_path / name)).trigger(processingTime="0 seconds").start(), seen
+
+
+def test_saves_come_again_and_what_was_there_does_not(spark, tmp_path):
+    code = tmp_path / "code"
+    for d in ("build", "deep/er", "deep/node_modules"):
+        (code / d).mkdir(parents=True)
+        (code / d / f"{d[-1]}.py").write_text("inner")
+    (code / "a.py").write_text("one")
+    (code / "x.md").write_text("no")
+    os.symlink(code, code / "loop")
+    query, seen = watching(spark, tmp_path, [str(code), str(code / "deep"), f"{code}/"])
+    try:
+        caught_up(query)
+        assert seen == []
+        os.utime(code / "a.py", (1, 1))
+        (code / "c.tsx").write_text("new")
+        (code / "build" / "z.py").write_text("no")
+        (code / "deep" / "er" / "r.py").write_bytes(b"in\xffner")
+        caught_up(query)
+        assert sorted(seen) == [("a.py", "one", "python"), ("c.tsx", "new", "tsx"), ("r.py", "inner", "python")] and seen[0][0] == "a.py"
+        (code / "c.tsx").unlink()
+        caught_up(query)
+    finally:
+        query.stop()
+    del seen[:]
+    # What is saved while nothing runs is found afterwards; a path that went is new when it comes again.
+    (code / "c.tsx").write_text("again")
+    os.utime(code / "c.tsx", (2, 2))
+    query, seen = watching(spark, tmp_path, [str(code), str(code / "deep")])
+    try:
+        caught_up(query)
+        assert seen == [("c.tsx", "again", "tsx")]
+        assert look_of(query.lastProgress["sources"][0]["endOffset"]) < time.time() * 1e6
+    finally:
+        query.stop()
+
+
+def test_a_burst_of_saves_is_one_event(spark):
+    """Looks at 1, 2, .. seconds with a pause of two: what each look tells, by the operator alone."""
+
+    class Handle:
+        value = None
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    def told(looks, **options):
+        step, out = changes.Snapshot(**options), []
+        step.init(Handle())
+        for second, there in enumerate(looks, 1):
+            rows = [(0, p, float(t), second * 10**6, second == 1) for p, t in [(None, 0), *there]]
+            found = step.handleInputRows((0,), iter([pd.DataFrame(rows[:2], columns=COLUMNS), pd.DataFrame(rows[2:], columns=COLUMNS)]), None)
+            out.append([(r.path, r.mtime) for b in found for r in b.itertuples()])
+        return out
+
+    COLUMNS = ["part", "path", "mtime", "look", "first"]
+    looks = [[("a", 5)], [("a", 6), ("b", 1)], [("a", 7), ("b", 1)], [("a", 7), ("b", 1)], [("a", 7)], [("a", 7), ("b", 1)], [("a", 7), ("b", 1)], [("a", 7), ("b", 1), ("b", 1)]]
+    assert told(looks, backfill=False, quiet=2.0) == [[], [], [], [("b", 1)], [("a", 7)], [], [], [("b", 1)]]
+    assert told(looks, backfill=False, quiet=0.0) == [[], [("b", 1), ("a", 6)], [("a", 7)], [], [], [("b", 1)], [], []]
+    assert told(looks[:2], backfill=True, quiet=0.0) == [[("a", 5)], [("b", 1), ("a", 6)]]
+    assert told([[("a", 5)]] * 4, backfill=True, quiet=2.0) == [[], [], [("a", 5)], []]
+    assert told([[], []], backfill=True, quiet=0.0) == [[], []]
+
+
+def test_trees_are_shared_among_tasks_and_bad_roots_are_told(tmp_path, monkeypatch):
+    for i in range(20):
+        (tmp_path / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "e" / "f.py").write_text("x")
+        (tmp_path / f"d{i}" / "g.js").write_text("x")
+    reader = changes.ListingReader([str(tmp_path)], 5, 0, 4)
+    tasks = reader.partitions({"look": 0}, {"look": 7})
+    rows = [list(reader.read(t)) for t in tasks]
+    assert len(tasks) == 4 and min(len(r) for r in rows) > 3
+    paths = [r[1] for part in rows for r in part if r[1]]
+    assert len(paths) == len(set(paths)) == 40 and set(paths) == {p for p, _ in changes.list_tree(str(tmp_path))}
+    assert sorted(r[0] for part in rows for r in part if not r[1]) == [0, 1, 2, 3, 4] and all(r[3:] == (7, True) for part in rows for r in part)
+    assert reader.partitions({"look": 7}, {"look": 7}) == []
+    # A tree in which nothing changes is looked at once; one beyond the driver's bound by every second trigger.
+    first = reader.latestOffset()
+    assert reader.latestOffset() == first == reader.latestOffset()
+    (tmp_path / "d3" / "g.js").unlink()
+    second = reader.latestOffset()
+    assert second["look"] > first["look"] and reader.latestOffset() == second
+    monkeypatch.setattr(changes, "GLANCED", 10)
+    third = reader.latestOffset()
+    assert third["look"] > second["look"] and reader.latestOffset() == third and reader.latestOffset()["look"] > third["look"]
+    with pytest.raises(FileNotFoundError):
+        changes.ListingReader([str(tmp_path / "none")], 5, 0, 4)
 
 
 def run(spark, source, out, state, k=2):
@@ -70,17 +161,15 @@ def test_debounced_stream(spark, tmp_path):
 
 
 def test_mining_saved_files(spark, tmp_path):
-    changes.register(spark)
     code = tmp_path / "code"
     code.mkdir()
     seen = []
-    saves = spark.readStream.format("motif_saves").option("backfill", "true").load(str(code))
-    q = mining.mine(saves, Settings(), lambda df, n: seen.extend(df.collect()), str(tmp_path / "state"), "0 seconds")
+    q = mining.mine(changes.saves(spark, [str(code)], True), Settings(), lambda df, n: seen.extend(df.collect()), str(tmp_path / "state"), "0 seconds")
     try:
         (code / "a.py").write_text(fixtures.LOADER)
-        q.processAllAvailable()
+        caught_up(q)
         (code / "b.py").write_text(fixtures.TWIN)
-        q.processAllAvailable()
+        caught_up(q)
     finally:
         q.stop()
     assert len(seen) == 1 and [os.path.basename(c) for c in seen[0]["contexts"]] == ["a.py", "b.py"]
