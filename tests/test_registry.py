@@ -85,6 +85,46 @@ def test_skills_round_trip_through_files(spark, skills, tmp_path):
         sinks.write_tree(escape, str(tmp_path))
 
 
+def test_files_are_written_all_or_none(spark, tmp_path):
+    def tree():
+        return {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+
+    def write(rows, parts, root):
+        sinks.write_tree(spark.createDataFrame(rows, "path string, content string").repartitionByRange(parts, "path"), root)
+
+    write([(f"d{i}/e/{i}.txt", f"{i}é") for i in range(20)] + [("top.txt", None)], 4, f"file://{tmp_path}")
+    first = tree()
+    assert len(first) == 21 and first["d7/e/7.txt"] == "7é" and first["top.txt"] == ""
+    # One task of four fails after the others have written: neither a new nor a changed file is seen, and nothing waits.
+    with pytest.raises(Exception, match="leaves the folder"):
+        write([(f"d{i}/e/{i}.txt", "other") for i in range(30)] + [("z/../../out.txt", "x")], 4, f"file://{tmp_path}")
+    assert tree() == first and not (tmp_path / "_waiting").exists() and not (tmp_path.parent / "out.txt").exists()
+    # A link below the root that leads out of it is no way out either; a plain path does as well as an address.
+    (tmp_path / "link").symlink_to(tmp_path.parent)
+    with pytest.raises(Exception, match="leaves the folder"):
+        write([("link/out.txt", "x")], 1, str(tmp_path))
+    (tmp_path / "link").unlink()
+    write([("d7/e/7.txt", "seven"), ("d7/new.txt", "n")], 2, str(tmp_path))
+    write([], 1, str(tmp_path))
+    assert tree() == first | {"d7/e/7.txt": "seven", "d7/new.txt": "n"} and not (tmp_path / "_waiting").exists()
+
+
+def test_lost_attempts_leave_no_files(tmp_path):
+    """What the task contract allows: an attempt that nobody names, an attempt repeated, a failed write of a fresh root."""
+    from pyspark.sql import Row
+
+    one = sinks.FilesWriter(str(tmp_path / "skills"))
+    one.write(iter([Row(path="a.txt", content="lost"), Row(path="only-there.txt", content="lost")]))
+    kept = one.write(iter([Row(path="a.txt", content="kept")]))
+    other = sinks.FilesWriter(str(tmp_path / "skills"))
+    other.write(iter([Row(path="b.txt", content="waits")]))
+    one.commit([kept, None])
+    assert [p.name for p in (tmp_path / "skills").glob("*.txt")] == ["a.txt"] and (tmp_path / "skills" / "a.txt").read_text() == "kept"
+    assert (tmp_path / "skills" / "_waiting").exists()
+    other.abort([None])
+    assert [p.name for p in (tmp_path / "skills").iterdir()] == ["a.txt"]
+
+
 def test_candidates_round_trip(spark, tmp_path):
     rows = [("h1", "code", "sig", "python", 2, "a.py", ["a.py", "b.py"], 2.0, "function", ["d"], ["c"], None)]
     sinks.write_tree(sinks.candidate_files(spark.createDataFrame(rows, CANDIDATE)), str(tmp_path))
