@@ -71,6 +71,31 @@ def call_chains(units: DataFrame, depth: int = DEPTH) -> DataFrame:
     return by_file(units).select("event_seq", "path", F.explode(_chains(depth=depth)).alias("c")).select("event_seq", "path", "c.unit_pos", "c.chain")
 
 
+def joined_chains(units: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """call_chains by joins, for files of so many units that one row can't hold them; work grows with the calls, not their square.
+
+    A chain holds depth names at most before its last hop, so the first depth + 1 local calls of a unit are all that can matter:
+    what a hop shuffles is bounded for each unit. Chains that have ended keep keys of their own, so they don't meet in one task. A
+    name that very many units call is one row of the smaller side, so a join's hot part can be split (AQE does).
+    """
+    file = ["event_seq", "path"]
+    shaped = units.select(*file, "unit_pos", "name", F.array_distinct(simple_calls(F.col("calls"))).alias("simple"))
+    names = shaped.where("name is not null").select(*file, "name").distinct()
+    called = shaped.select(*file, "unit_pos", F.posexplode("simple").alias("_at", "name")).join(names, [*file, "name"])
+    first = called.groupBy(*file, "unit_pos").agg(F.array_sort(F.collect_list(F.struct("_at", "name"))).alias("_c"))
+    first = first.select(*file, "unit_pos", F.transform(F.slice("_c", 1, depth + 1), lambda c: c["name"]).alias("local"))
+    known = shaped.select(*file, "unit_pos", "name").join(first, [*file, "unit_pos"], "left")
+    last = known.where("name is not null").groupBy(*file, "name").agg(F.max_by(F.struct("local"), "unit_pos")["local"].alias("_then")).withColumnRenamed("name", "_next")
+    walk = known.select(*file, "unit_pos", F.array("name").alias("chain"), "local")
+    for _ in range(depth):
+        following = F.get(F.filter("local", lambda c: ~F.array_contains("chain", c)), F.lit(0))
+        # An ended chain asks for a name that no unit has.
+        walk = walk.withColumn("_n", following).withColumn("_next", F.coalesce("_n", F.concat(F.lit("\u0000"), F.col("unit_pos").cast("string"))))
+        chain = F.when(F.col("_n").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("_n")))
+        walk = walk.join(last, [*file, "_next"], "left").select(*file, "unit_pos", chain.alias("chain"), F.col("_then").alias("local"))
+    return walk.select(*file, "unit_pos", "chain")
+
+
 def found_in(units: str = "units") -> Column:
     """Array of (kind, unit_pos, key) of a file's units: its set of functions (kind 0), then the chain of every unit (kind 1)."""
     event = lambda kind, pos, key: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("unit_pos"), key.alias("key"))

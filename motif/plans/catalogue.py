@@ -235,6 +235,16 @@ def call_chain(spark: SparkSession, d: str) -> DataFrame:
     return compositions.call_chains(_user_days(spark, d)).select("path", "unit_pos", _joined("chain").alias("chain"))
 
 
+@query
+def call_chain_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as units of one large file for each priority, named by customer: some calls are local, and names repeat."""
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    called = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    calls = F.array(called("m.", c * 7 % 1000 + 1), called("self.", c + 1), called("x.y.", o % 50))
+    units = table(spark, d, "orders").select(F.lit(0).alias("event_seq"), F.col("o_orderpriority").alias("path"), o.alias("unit_pos"), c.cast("string").alias("name"), calls.alias("calls"))
+    return compositions.joined_chains(units).select("path", "unit_pos", _joined("chain").alias("chain"))
+
+
 @query
 def composition_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = compositions.compositions(_user_days(spark, d), 2)

@@ -133,6 +133,15 @@ ORACLES = {
     "cooccur_sets": f"""WITH {_UNITS}, r AS (SELECT sorted, path, row_number() OVER (PARTITION BY sorted ORDER BY seq) AS r FROM files WHERE len(sorted) >= 2)
         SELECT array_to_string(sorted, ',') AS names, count(*) AS n, string_agg(path, ',' ORDER BY r) FILTER (r <= 5) AS contexts FROM r GROUP BY sorted""",
     "call_chain": f"WITH {_UNITS}, {_CHAINS} SELECT path, CAST(unit_pos AS INT) AS unit_pos, array_to_string(chain, ',') AS chain FROM chains",
+    "call_chain_joined": """WITH RECURSIVE u AS (SELECT o_orderpriority AS path, o_orderkey AS unit_pos, CAST(o_custkey AS VARCHAR) AS name,
+          unnest([CAST(o_custkey * 7 % 1000 + 1 AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR), CAST(o_orderkey % 50 AS VARCHAR)]) AS called, unnest([1, 2, 3]) AS place FROM orders),
+        n AS (SELECT DISTINCT path, name FROM u),
+        l AS (SELECT u.path, unit_pos, u.name, coalesce(list(called ORDER BY place) FILTER (n.name IS NOT NULL), []) AS local FROM u LEFT JOIN n ON n.path = u.path AND n.name = called GROUP BY ALL),
+        t AS (SELECT path, name, max_by(local, unit_pos) AS local FROM l GROUP BY ALL),
+        w AS (SELECT path, unit_pos, [name] AS chain, list_filter(local, lambda c: c <> name) AS ahead FROM l
+          UNION ALL SELECT w.path, unit_pos, list_append(chain, ahead[1]), list_filter(t.local, lambda c: NOT list_contains(list_append(chain, ahead[1]), c))
+          FROM w JOIN t ON t.path = w.path AND t.name = ahead[1] WHERE len(ahead) > 0 AND len(chain) <= 5)
+        SELECT path, unit_pos, array_to_string(max_by(chain, len(chain)), ',') AS chain FROM w GROUP BY path, unit_pos""",
     "composition_dedup": f"""WITH {_UNITS}, {_CHAINS},
         ev AS (SELECT 0 AS kind, seq, path, -1 AS unit_pos, sorted AS key FROM files WHERE len(sorted) >= 2
           UNION ALL SELECT 1, c.seq, c.path, unit_pos, chain FROM chains c JOIN files f ON f.path = c.path WHERE len(chain) >= 2 AND len(f.names) >= 2),

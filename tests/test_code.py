@@ -136,6 +136,21 @@ def test_chains_end_after_five_hops_and_do_not_loop(spark):
     assert chains["f0"] == ["f0", "f1", "f2", "f3", "f4", "f5"] and all(len(set(c)) == len(c) == 6 for c in chains.values())
 
 
+def test_chains_by_joins_equal_those_in_a_row(spark):
+    """Random units: names that repeat, calls that lead nowhere or back, none at all, and one name that most units call."""
+    rng = random.Random(5)
+    rows = []
+    for f in range(6):
+        for pos in range(rng.choice([1, 2, 25])):
+            calls = None if rng.random() < 0.1 else [f"{rng.choice(['', 'a.', 'a.b.'])}{rng.choice(['hot', f'n{rng.randrange(15)}', 'out'])}" for _ in range(rng.randrange(12))]
+            rows.append((f, f"f{f % 4}.py", pos, rng.choice([f"n{rng.randrange(15)}", "hot"]), calls, "function", "python", ""))
+    units = spark.createDataFrame(rows, "event_seq long, path string, unit_pos int, name string, calls array<string>, node_type string, language string, source_code string")
+    for depth in (1, 5):
+        want = sorted(map(tuple, compositions.call_chains(units, depth).collect()))
+        assert sorted(map(tuple, compositions.joined_chains(units, depth).collect())) == want and len(want) == len(rows)
+    assert compositions.joined_chains(units.limit(0)).count() == 0
+
+
 def test_similar_pairs_equal_all_pairs(spark):
     from difflib import SequenceMatcher
 
