@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     one.add_argument("dirs", nargs="*", default=["."])
     one.add_argument("--state", default=".motif/state", help="where counts are kept between runs")
     one.add_argument("--backfill", action="store_true", help="also learn from what is there")
+    one.add_argument("--quiet", type=float, default=0.0, help="seconds without a change after which a file counts as saved")
     one.add_argument("--seconds", type=float, help="stop after so long")
     one = commands.add_parser("init", help="prepare a project")
     one.add_argument("directory", nargs="?", default=".")
@@ -73,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
             Server(library).serve(sys.stdin, sys.stdout)
             return
         print(f"watching {', '.join(args.dirs)}; skills in {args.skills}; {crystallize.active_model(settings)}", flush=True)
-        running = start(library, [str(Path(d).resolve()) for d in args.dirs], str(Path(args.state).resolve()), args.backfill)
+        running = start(library, [str(Path(d).resolve()) for d in args.dirs], str(Path(args.state).resolve()), args.backfill, quiet=args.quiet)
         try:
             running.awaitTermination(*[args.seconds] * (args.seconds is not None))
         except KeyboardInterrupt:

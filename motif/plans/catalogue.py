@@ -19,7 +19,7 @@ from motif.schema import Settings
 from motif.sources import files as sources
 from motif.sources import sinks
 from motif.storage import fresh_path, settings, table
-from motif.streaming import mining
+from motif.streaming import changes, mining
 from motif.streaming.promote import debounce, promote_stream
 
 QUERIES = {}
@@ -71,6 +71,23 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return sources.changed(orders.select("path", "mtime"), before)
 
 
+@query
+def snapshot_stream(spark: SparkSession, d: str) -> DataFrame:
+    """snapshot_diff as a stream: two looks at orders as files, a run for each, the first one as state of the second."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_totalprice").alias("mtime"), "o_orderstatus", "o_orderpriority")
+    before = orders.where("o_orderstatus = 'F'").withColumn("mtime", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("mtime") - 1).otherwise(F.col("mtime")))
+    source, out = fresh_path(spark, "looks"), fresh_path(spark, "saves")
+    for look, there in ((1, before), (2, orders)):
+        parts = spark.range(64).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("double").alias("mtime"))
+        rows = there.select(F.pmod(F.crc32("path"), F.lit(64)).cast("int").alias("part"), "path", "mtime").unionByName(parts)
+        rows.withColumns({"look": F.lit(look).cast("long"), "first": F.lit(look == 1)}).write.mode("append").parquet(source)
+        with settings(spark, mining.STORE):
+            found = changes.changed(spark.readStream.schema(changes.LISTED).parquet(source))
+            sink = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        sink.awaitTermination()
+    return spark.read.schema(changes.SAVED).parquet(out).select("path", "mtime")
+
+
 @query
 def glob_filter(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose address no glob matches."""

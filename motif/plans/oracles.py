@@ -231,3 +231,5 @@ ORACLES = {
 }
 # The stream over the same files finds the same compositions.
 ORACLES["stream_compositions"] = ORACLES["composition_dedup"]
+# The same rows by a stream of looks.
+ORACLES["snapshot_stream"] = ORACLES["snapshot_diff"]

@@ -189,6 +189,11 @@ class Snapshot(StatefulProcessor):
         pass
 
 
+def changed(listing: DataFrame, backfill: bool = False, quiet: float = 0.0) -> DataFrame:
+    """(event_seq, path, mtime) of what each look (LISTED rows, one look a micro-batch) finds new or changed."""
+    return listing.groupBy("part").transformWithStateInPandas(Snapshot(backfill, quiet), SAVED, "Append", "None")
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """source: UTF-8, invalid bytes left out. Files that went in the meantime are left out."""
     for b in batches:
@@ -220,5 +225,4 @@ def saves(spark: SparkSession, dirs: list[str], backfill: bool = False, quiet: f
     splits = max(8, spark.sparkContext.defaultParallelism)
     roots = sorted({d.rstrip("/") or "/" for d in dirs})
     listing = spark.readStream.format("motif_listing").options(paths=json.dumps(roots), parts=parts, quiet=quiet, splits=splits).load()
-    told = listing.groupBy("part").transformWithStateInPandas(Snapshot(backfill, quiet), SAVED, "Append", "None")
-    return told.mapInPandas(_read, f"{SAVED}, source string").withColumn("language", exprs.language_of(F.col("path")))
+    return changed(listing, backfill, quiet).mapInPandas(_read, f"{SAVED}, source string").withColumn("language", exprs.language_of(F.col("path")))
