@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motif.functions import exprs
+from motif.operators.related import related
 
 # Badges by category and by language.
 CATEGORY_BADGES = {
@@ -42,28 +43,6 @@ def most_frequent(rows: DataFrame, frequency: str, name: str, k: int = 5) -> Dat
     return rows.orderBy(F.desc(frequency), name).limit(k)
 
 
-def related(rows: DataFrame, name: str, tags: str, k: int = 3) -> DataFrame:
-    """(name, related_name, overlap, rank): for each row the k others that share most distinct tags.
-
-    Rows with equal tag sets form one class, so pairs are of classes, and each class needs its k+1 first names alone: a
-    tag that many rows share costs the square of the number of distinct tag sets, not of rows.
-    """
-    each = rows.select(F.col(name).alias("name"), F.array_sort(F.array_distinct(tags)).alias("tags")).where(F.size("tags") > 0)
-    within = Window.partitionBy("tags").orderBy("name")
-    ranked = each.distinct().withColumn("place", F.row_number().over(within)).withColumn("class", F.xxhash64("tags"))
-    firsts = ranked.where(F.col("place") <= k + 1).select("class", "name", "place")
-    classes = ranked.select("class", "tags").distinct()
-    members = classes.select("class", F.explode("tags").alias("tag"))
-    pairs = members.join(members.withColumnRenamed("class", "other"), "tag").groupBy("class", "other").agg(F.count("*").alias("overlap"))
-    # Of each class the k+1 best (class, name) answers; a row then leaves itself out.
-    answers = pairs.join(firsts.select(F.col("class").alias("other"), F.col("name").alias("related_name")), "other")
-    best = Window.partitionBy("class").orderBy(F.desc("overlap"), "related_name")
-    answers = answers.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("class", "related_name", "overlap")
-    found = ranked.select("class", "name").join(answers, "class").where("name != related_name")
-    order = Window.partitionBy("name").orderBy(F.desc("overlap"), "related_name")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("name", "related_name", "overlap", "rank")
-
-
 def dependencies(skills: DataFrame) -> DataFrame:
     """Edges (dependency, skill_name) of skills that compose others."""
     return skills.select(F.explode("composes_with").alias("dependency"), "skill_name")
