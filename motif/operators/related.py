@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motif.storage import kept
+
 RARE = 1000  # classes that a tag may have and still be joined class by class
 WIDTH = 8  # frequent tags of a class whose subsets are all keys: 255 at most
 SALTS = 16
@@ -46,7 +48,7 @@ def _meet(asking: DataFrame, having: DataFrame, k: int, condition: Column | None
     if condition is not None:
         pairs = pairs.where(condition)
     pairs = pairs.withColumn("_both", F.array_intersect("tags", "otags")).where(F.get("_both", F.lit(0)) == F.col("tag"))
-    pairs = pairs.select("class", "other", "firsts", F.size("_both").alias("overlap"), F.get("firsts", F.lit(0)).alias("_f"))
+    pairs = pairs.select("class", "other", "firsts", F.size("_both").cast("long").alias("overlap"), F.get("firsts", F.lit(0)).alias("_f"))
     kept = _firsts(pairs, "class", [F.desc("overlap"), "_f"], k + 1)
     return kept.select("class", "other", F.explode("firsts").alias("related_name"), "overlap")
 
@@ -74,7 +76,7 @@ def _by_frequent(sets: DataFrame, k: int, width: int) -> DataFrame:
     names = _firsts(hot.select("hot", F.col("class").alias("other"), F.explode("firsts").alias("related_name")), "hot", ["related_name"], k + 1)
     listed = _firsts(names.select("other", "related_name", F.explode(_subsets(F.col("hot"))).alias("key")), "key", ["related_name"], k + 1)
     asked = hot.select("hot").distinct().select("hot", F.explode(_subsets(F.col("hot"))).alias("key"))
-    found = asked.join(listed, "key").groupBy("hot", "other", "related_name").agg(F.max(F.size("key")).alias("overlap"))
+    found = asked.join(listed, "key").groupBy("hot", "other", "related_name").agg(F.max(F.size("key")).cast("long").alias("overlap"))
     found = _firsts(found, "hot", [F.desc("overlap"), "related_name"], k + 1)
     # A set of frequent tags may stand in a third of all classes: its answers are copied, its classes spread.
     copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -104,12 +106,19 @@ def related(rows: DataFrame, name: str, tags: str, k: int = 3, rare: int = RARE,
 
     Rows with equal tag sets form one class. Classes meet on their rare tags one by one, on their frequent tags by the first
     names of each subset of these; only classes of more than `width` frequent tags are joined on such tags, below a bound.
+    The classes are written to the shared folder once, and what was found before a bound is taken from it.
     Rows without tags, null tags and repeated rows have no part; a row whose tags nobody shares has no answer.
     """
     each = rows.select(F.col(name).alias("name"), F.array_sort(F.array_distinct(F.array_compact(tags))).alias("tags")).where(F.size("tags") > 0).distinct()
-    sets = classes(each, k, rare)
-    found = _best(_once(_by_rare(sets, k).union(_by_frequent(sets, k, width))), k)
-    best = _best(_once(found.union(_by_bound(sets, found, k, width))), k)
+    sets = kept(classes(each, k, rare), "tag-sets")
+    most = sets.agg(F.max(F.size("tags") - F.col("cold"))).first()[0] or 0  # frequent tags of one class
+    best = _by_rare(sets, k)
+    if most > 0:
+        best = best.union(_by_frequent(sets, k, width))
+    if most > width:
+        best = kept(_best(_once(best), k), "related")
+        best = best.union(_by_bound(sets, best, k, width))
+    best = _best(_once(best), k)
     # Copies of one set may be a third of all rows; one of the k+1 answers may be the row itself.
     copies = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = each.select("name", F.xxhash64("tags").alias("class"), F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("salt"))
