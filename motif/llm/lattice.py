@@ -7,6 +7,11 @@ The vocabulary file states its scores as ranks. A piece of rank r weighs (r + 2.
 exponent s is the one of EXPONENTS under which the training words are likeliest. Single bytes are pieces of the last rank, so
 every text has a segmentation. At the end of each word the text ends with a probability learned from the training texts.
 
+Ranks say little of a corpus that the vocabulary was not made for. A learned model (score_texts with learned=True, as the query has
+it) starts from them and fits the pieces' probabilities to all distinct training words by expectation and maximisation. Its lattice
+of a word also has one arc over the whole word if the training texts hold that, with its count less a discount; what the
+discounts leave is the probability of spelling a word by pieces, known words too. So probabilities of all words sum to one.
+
 Words and their counts meet in one shuffle. A task that scores texts knows the most frequent words, HOT at most, by heart;
 only the other words of a text travel to their counts, so a word that is in every text is no hot key.
 """
@@ -33,6 +38,8 @@ HOT, LONGEST = 1 << 16, 64
 HELD = 200_000
 #: Words are scored so many at a time; those of more bytes one by one, in memory that doesn't grow with their length.
 TOGETHER, BATCHED = 4096, 120
+#: Rounds of expectation and maximisation, and what each piece's expected count gets in addition.
+ROUNDS, ADDED = 2, 0.1
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -57,7 +64,8 @@ def ranked_pieces(path: str) -> dict[bytes, float]:
 class Lattice:
     """Marginal log10-probabilities of words over all segmentations, under each exponent."""
 
-    def __init__(self, pieces: dict[bytes, float], exponents: tuple = EXPONENTS):
+    def __init__(self, pieces: dict[bytes, float], exponents: tuple = EXPONENTS, weights: np.ndarray | None = None):
+        """weights: natural logarithms of the probability of each piece, and last of each byte, instead of those by ranks."""
         self.places = {p: k for k, p in enumerate(pieces)}
         self.starts = {p[:n] for p in pieces for n in range(1, len(p))}
         self.width = max(map(len, pieces), default=1) + 1
@@ -68,6 +76,8 @@ class Lattice:
             raw = [-s * math.log(r + OFFSET) for r in ranks]
             whole = math.log(sum(map(math.exp, raw[:-1])) + 256 * math.exp(raw[-1]))
             self.weights.append([x - whole for x in raw])
+        if weights is not None:
+            self.weights = [weights.tolist()]
         nodes = {p: k for k, p in enumerate(sorted(self.starts | self.places.keys()), 1)}
         steps = sorted((nodes.get(p[:-1], 0) << 8 | p[-1], k) for p, k in nodes.items())  # of a tree whose root is 0
         self.steps, self.children = np.array([x for x, _ in steps] or [-1], dtype=np.int64), np.array([k for _, k in steps] or [0], dtype=np.int64)
@@ -88,7 +98,8 @@ class Lattice:
                 out[k] = self.score(words[k])
         return out
 
-    def _together(self, texts: list[bytes]) -> np.ndarray:
+    def _arcs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The texts' sizes, and of every arc its text, begin, end and piece, by end and text."""
         sizes = np.array([len(t) for t in texts])
         raw = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
         first = np.cumsum(sizes) - sizes
@@ -108,7 +119,10 @@ class Lattice:
             begin, node = begin[more], node[more]
         word, begin, end, piece = (np.concatenate(x) for x in zip(*found))
         by = np.lexsort((word, end))
-        word, begin, piece, end = word[by], begin[by], piece[by], end[by]
+        return sizes, word[by], begin[by], end[by], piece[by]
+
+    def _forward(self, texts: list[bytes], sizes: np.ndarray, word: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Of each text and place, the logarithm of the summed probability of all ways to it."""
         cuts = np.searchsorted(end, np.arange(1, sizes.max() + 2))
         sums = np.zeros((len(texts), sizes.max() + 1, len(self.weights)))
         for j, (a, z) in enumerate(zip(cuts, cuts[1:]), 1):
@@ -117,7 +131,36 @@ class Lattice:
             top = np.maximum.reduceat(terms, heads)
             terms -= np.repeat(top, np.diff(np.r_[heads, z - a]), axis=0)
             sums[word[a:z][heads], j] = top + np.log(np.add.reduceat(np.exp(terms), heads))
-        return sums[np.arange(len(texts)), sizes] / math.log(10)
+        return sums
+
+    def _together(self, texts: list[bytes]) -> np.ndarray:
+        sizes, *arcs = self._arcs(texts)
+        return self._forward(texts, sizes, *arcs)[np.arange(len(texts)), sizes] / math.log(10)
+
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """How often each piece, and last any byte, is expected in the words under the first weights. Words of over BATCHED bytes
+        are taken in slices of so many, of which only the first has the space mark."""
+        out = np.zeros(self.byte + 1)
+        texts = [(SPACE + w)[at : at + BATCHED] for w in words for at in range(0, len(SPACE) + len(w), BATCHED)]
+        texts.sort(key=len)
+        for at in range(0, len(texts), TOGETHER):
+            few = texts[at : at + TOGETHER]
+            sizes, word, begin, end, piece = self._arcs(few)
+            before = self._forward(few, sizes, word, begin, end, piece)[:, :, 0]
+            by = np.lexsort((word, begin))
+            word, begin, end, piece = word[by], begin[by], end[by], piece[by]
+            weight, after = self.table[piece, 0], np.zeros((len(few), sizes.max() + 1))
+            cuts = np.searchsorted(begin, np.arange(sizes.max() + 1))
+            for j in range(sizes.max() - 1, -1, -1):
+                a, z = cuts[j], cuts[j + 1]
+                terms = weight[a:z] + after[word[a:z], end[a:z]]
+                heads = np.flatnonzero(np.r_[True, word[a + 1 : z] != word[a : z - 1]])
+                top = np.maximum.reduceat(terms, heads)
+                terms = np.exp(terms - np.repeat(top, np.diff(np.r_[heads, z - a])))
+                after[word[a:z][heads], j] = top + np.log(np.add.reduceat(terms, heads))
+            share = np.exp(before[word, begin] + weight + after[word, end] - after[word, 0])
+            out += np.bincount(piece, weights=share, minlength=len(out))
+        return out
 
     def score(self, word: bytes) -> list[float]:
         """Of the space mark and the word. Only as many sums are held as the longest piece is long."""
@@ -189,17 +232,48 @@ def _counted(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, path: str, exponents: tuple = EXPONENTS) -> DataFrame:
+def learned_weights(counted: DataFrame, path: str) -> np.ndarray:
+    """Weights of the pieces, and last of a byte, fitted to the distinct training words of (word, c): each counts once, since
+    frequent words have arcs of their own. A round sends one number for each piece of the vocabulary to the driver."""
+    first = Lattice(ranked_pieces(path), (1.0,))
+    weights = np.array(first.weights[0])
+    for _ in range(ROUNDS):
+
+        def expect(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            lattice = Lattice(ranked_pieces(path), (), weights)
+            total = np.zeros(lattice.byte + 1)
+            for b in batches:
+                total += lattice.expected([w.encode() for w in b.column("word").to_pylist()])
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "times"])
+
+        got = counted.where("c > 0").select("word").mapInArrow(expect, "piece long, times double").groupBy("piece").agg(F.sum("times").alias("times")).collect()
+        if not got:
+            break
+        times = np.full(len(weights), ADDED)
+        times[-1] *= 256
+        for r in got:
+            times[r["piece"]] += r["times"]
+        weights = np.log(times / times.sum())
+        weights[-1] -= math.log(256)
+    return weights
+
+
+def word_table(docs: DataFrame, path: str, exponents: tuple = EXPONENTS, learned: bool = False) -> DataFrame:
     """(word, c, n, likely): every distinct word with its counts in training rows and in all rows, and its marginal
-    log10-probability under each exponent."""
+    log10-probability under each exponent, or under the learned weights alone."""
+    counted = _counted(docs)
+    if learned:
+        counted = materialize(counted, "counts")
+    weights = learned_weights(counted, path) if learned else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(ranked_pieces(path), exponents)
+        lattice = Lattice(ranked_pieces(path), exponents, weights)
         for b in batches:
             likely = lattice.score_all([w.encode() for w in b.column("word").to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(likely), pa.list_(pa.float64()))], names=[*b.schema.names, "likely"])
 
-    return _counted(docs).mapInArrow(score, "word string, c long, n long, likely array<double>")
+    return counted.mapInArrow(score, "word string, c long, n long, likely array<double>")
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
@@ -215,21 +289,34 @@ def _frequent(words: DataFrame, most: int) -> DataFrame:
     return short.where(F.col("n") >= least) if least is not None else short.where("false")
 
 
-def score_texts(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
+def with_whole_words(words: DataFrame) -> Column:
+    """log10 of the probability of a word with an arc over the whole of it, if it is known, beside its spelling by pieces: likely.
+
+    The discount of each count is the share that words met once have among those met once or twice, as is usual.
+    """
+    n, kinds, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    less = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+    spelled = less * kinds / n if n else 1.0
+    c, likely = F.col("c"), F.get("likely", F.lit(0))
+    # A spelling's probability may be too small for a double, its logarithm never is.
+    return F.when(c > 0, F.log10((c - less) / F.lit(float(n or 1)) + spelled * F.pow(F.lit(10.0), likely))).otherwise(math.log10(spelled) + likely)
+
+
+def score_texts(docs: DataFrame, path: str, hot: int = HOT, learned: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     score is the model's log10-probability of the row's text; base_score that of a word model with half a count added to
-    each word, learned from the same rows. A null, empty or blank text is an end alone. Rows that repeat an id are scored one
+    each word, learned from the same rows. learned: whether the model's pieces and whole words are learned from them too. A null, empty or blank text is an end alone. Rows that repeat an id are scored one
     by one. Without a training row no word is known. An empty table gives no rows.
     """
-    words = materialize(word_table(docs, path), "words")
-    sums = [F.sum(F.col("c") * F.get("likely", F.lit(g))) for g in range(len(EXPONENTS))]
+    words = materialize(word_table(docs, path, learned=learned), "words")
+    sums = [F.sum(F.col("c") * F.get("likely", F.lit(g))) for g in range(1 if learned else len(EXPONENTS))]
     n, kinds, *fits = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), *sums).first()
     ends = docs.where(~held_out()).count()
     n, kinds = n + ends, kinds + (ends > 0)
-    best = max(range(len(EXPONENTS)), key=lambda g: fits[g] if fits[g] is not None else 0.0)
+    best = max(range(len(fits)), key=lambda g: fits[g] if fits[g] is not None else 0.0)
     whole = n + 0.5 * (kinds + 1)
-    words = words.select("word", "n", "c", F.get("likely", F.lit(best)).alias("likely"))
+    words = words.select("word", "n", "c", (with_whole_words(words) if learned else F.get("likely", F.lit(best))).alias("likely"))
     known = {r["word"].encode(): (r["c"] > 0, math.log10((r["c"] + 0.5) / whole), r["likely"]) for r in _frequent(words, hot).collect()}  # hot words at most
     sent = docs.sparkSession.sparkContext.broadcast(known)
     ending = (ends + 0.5) / (n + 1)

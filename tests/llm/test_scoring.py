@@ -174,3 +174,39 @@ def test_the_query_equals_its_sql(spark):
     assert found.columns == [c[0] for c in want.description]
     rows = want.fetchall()
     assert set(map(tuple, found.collect())) == set(rows) and sum(r[4] is not None for r in rows) >= 5
+
+
+def test_expected_pieces_equal_listing_all_segmentations():
+    model = lattice.Lattice({p.encode(): r for p, r in PIECES.items()}, (1.0,))
+
+    def ways(text):
+        """(probability, counts of pieces) of every segmentation."""
+        if not text:
+            return [(1.0, Counter())]
+        heads = [(n, model.places[text[:n]]) for n in range(1, len(text) + 1) if text[:n] in model.places] + [(1, model.byte)]
+        return [(math.exp(model.weights[0][k]) * p, c + Counter([k])) for n, k in heads for p, c in ways(text[n:])]
+
+    words, want = ["the", "é", "", "thethe"], np.zeros(model.byte + 1)
+    for w in words:
+        found = ways(lattice.SPACE + w.encode())
+        for p, c in found:
+            for k, times in c.items():
+                want[k] += p * times / sum(x for x, _ in found)
+    assert np.allclose(model.expected([w.encode() for w in words]), want)
+    assert np.isfinite(model.expected([b"x" * 5000, b""])).all()
+
+
+def test_learned_scores_of_held_out_texts_come_near_the_base(make):
+    """Words as in invented prose: the ranks of the vocabulary alone are far below the base score."""
+    rng = random.Random(8)
+    parts = "th ou en tion les er ing an re st".split()
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(400)]
+    text = lambda: " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(400)], k=60))
+    docs = [(k, text()) for k in range(200)] + [(301, "new" + "z" * 3000), (302, None)]
+    rows = [r for r in lattice.score_texts(make(docs), lattice.vocabulary_path(), learned=True).collect()]
+    assert len(rows) == len(docs) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] < 300]
+    tokens, base, score = (sum(r[c] for r in held) for c in ("n_tokens", "base_score", "score"))
+    assert held and abs(score - base) < 0.1 * tokens
+    plain = [r for r in lattice.score_texts(make(docs), lattice.vocabulary_path()).collect() if r["held_out"] and r["doc_id"] < 300]
+    assert sum(r["score"] for r in plain) < base - tokens
