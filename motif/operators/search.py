@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from motif.functions import exprs
+from motif.storage import kept
 
 FEATURES = 512
 MOST_QUERIES = 1000
+#: Rows that are compared with a block of queries at once; a score that is beyond all others, in millionths.
+PACKED, LAST = 1024, 1 << 40
 
 
 # English words that carry no meaning of their own.
@@ -127,19 +135,96 @@ def query_vector(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
     return hash_buckets(one, "q", "text").select(F.col("bucket").cast("string").alias("term"), "weight")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, score): of each query vector the k rows with the greatest cosine.
+def _packed(rows: DataFrame, key: str, vector: str, most: int) -> DataFrame:
+    """Rows of one length of vector, `most` at the most, in one row, ordered by key: n, dims, kinds, keys, vectors and their lengths.
 
-    Queries are asked in blocks of about MOST_QUERIES, which are broadcast one by one; each task sends k rows of a query.
+    Kinds: 0 where the vector or one of its components is null, so that every cosine is zero; 1 where it can be compared.
     """
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), exprs.length_of(F.col(vector)).alias("_ql"))
-    rows = rows.withColumn("_l", exprs.length_of(F.col(vector)))
-    blocks = -(-asked.count() // MOST_QUERIES) or 1
-    order = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    keys = rows.schema[key].dataType
+    schema = T.StructType().add("n", T.LongType()).add("dims", T.LongType()).add("keys", T.ArrayType(keys)).add("kinds", T.BinaryType()).add("vectors", T.BinaryType()).add("lengths", T.BinaryType())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+
+        def put(dims: int) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held.pop(dims))
+            t = t.take(pc.sort_indices(t, sort_keys=[("key", "ascending")], null_placement="at_start"))
+            kinds = t["dims"].is_valid().to_numpy()
+            v = np.zeros((len(t), dims))
+            v[kinds] = t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(kinds.sum(), dims)
+            lengths = np.sqrt(np.einsum("ed,ed->e", v, v))
+            of = [len(t)], [dims], [t["key"].to_pylist()], [kinds.tobytes()], [v.tobytes()], [lengths.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(of, types)], schema=types)
+
+        types = to_arrow_schema(schema)
+        for b in batches:
+            dims = pc.fill_null(b.column("dims"), 0).to_numpy()
+            for d in np.unique(dims).tolist():
+                some = b.filter(pa.array(dims == d))
+                while len(some):
+                    room = most - sum(map(len, held.get(d, [])))
+                    held.setdefault(d, []).append(some.slice(0, room))
+                    if len(some) >= room:
+                        yield put(d)
+                    some = some.slice(room)
+        for d in list(held):
+            yield put(d)
+
+    whole = F.when(F.forall(vector, lambda x: x.isNotNull()), F.col(vector)).cast("array<double>")
+    return rows.select(F.col(key).alias("key"), whole.alias("vector"), F.size(whole).alias("_n")).select("key", "vector", F.when(F.col("_n") >= 0, F.col("_n")).alias("dims")).mapInArrow(pack, schema)
+
+
+def _best(k: int, schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs of packed rows and packed queries, (query, key, score) of those that can be among the k nearest.
+
+    All rows of a block are compared with all queries of one by one matrix product. A block gives k of its rows for a query at
+    most, ties in order of key, and none that is less than the k-th one of a block that the task has seen.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, least = to_arrow_schema(schema), {}
+        for b in batches:
+            for r in range(len(b)):
+                get = lambda name, r=r: b.column(name)[r]
+                sides = []
+                for side in ("", "q_"):
+                    n, dims = get(side + "n").as_py(), get(side + "dims").as_py()
+                    read = lambda name, side=side, **x: np.frombuffer(get(side + name).as_py(), **x)
+                    sides.append((n, dims, read("kinds", dtype=bool), read("vectors").reshape(n, dims), read("lengths")))
+                (n, dims, kinds, v, lengths), (m, q_dims, q_kinds, q, q_lengths) = sides
+                norm = q_lengths[:, None] * lengths[None, :]
+                with np.errstate(all="ignore"):
+                    score = q @ v.T / norm if dims == q_dims else np.full((m, n), -np.inf)  # -inf: no cosine
+                    score[(norm == 0) | ~kinds[None, :] | ~q_kinds[:, None]] = 0.0
+                    steps = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5), score)
+                    steps = np.where(np.isnan(score), LAST, np.where(score == -np.inf, -LAST, steps)).astype(np.int64)
+                place = steps * n + np.arange(n - 1, -1, -1)  # of equal scores the first key is the greatest
+                take = np.argpartition(place, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), (m, n))
+                found = np.take_along_axis(steps, take, axis=1)
+                known = least.get(id_ := get("q_id").as_py())
+                good = found >= known[:, None] if known is not None else np.ones(found.shape, dtype=bool)
+                if n >= k:
+                    least[id_] = found.min(axis=1) if known is None else np.maximum(known, found.min(axis=1))
+                at, j = np.nonzero(good)
+                value = found[at, j]
+                none = value == -LAST
+                value = np.where(value == LAST, np.nan, value / 1e6)
+                columns = [get("q_keys").values.take(pa.array(at)), get("keys").values.take(pa.array(take[at, j])), pa.array(value, mask=none)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types)], schema=types)
+
+    return of
 
-    def ask(block: int) -> DataFrame:
-        few = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else asked
-        scored = rows.join(F.broadcast(few)).select("query", key, F.round(exprs.cosine(F.col(vector), F.col("_q"), F.col("_l"), F.col("_ql")), 6).alias("score"))
-        return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
-    return reduce(DataFrame.unionByName, map(ask, range(blocks)))
+def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, score): of each query vector the k rows with the greatest cosine, in double precision, rounded to six digits.
+
+    Rows are packed in blocks of PACKED and queries in blocks of MOST_QUERIES, both written once to the shared folder. Every block meets
+    every block in a Cartesian product: the work is queries times rows, by matrix products, and a task holds a pair of blocks.
+    """
+    blocks = kept(_packed(rows, key, vector, PACKED), "rows")
+    asked = kept(_packed(queries, key, vector, MOST_QUERIES).withColumn("id", F.monotonically_increasing_id()), "queries")
+    asked = asked.withColumnsRenamed({c: f"q_{c}" for c in asked.columns})
+    schema = T.StructType().add("query", queries.schema[key].dataType).add(key, rows.schema[key].dataType).add("score", T.DoubleType())
+    scored = blocks.crossJoin(asked).mapInArrow(_best(k, schema), schema)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

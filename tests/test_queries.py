@@ -72,3 +72,31 @@ def test_results_do_not_depend_on_partitions(spark):
             df = spark.createDataFrame(rows, "key long, seq long").repartition(n)
             found.append(sorted(map(str, patterns.promote(df, "key", ["seq"], k, {"a": F.col("seq")}, {"b": F.col("seq")}, {"all": F.col("seq")}).collect())))
         assert found[0] == found[1] == found[2] and len(found[0]) == 7
+
+
+def test_nearest_compares_blocks_and_equals_plain_cosines(spark, monkeypatch):
+    """Ties by key, missing, zero, short and not finite vectors, in blocks smaller than k and larger; no pair goes through an expression."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from motif.functions import exprs
+    from motif.operators import search
+
+    rng = random.Random(3)
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)]) for i in range(60)] + [(100 + i, [0.5, 0.5, 0.1]) for i in range(30)]
+    rows += [(200, None), (201, [0.0, 0.0, 0.0]), (202, []), (203, [1.0, None, 0.0]), (204, [1.0, 2.0]), (205, [float("nan"), 1.0, 0.0]), (206, [float("inf"), 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    asked = frame.where("id % 10 = 0 or id > 190")
+    pairs = asked.select(F.col("id").alias("query"), F.col("v").alias("q")).crossJoin(frame)
+    pairs = pairs.select("query", "id", F.round(exprs.cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    want = sorted(map(str, pairs.withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r").collect()))
+    for rows_, queries in ((1024, 1000), (4, 3), (7, 100)):
+        monkeypatch.setattr(search, "PACKED", rows_)
+        monkeypatch.setattr(search, "MOST_QUERIES", queries)
+        found = search.nearest(frame, asked, "id", "v", 5)
+        assert sorted(map(str, found.collect())) == want
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan.lower()
