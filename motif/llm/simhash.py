@@ -9,8 +9,10 @@ still free are cut into four blocks; of two fingerprints with three or fewer dif
 each member goes to four smaller groups. A group with b free bits has 2^b members at most, so this ends, is exact, and
 no task ever holds more than `cap` members or 2^12. Very crowded groups are known from a sample and never even meet.
 
-Three bits of 64 mean almost equal texts. Where a similarity of word shingles is asked for (similar_groups), a text has many
-fingerprints, each of a few shingles that min-hashing draws from its set; texts that share one are compared exactly.
+Three bits of 64 mean almost equal texts. Where a similarity of word shingles is asked for (similar_groups), the same steps come
+first: fingerprints of all shingles, variants, verified bits; then the pairs are compared exactly. For similar texts that are more
+bits apart a text has further fingerprints, each of a few shingles that min-hashing draws from its set; texts that share one
+are compared exactly too, unless they are linked already.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import component_ids, exact, fitted, map_texts, materialize
+from .common import component_ids, connected_components, exact, fitted, map_texts, materialize
 
 DISTANCE = 3
 SEED = 42
@@ -73,10 +75,14 @@ def _hashes(words: list[bytes], width: int) -> np.ndarray:
 def _vote(words: list[bytes], width: int, votes: np.ndarray) -> int:
     """Adds the bits of all shingles to the votes; returns how many shingles there are."""
     hashes = _hashes(words, width)
+    _count(hashes, votes)
+    return len(hashes)
+
+
+def _count(hashes: np.ndarray, votes: np.ndarray) -> None:
     for at in range(0, len(hashes), ROWS):
         part = hashes[at : at + ROWS]
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return len(hashes)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -266,6 +272,13 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype="<u8")
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """The unsigned fingerprint of a set of shingles, each counted once; of an empty one 0."""
+    votes = np.zeros(64, dtype=np.int64)
+    _count(found, votes)
+    return int(np.packbits(2 * votes > len(found), bitorder="little").view("<u8")[0])
+
+
 def _drawn(found: np.ndarray, mix: np.ndarray) -> np.ndarray:
     """The DRAWS fingerprints of a set of shingles, each over the DRAWN least under as many orders."""
     least = np.full(DRAWS * DRAWN, 2**64 - 1, dtype=np.uint64)
@@ -276,7 +289,7 @@ def _drawn(found: np.ndarray, mix: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, t (a hash of the text), id (a digest of the set of shingles), n (its size) and keys of every row."""
+    """doc_id, t (a hash of the text), id (a digest of the set of shingles), n (its size), fp (its fingerprint) and keys of every row."""
 
     def make():
         mix = np.random.default_rng(SEED).integers(0, 2**64, (2, DRAWS * DRAWN), dtype=np.uint64)
@@ -285,12 +298,13 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
         def run(texts: list) -> dict:
             sets = [shingles(t, width) for t in texts]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            return {"id": ids, "n": [len(s) for s in sets], "keys": [_drawn(s, mix).view(np.int64) for s in sets]}
+            fps = np.array([set_fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
+            return {"id": ids, "n": [len(s) for s in sets], "fp": fps, "keys": [_drawn(s, mix).view(np.int64) for s in sets]}
 
         return run
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return map_texts(keyed, "text", ["doc_id", "t"], make, "id long, n long, keys array<long>")
+    return map_texts(keyed, "text", ["doc_id", "t"], make, "id long, n long, fp long, keys array<long>")
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -314,6 +328,16 @@ def _verified(pairs: DataFrame, rows: int, classes: DataFrame, docs: DataFrame,
     return materialize(fitted(similar, pairs.count(), 2500), "similar")
 
 
+def _close_classes(classes: DataFrame) -> DataFrame:
+    """(a, b): classes (id, fp) with equal fingerprints, each with the first of them, and the first ones of fingerprints that
+    fingerprint_links links."""
+    firsts = materialize(classes.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
+    links = fingerprint_links(firsts)
+    a, b = firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    equal = classes.join(firsts, "fp").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return equal.unionByName(links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def _near(n: str, m: str, similarity: float) -> F.Column:
     """Whether sets of n and m shingles can have that Jaccard similarity."""
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
@@ -345,7 +369,8 @@ def _crowded_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Da
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, root, component_id of every row of docs: groups linked by a Jaccard similarity of word shingles.
 
-    Rows with equal sets of shingles are one class. Classes that share a fingerprint of drawn shingles meet: first each
+    Rows with equal sets of shingles are one class. Classes whose fingerprints differ in at most three bits are found by
+    deletion variants and compared. Classes that share a fingerprint of drawn shingles and are not linked by then meet: first each
     with one class of the group, the one that meets most others, so near copies of one text cost one comparison each.
     Of groups that this left in several components, the small ones compare all pairs across components; the members of
     larger ones go through an exact prefix filter instead, so a crowd of copies that are too different from each
@@ -353,18 +378,24 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     linked. All comparisons are exact; null and wordless texts are one class.
     """
     rows = materialize(_sketches(docs, width), "sketches")
-    classes = rows.groupBy("id").agg(F.min("t").alias("t"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = rows.groupBy("id").agg(F.min("t").alias("t"), F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
     classes = materialize(classes, "classes")
+    close = materialize(_close_classes(classes.where("n > 0").select("id", "fp")), "close")
+    linked = _verified(close, close.count(), classes, docs, similarity, width)
+    own = connected_components(linked)
+    root = F.coalesce("root", "id").alias("root")
     keyed = classes.where("n > 0").select("id", "n", F.posexplode("keys").alias("k", "key"))
     keyed = keyed.select("id", "n", F.xxhash64("k", "key").alias("key"))
     met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"), "met")
     size = met.count()
     weighed = met.join(met.groupBy("id").agg(F.sum("c").alias("w")), "id")
+    met = met.join(own.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "c", root)
     centres = weighed.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("z")).select("key", F.col("z.id").alias("centre"), F.col("z.n").alias("m"))
-    stars = met.join(centres, "key").where((F.col("id") != F.col("centre")) & _near("n", "m", similarity))
-    links = _verified(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")), size, classes, docs, similarity, width)
+    centres = centres.join(own.select(F.col("node").alias("centre"), F.col("root").alias("z")), "centre", "left").withColumn("z", F.coalesce("z", "centre"))
+    stars = met.join(centres, "key").where((F.col("root") != F.col("z")) & _near("n", "m", similarity))
+    links = _verified(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")), size, classes, docs, similarity, width).unionByName(linked)
     roots = component_ids(classes.select("id", "rep"), links, "id", "rep").select("id", "root")
-    met = met.join(roots, "id")
+    met = met.drop("root").join(roots, "id")
     apart = met.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     met = materialize(fitted(met.join(apart, "key", "left_semi"), size), "apart")
     few = met.where(F.col("c") <= PAIRED)

@@ -164,3 +164,28 @@ def test_the_stage_links_all_that_share_four_fifths_of_five_word_shingles(spark,
     kept = corpus_pipeline.near_duplicates(spark, make(docs), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == similar_firsts(docs)
     assert corpus_pipeline.near_duplicates(spark, make([]), "").collect() == []
+
+
+def test_similar_texts_go_through_variants_of_their_fingerprints_first(spark, make, monkeypatch):
+    """Pairs with three or fewer differing bits are candidates whatever shingles are drawn, and are not compared again."""
+    import random
+
+    rng = random.Random(23)
+    docs = []
+    for base in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for edits in (0, 1, 1, 2, 60):
+            copy = list(words)
+            for i in rng.sample(range(400), edits):
+                copy[i] = f"w{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(copy)))
+    sets = {i: simhash.shingles(t) for i, t in docs}
+    ids = {i: simhash.xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED) for i, s in sets.items()}
+    fps = {i: simhash.set_fingerprint(s) for i, s in sets.items()}
+    near = {frozenset((ids[i], ids[j])) for i in sets for j in sets if i < j and (fps[i] ^ fps[j]).bit_count() <= 3}
+    asked, verified = [], simhash._verified
+    pairs_of = lambda df: {frozenset(x % 2**64 for x in r) for r in df.select("a", "b").collect()}
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *more: asked.append(pairs_of(pairs)) or verified(pairs, *more))
+    kept = simhash.deduplicate_similar(make(docs))
+    assert sorted(r["doc_id"] for r in kept.collect()) == similar_firsts(docs)
+    assert len(near) > 10 and asked[0] == near and not near & set().union(*asked[1:])
