@@ -249,3 +249,28 @@ def test_only_the_first_rows_of_a_key_are_sent_on(spark):
     rows = [("a", i) for i in range(50, 0, -1)] + [(None, 3), (None, 1), (None, 2), ("b", 9)]
     found = promote.first_of_each(spark.createDataFrame(rows, "key string, seq long").coalesce(1), 2, ["key"], ["seq"]).collect()
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, [("a", 1), ("a", 2), (None, 1), (None, 2), ("b", 9)]))
+
+
+def test_keys_that_share_a_row_of_state_are_promoted_each_by_itself(spark, tmp_path, monkeypatch):
+    """Rows of state don't grow in number with the keys; null sources and a null key count as others."""
+    monkeypatch.setattr(promote, "GROUPS", 2)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    events = [[(f"k{i % 40}" if i % 41 else None, part * 1000 + i, f"s{i}" if i % 3 else None, f"c{i}") for i in range(part, 100, 3)] for part in range(3)]
+    want, seen = [], {}
+    for rows in events:
+        spark.createDataFrame(rows, "key string, seq long, source string, context string").coalesce(1).write.mode("append").json(source)
+        found = run_any(spark, source, out, state, 3)
+        for key, _, text, context in rows:
+            seen.setdefault(key, []).append((text, context))
+            if len(seen[key]) == 3:
+                want.append((key, 3, seen[key][0][0], [c for _, c in seen[key]]))
+        assert found == sorted(want, key=str)
+    parts = spark.read.format("statestore").load(state)
+    assert want and parts.count() <= 2
+
+
+def run_any(spark, source, out, state, k):
+    events = spark.readStream.schema("key string, seq long, source string, context string").json(source)
+    q = promote.promote_stream(events, k).writeStream.outputMode("append").format("json").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sorted(((r["key"], r["frequency"], r["source"], r["contexts"]) for r in spark.read.schema(promote.OUTPUT).json(out).collect()), key=str)
