@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from jobs.common import known, main, report
 from motif.functions import exprs
 from motif.operators.index import SearchIndex
+from motif.storage import kept as keep
 
 DEFAULTS = {"searches": {}, "top": 10, "refit": 0.2}
 #: Searches a run takes, and turns it reports of each: their product bounds what is sent to every task.
@@ -26,11 +27,17 @@ MOST = 10_000
 HIT = "rank int, score double, conv_id long, turn long, role string, excerpt string, search string"
 
 
-def turns(spark: SparkSession, input: str) -> DataFrame:
-    """(id, conv_id, turn, role, text) of each turn, once; a null text is empty. Turns without a number can't be named and are left out."""
+def turns(spark: SparkSession, input: str, some: DataFrame | None = None) -> DataFrame:
+    """(id, conv_id, turn, role, text) of each turn, once; a null text is empty. Turns without a number can't be named and are left out.
+
+    some (id), MOST rows at most: only these are looked for, before the copies of a turn are brought together.
+    """
     rows = spark.read.schema("conv_id long, turn long, role string, text string").parquet(input).where("conv_id is not null and turn is not null")
+    name = F.concat_ws(":", "conv_id", "turn").alias("id")
+    if some is not None:
+        rows = rows.select("*", name).join(F.broadcast(some.select("id").distinct()), "id", "left_semi")
     latest = F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "role")).alias("_t")
-    return rows.groupBy("conv_id", "turn").agg(latest).select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", "_t.role", "_t.text")
+    return rows.groupBy("conv_id", "turn").agg(latest).select(name, "conv_id", "turn", "_t.role", "_t.text")
 
 
 def run(spark: SparkSession, input: str, index: str, output: str, config: dict | None = None) -> dict:
@@ -44,12 +51,14 @@ def run(spark: SparkSession, input: str, index: str, output: str, config: dict |
         new = kept.upsert(rows, "text")
         fitted = kept.grown() > wanted["refit"]
     else:
-        new, fitted = rows.count(), True
+        new, fitted = None, True
     if fitted:
-        kept.fit(rows, "text")
+        n = kept.fit(rows, "text")
+        new = n if new is None else new
     asked = spark.createDataFrame(sorted(wanted["searches"].items()), "query string, text string")
     hits = kept.search(asked, wanted["top"]).where("score > 0") if kept.there() else spark.createDataFrame([], "query string, id string, score double, rank int")
-    found = rows.join(F.broadcast(hits), "id")  # MOST rows at most
+    hits = keep(hits, "hits")  # MOST rows at most
+    found = turns(spark, input, hits).join(F.broadcast(hits), "id")
     found = found.select("rank", "score", "conv_id", "turn", "role", exprs.shorten(F.col("text")).alias("excerpt"), F.col("query").alias("search"))
     found.repartition("search").sortWithinPartitions("search", "rank").write.mode("overwrite").partitionBy("search").parquet(output)
     return report("search_report", input=input, new=new, fitted=fitted, index=index, rows=kept.rows().count() if kept.there() else 0, output=output, searches=len(wanted["searches"]), wrote=read(spark, output).count())

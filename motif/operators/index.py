@@ -21,6 +21,8 @@ from motif.storage import fresh_path, table_if_there
 
 #: Folders of terms, about so many rows in a block, and blocks of a query that are scored first.
 BUCKETS, BLOCK, SEEDS = 64, 512, 4
+#: About so many rows have their postings of a bucket in one task and file.
+SHARE = 200_000
 #: More bounds than this are compared by a join alone, without a filter that the reader of files can use.
 LISTED = 2000
 
@@ -63,23 +65,27 @@ class SearchIndex:
         slices = max(1, n // (16 * BLOCK))
         block = F.xxhash64(F.lit(gen), F.col("_h.term"), F.floor(F.col("_h.weight") * 16), F.pmod(F.xxhash64(self.key), F.lit(slices)))
         placed = weights.withColumn("_h", heaviest).select(bucket().alias("bucket"), "term", block.alias("block"), self.key, "weight")
-        # Ranges, not buckets, go to tasks: a term in very many rows is cut between blocks.
+        # A bucket goes to tasks in shares of its blocks, as a term may be in very many rows. Ranges would weigh all rows once more for a sample.
         order = ["bucket", "term", "block"]
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
+        shares = F.col("bucket"), F.pmod("block", F.lit(1 + n // SHARE))
+        placed.repartition(*shares).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
         written = table_if_there(self.spark, f"{self.path}/postings/{at}")
         if written is not None:
             bounds = written.groupBy(*order).agg(F.max("weight").alias("greatest"))
-            bounds.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/bounds/{at}")
+            bounds.repartition(*shares).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/bounds/{at}")
         rows.select(self.key, "digest").write.mode("overwrite").parquet(f"{self.path}/rows/{at}")
 
-    def fit(self, rows: DataFrame, text: str) -> None:
-        """A new fit over rows, which have each key once: features, idf and all postings. Until it is whole the last one serves."""
+    def fit(self, rows: DataFrame, text: str) -> int:
+        """A new fit over rows, which have each key once: features, idf and all postings. Until it is whole the last one serves.
+
+        Returns how many rows there are.
+        """
         state = self._state()
         fit = 0 if state is None or state[0] is None else state[0] + 1
         model = TfIdf(rows, self.key, text, self.features)
         model.idf.write.mode("overwrite").parquet(f"{self.path}/features/fit={fit}")
-        idf = self.spark.read.parquet(f"{self.path}/features/fit={fit}")
-        self._write(weigh(rows, self.key, text, idf), rows.withColumn("digest", digest(text)), rows.count(), fit, 0)
+        self._write(model.weights, rows.withColumn("digest", digest(text)), model.n, fit, 0)
+        return model.n
 
     def changed(self, rows: DataFrame, text: str) -> DataFrame:
         """rows with digest: those whose key is new or whose text is another."""

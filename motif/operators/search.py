@@ -47,26 +47,38 @@ def corpus_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def _counted(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """(key, term, tf): words of two characters or more that are no stop words, and pairs of neighbours, counted within the row."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    kept = F.filter(found, lambda w: ~w.isin(words))
-    pairs = lambda t: F.concat(t, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i))))
-    terms = exprs.let(kept, lambda t: F.when(F.size(t) > 1, pairs(t)).otherwise(t))
+def _worded(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """(key, words): of each row the words of two characters or more that are no stop words, in order."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w\w+"), F.lit(0))
+    return rows.select(key, F.filter(found, lambda w: ~w.isin(words)).alias("words"))
+
+
+def _neighbours(worded: DataFrame, key: str) -> DataFrame:
+    """(key, word, after): each word with the one after it, null for the last."""
+    zipped = F.arrays_zip("words", F.slice("words", F.lit(2), F.size("words")))
     # The outer form, filtered after: a plain explode makes the optimizer ask for the array's size below, and compute it twice.
-    counted = rows.select(key, F.explode_outer(exprs.run_lengths(terms)).alias("c")).where("c is not null")
-    return counted.select(key, F.col("c.value").alias("term"), F.col("c.n").cast("long").alias("tf"))
+    return worded.select(key, F.explode_outer(zipped).alias("_z")).select(key, "_z.*").toDF(key, "word", "after").where("word is not null")
+
+
+def _pair() -> Column:
+    return F.concat("word", F.lit(" "), "after")
+
+
+def _counted(worded: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(key, term, tf): of the wanted terms, which are FEATURES or few more, those in a row: words and pairs of neighbours."""
+    terms = _neighbours(worded, key).select(key, F.explode(F.array("word", _pair())).alias("term"))
+    return terms.join(F.broadcast(wanted.select("term")), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def weigh(rows: DataFrame, key: str, text: str, idf: DataFrame, words: list[str] | None = None) -> DataFrame:
     """(key, term, weight) of rows under a fitted model's idf (term, idf), which has FEATURES rows or few more; of unit length."""
-    return _unit(_counted(rows, key, text, STOP_WORDS if words is None else words), key, idf)
+    return _unit(_counted(_worded(rows, key, text, STOP_WORDS if words is None else words), key, idf), key, idf)
 
 
 def _unit(counted: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    weighted = counted.join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weighted = counted.where(F.col(key).isNotNull()).join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # over the features in a row
+    return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def skill_text() -> Column:
@@ -77,16 +89,23 @@ def skill_text() -> Column:
 class TfIdf:
     """A fitted model: weights(key, term, weight) of unit length, idf(term, idf) of at most `features` terms.
 
-    key names a row. Terms are counted within their row, so only sums by term are shuffled, and of the second pass what
-    the features keep. Features are the terms with most occurrences in the corpus, ties in order of term; idf is ln((1+n)/(1+df)) + 1.
+    key names a row. Features are the terms with most occurrences in the corpus, ties in order of term; idf is ln((1+n)/(1+df)) + 1.
+    The words of the rows are written once. A pair occurs no more often than its first word, which also precedes it in order of
+    term, so only pairs that begin with one of the `features` most frequent words are counted; then only features, within rows.
     """
 
     def __init__(self, rows: DataFrame, key: str, text: str, features: int = FEATURES, words: list[str] | None = None):
         self.key, self.words = key, STOP_WORDS if words is None else words
-        counted = _counted(rows, key, text, self.words)
-        stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
-        n = rows.count()
-        self.idf = stats.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))  # features rows at most
+        first = lambda totals: totals.orderBy(F.desc("total"), "term").limit(features)
+        worded = kept(_worded(rows, key, text, self.words), "words")
+        total = F.count("*").alias("total")
+        often = kept(first(worded.select(F.explode_outer("words").alias("term")).where("term is not null").groupBy("term").agg(total)), "often")
+        begun = _neighbours(worded, key).where("after is not null").join(F.broadcast(often.select(F.col("term").alias("word"))), "word", "left_semi")
+        best = kept(first(often.unionByName(begun.groupBy(_pair().alias("term")).agg(total))), "features")
+        counted = kept(_counted(worded, key, best), "counts")
+        self.n = worded.count()
+        df = counted.groupBy("term").agg(F.count("*").alias("df"))
+        self.idf = df.select("term", (F.log((1 + F.lit(self.n)) / (1 + F.col("df"))) + 1).alias("idf"))  # features rows at most
         self.weights = _unit(counted, key, self.idf)
         self.rows = rows
 
@@ -94,7 +113,7 @@ class TfIdf:
         """(term, weight) of a query, of unit length."""
         spark = self.rows.sparkSession
         one = spark.createDataFrame([(0, text)], "q int, text string")
-        counted = _counted(one, "q", "text", self.words)
+        counted = _counted(_worded(one, "q", "text", self.words), "q", self.idf)
         weighted = counted.join(self.idf, "term").select("term", (F.col("tf") * F.col("idf")).alias("w"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy()))  # over a query's terms
         return weighted.select("term", (F.col("w") / norm).alias("weight"))

@@ -1,6 +1,9 @@
 """The kept search index gives what scoring all rows gives, reads less, and takes changed rows without a new fit."""
 
+import math
 import random
+import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +57,36 @@ def test_results_equal_a_scoring_of_all_rows(spark, tmp_path, monkeypatch, k):
         assert any(r["scored"] < r["blocks"] / 2 for r in kept.reach(asked(spark), k).collect())
 
 
+def test_a_fit_takes_the_words_of_a_text_once(spark, tmp_path):
+    """A text is computed for its words and for its digest, not once more for each pass over the terms."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = rows_of(spark, 50, 5).withColumn("text", F.udf(read, "string")("text"))
+    n = SearchIndex(spark, str(tmp_path / "index"), "id").fit(rows, "text")
+    assert seen.value <= 2 * 50 and n == 50
+
+
+@pytest.mark.parametrize("features", [1, 5, 40, 500])
+def test_features_are_the_most_frequent_words_and_pairs(spark, features):
+    """Pairs that are as frequent as their first word, ties, odd signs and a null text; one by one in Python."""
+    texts = ["zeta alpha zeta alpha", "zeta alpha", "red blue red blue red", "Ünï_1 ünï_1 x the of", "e\u0301te\u0301 e\u0301te\u0301-deux", None, "", "the", "a\U0001d4b3b \U0001d4b3\U0001d4b3", "alpha-beta beta", "green"] + [t for _, t in map(tuple, rows_of(spark, 60, 6).collect())]
+    occurs, df = Counter(), Counter()
+    for t in texts:
+        marks = lambda c: c == "_" or unicodedata.category(c)[0] in "LNM"
+        words = [w for w in "".join(c if marks(c) else " " for c in (t or "").lower()).split() if len(w) > 1 and w not in search.STOP_WORDS]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        occurs.update(terms)
+        df.update(set(terms))
+    best = sorted(occurs, key=lambda t: (-occurs[t], t.encode()))[:features]
+    model = search.TfIdf(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", features)
+    assert {r["term"]: r["idf"] for r in model.idf.collect()} == {t: pytest.approx(math.log((1 + len(texts)) / (1 + df[t])) + 1) for t in best}
+    assert all(r["n"] == pytest.approx(1) for r in model.weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect())
+
+
 def test_upserts_replace_rows_under_the_same_fit(spark, tmp_path):
     rows = rows_of(spark, 60, 2)
     kept = SearchIndex(spark, str(tmp_path / "index"), "id")
