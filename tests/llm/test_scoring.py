@@ -210,3 +210,19 @@ def test_learned_scores_of_held_out_texts_come_near_the_base(make):
     assert held and abs(score - base) < 0.1 * tokens
     plain = [r for r in lattice.score_texts(make(docs), lattice.vocabulary_path()).collect() if r["held_out"] and r["doc_id"] < 300]
     assert sum(r["score"] for r in plain) < base - tokens
+
+
+def test_words_of_arrow_texts_equal_plain_words():
+    import pyarrow as pa
+
+    texts = [*ODD, " a\tB  c\x0b\x0cd\r\ne\x1cf\x85g\xa0h \u2003 \u2028É ", "\x1f", "A\x00B a\x00b", "x" * 5000 + " X", "  ", " lead", "trail\n"]
+    for kind in (pa.string(), pa.large_string()):
+        of, which, words = lattice.words_in(pa.array(texts, kind))
+        found = [[] for _ in texts]
+        for k, w in zip(of.tolist(), which.tolist()):
+            found[k].append(words[w].as_py().encode())
+        assert found == [lattice.words_of(t) for t in texts]
+        assert len(set(words.to_pylist())) == len(words)
+    for none in ([], [None, " "]):
+        of, which, _ = lattice.words_in(pa.array(none, pa.string()))
+        assert len(of) == len(which) == 0
